@@ -174,18 +174,18 @@ def _within(x: Column, t: _Target) -> Column:
     return (x > t.lo) & (x < t.hi)
 
 
-def _inside_counter(brackets: list[tuple[str, float, float]]):
-    """Per batch: the distinct values strictly inside each bracket."""
+def _inside_picker(brackets: list[tuple[str, float, float]]):
+    """The values strictly inside each bracket."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i, (c, lo, hi) in enumerate(brackets):
-                x = batch[c].to_numpy(dtype=np.float64)
-                values, n = np.unique(x[(x > lo) & (x < hi)], return_counts=True)
-                if len(values):
-                    yield pd.DataFrame({"t": i, "v": values, "n": n})
+            arrays = {c: batch[c].to_numpy(dtype=np.float64) for c in batch.columns}
+            hits = [arrays[c][(arrays[c] > lo) & (arrays[c] < hi)] for c, lo, hi in brackets]
+            yield pd.DataFrame(
+                {"t": np.repeat(np.arange(len(hits)), [len(h) for h in hits]), "v": np.concatenate(hits)}
+            )
 
-    return count
+    return pick
 
 
 def _gather(
@@ -195,8 +195,8 @@ def _gather(
     keys = sorted({t.column for t in targets})
     narrow = df.select(*[exprs[k].alias(str(i)) for i, k in enumerate(keys)])
     brackets = [(str(keys.index(t.column)), t.lo, t.hi) for t in targets]
-    values = narrow.mapInPandas(_inside_counter(brackets), "t int, v double, n long")
-    counts = values.groupBy("t", "v").agg(F.sum("n").alias("n"))
+    values = narrow.mapInPandas(_inside_picker(brackets), "t int, v double")
+    counts = values.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
     running = counts.withColumn(
         "upto", F.sum("n").over(Window.partitionBy("t").orderBy("v"))
     )
