@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.functions.columns import categorical_columns, col, number, present
+from rowmill.functions.columns import categorical_columns, col, family, number, present
 from rowmill.functions.lookup import attach
 from rowmill.functions.ordering import global_rank
 from rowmill.functions.storage import settle
@@ -65,9 +65,11 @@ def fit_encode(
     names = [c for c in (columns or categorical_columns(df)) if c != target]
     if not names:
         return Step("encode", {"plan": []})
+    # A mean needs a numeric target; with a class target codes are used.
+    mean_of = target if target and family(df.schema[target].dataType) != "categorical" else None
     sizes = {r["column"]: r["n_distinct"] for r in distinct_counts(df, names).collect()}
     plan = [
-        {"column": c, "method": choose_encoder(method, sizes[c], target), "n_distinct": sizes[c]} for c in names
+        {"column": c, "method": choose_encoder(method, sizes[c], mean_of), "n_distinct": sizes[c]} for c in names
     ]
     hot = [p["column"] for p in plan if p["method"] == "onehot"]
     if hot:
@@ -87,10 +89,10 @@ def fit_encode(
     labelled = [p["column"] for p in plan if p["method"] == "label"]
     if labelled:
         tables["codes"] = _label_codes(df, labelled)
-    averaged = [p["column"] for p in plan if p["method"] == "target" and target]
+    averaged = [p["column"] for p in plan if p["method"] == "target" and mean_of]
     if averaged:
-        tables["means"] = _target_means(df, averaged, target)
-    return Step("encode", {"plan": plan, "target": target}, tables)
+        tables["means"] = _target_means(df, averaged, mean_of)
+    return Step("encode", {"plan": plan, "target": mean_of}, tables)
 
 
 @applies("encode")
