@@ -1,3 +1,11 @@
 """rowmill: profile, prepare, model and score tabular data with PySpark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few numpy task functions travel with the job, so executors need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,9 +85,14 @@ def calinski_harabasz(points: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
-def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(np.linalg.norm(np.stack(a) - np.stack(b), axis=1))
+def _distance(a: Column, b: Column) -> Column:
+    """Euclidean distance of two array columns, batch by batch."""
+
+    @F.pandas_udf("double")
+    def norm(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(np.linalg.norm(np.stack(x) - np.stack(y), axis=1))
+
+    return norm(a, b)
 
 
 def _grid(left: DataFrame, right: DataFrame, rows: int, fn, schema: str) -> DataFrame:
@@ -198,7 +203,7 @@ def davies_bouldin(points: DataFrame) -> DataFrame:
     # attach() measures the key; the centroids are measured here.
     limit = 64 * 1024 * 1024 - 8 * (size["cells"] or 0)
     near = attach(points, profile, "cluster", ["centroid"], broadcast_bytes=limit)
-    scatter = near.groupBy("cluster").agg(F.avg(_distance("x", "centroid")).alias("s"))
+    scatter = near.groupBy("cluster").agg(F.avg(_distance(F.col("x"), F.col("centroid"))).alias("s"))
     nodes = settle(
         profile.join(scatter, profile["key"].eqNullSafe(scatter["cluster"])).select(
             F.col("key").alias("id"), F.col("centroid").alias("x"), "s"

@@ -19,7 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.functions.columns import col, family, number
-from rowmill.operators import gradient as G
+from rowmill.operators.gradient import (
+    Standardised,
+    epsilon_loss,
+    fourier,
+    fourier_map,
+    initial_network,
+    network_output,
+    network_shapes,
+    squared_loss,
+    train,
+)
 from rowmill.operators.steps import align_features
 
 SEED = 42
@@ -180,9 +190,9 @@ class Model:
         def predict(*cols: pd.Series) -> pd.Series:
             x = (np.column_stack([c.to_numpy(dtype=np.float64) for c in cols]) - mean[:-1]) / std[:-1]
             if kernel:
-                z = G.fourier(x, *G.fourier_map(**kernel)) @ w[:-1] + w[-1]
+                z = fourier(x, *fourier_map(**kernel)) @ w[:-1] + w[-1]
             else:
-                z = G.network_output(x, w, shapes)[-1][:, 0]
+                z = network_output(x, w, shapes)[-1][:, 0]
             return pd.Series(z * std[-1] + mean[-1])
 
         return predict(*[number(df, c) for c in self.features])
@@ -231,13 +241,13 @@ def _plain(value: Any) -> Any:
 def _vector(df: DataFrame, features: list[str], kernel: dict | None = None) -> DataFrame:
     """Assemble ``features``; with ``kernel``, as random Fourier features."""
     if kernel:
-        freq, phase = G.fourier_map(**kernel["map"])
+        freq, phase = fourier_map(**kernel["map"])
         mean, std = np.array(kernel["mean"]), np.array(kernel["std"])
 
         @F.pandas_udf("array<double>")
         def lift(*cols: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(dtype=np.float64) for c in cols])
-            return pd.Series(list(G.fourier((x - mean) / std, freq, phase)))
+            return pd.Series(list(fourier((x - mean) / std, freq, phase)))
 
         return df.withColumn("features", array_to_vector(lift(*[number(df, c) for c in features])))
     if len(features) == 1 and df.schema[features[0]].dataType.typeName() == "array":
@@ -286,7 +296,7 @@ def _regressor(algorithm: str, p: dict, target: str):
 
 def _kernel(df: DataFrame, features: list[str], p: dict) -> dict:
     """RBF width: 1 / d on standardised features unless gamma is given."""
-    scale = G.Standardised.of(df, features)
+    scale = Standardised.of(df, features)
     gamma = p["gamma"] if isinstance(p.get("gamma"), float) else 1.0 / len(features)
     width = {"width": len(features), "size": FOURIER_SIZE, "gamma": gamma, "seed": p.get("random_state", SEED)}
     return {"map": width, "mean": scale.mean.tolist(), "std": scale.std.tolist()}
@@ -394,15 +404,15 @@ def _fit_gradient(df: DataFrame, model: Model, p: dict, max_jobs: int) -> Model:
     if model.algorithm == "svm_regressor":
         gamma = p["gamma"] if isinstance(p.get("gamma"), float) else 1.0 / width
         kernel = {"width": width, "size": FOURIER_SIZE, "gamma": gamma, "seed": SEED}
-        loss = G.epsilon_loss(*G.fourier_map(**kernel), float(p.get("epsilon", 0.1)))
+        loss = epsilon_loss(*fourier_map(**kernel), float(p.get("epsilon", 0.1)))
         start, penalty = np.zeros(FOURIER_SIZE + 1), 1.0 / (p["C"] * max(1, df.count()))
         model.extra["fourier"] = kernel
     else:
-        shapes = G.network_shapes(width, list(p["hidden_layer_sizes"]))
-        loss, start = G.squared_loss(shapes), G.initial_network(shapes, p["random_state"])
+        shapes = network_shapes(width, list(p["hidden_layer_sizes"]))
+        loss, start = squared_loss(shapes), initial_network(shapes, p["random_state"])
         penalty = p.get("alpha", 1e-4)
         model.extra["shapes"] = shapes
-    w, scale, trace = G.train(
+    w, scale, trace = train(
         df, model.features, model.target, loss, start, penalty, min(max_jobs, p.get("max_iter", 1000))
     )
     model.extra.update(

@@ -127,9 +127,12 @@ def prepare_basic(df: DataFrame, config: dict | None = None) -> Prepared:
 
 
 def _report(spark, before: DataFrame, after: DataFrame, notes: list[tuple[str, str]]) -> DataFrame:
-    """``(position, step, detail, rows, columns)``; first and last rows give
-    the shape before and after."""
-    rows = [(0, "original_shape", "", before.count(), len(before.columns))]
-    rows += [(i + 1, n, d, None, None) for i, (n, d) in enumerate(notes)]
-    rows.append((len(notes) + 1, "final_shape", "", after.count(), len(after.columns)))
-    return spark.createDataFrame(rows, "position int, step string, detail string, n_rows bigint, n_columns int")
+    """``(position, step, detail)``; the first and last rows give the shapes."""
+
+    def shape(df: DataFrame) -> str:
+        return f"{df.count()} rows, {len(df.columns)} columns"
+
+    rows = [("original_shape", shape(before)), *notes, ("final_shape", shape(after))]
+    return spark.createDataFrame(
+        [(i, n, d) for i, (n, d) in enumerate(rows)], "position int, step string, detail string"
+    )
