@@ -26,7 +26,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/")
+        return f"{configured.rstrip('/')}/rowmill-{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if not _local_folder:
@@ -42,3 +42,10 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what this application has settled; earlier results become
+    unreadable, so call it when the application is done."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

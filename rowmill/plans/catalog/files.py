@@ -1 +1,90 @@
-"""Queries."""
+"""Reader and writer queries: whole tables written, read back, compared."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowmill.functions.storage import checkpoint_folder
+from rowmill.operators import profile as P
+from rowmill.plans.catalog.base import query, r, table, tidy
+from rowmill.sources.readers import load_table, preview
+from rowmill.sources.writers import write_table
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/files/{uuid.uuid4().hex}"
+
+
+_CUSTOMER = f"""select c_custkey, c_name, c_nationkey, {r("c_acctbal")} as c_acctbal, c_mktsegment from customer"""
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    return tidy(
+        df.select(
+            F.col("c_custkey").cast("bigint").alias("c_custkey"),
+            "c_name",
+            F.col("c_nationkey").cast("int").alias("c_nationkey"),
+            F.col("c_acctbal").cast("double").alias("c_acctbal"),
+            "c_mktsegment",
+        )
+    )
+
+
+@query("csv_roundtrip", _CUSTOMER)
+def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Semicolon-separated: the separator is found from the header."""
+    path = _folder(spark) + ".csv"
+    table(spark, sf, "customer").write.option("header", True).option("sep", ";").csv(path)
+    return _typed(load_table(spark, path))
+
+
+@query("json_lines_roundtrip", _CUSTOMER)
+def json_lines_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = write_table(table(spark, sf, "customer"), _folder(spark) + ".json", "json")
+    return _typed(load_table(spark, path))
+
+
+@query("json_wrapped_roundtrip", _CUSTOMER)
+def json_wrapped_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """One ``{"data": [...]}`` document per market segment."""
+    path = _folder(spark) + ".json"
+    rows = table(spark, sf, "customer")
+    packed = rows.groupBy("c_mktsegment", (F.col("c_custkey") % 16).alias("b")).agg(
+        F.collect_list(F.struct(*rows.columns)).alias("data")
+    )
+    packed.select("data").write.json(path)
+    return _typed(load_table(spark, path))
+
+
+@query("parquet_roundtrip", _CUSTOMER)
+def parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = write_table(table(spark, sf, "customer"), _folder(spark) + ".parquet")
+    return _typed(load_table(spark, path))
+
+
+@query(
+    "preview_shape",
+    "select count(*) as n_rows, 5::bigint as n_columns, least(10, count(*)) as n_preview from customer",
+)
+def preview_shape(spark: SparkSession, sf: str) -> DataFrame:
+    seen = preview(table(spark, sf, "customer"))
+    return seen["data"].agg(
+        F.lit(seen["shape"][0]).cast("bigint").alias("n_rows"),
+        F.lit(seen["shape"][1]).cast("bigint").alias("n_columns"),
+        F.count(F.lit(1)).alias("n_preview"),
+    )
+
+
+@query(
+    "table_schema",
+    """select position::int as position, "column", family, type, n from (values (0, 'event_id', 'numeric', 'bigint'),
+      (1, 'ts', 'datetime', 'timestamp_ntz'), (2, 'user_id', 'numeric', 'bigint'), (3, 'event_type', 'categorical', 'string'),
+      (4, 'value', 'numeric', 'double'), (5, 'props', 'categorical', 'string')) v(position, "column", family, type),
+      (select count(*) as n from events)""",
+)
+def table_schema(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "events")
+    return P.schema_report(df).withColumn("n", df.agg(F.count(F.lit(1))).scalar())

@@ -1 +1,80 @@
-"""Queries."""
+"""Streaming queries: each drains the events table and is compared with SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowmill.operators.missing import fit_impute
+from rowmill.operators.scale import fit_scale
+from rowmill.operators.steps import Chain
+from rowmill.plans.catalog.base import query, r, table, tidy
+from rowmill.streaming.serving import alerts, event_stream, job_status, run_to_table, serving_metrics
+
+SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    return event_stream(spark, f"{sf}/events.parquet", SCHEMA)
+
+
+def _metrics(df: DataFrame, interval: str) -> DataFrame:
+    return serving_metrics(df, F.col("event_type") == "error", F.col("value"), interval=interval)
+
+
+_WINDOWS = """w as (select time_bucket(interval '{i}', ts) as w, count(*) as request_count, avg(value) as response_time,
+  avg((event_type = 'error')::int) as error_rate from events group by 1)"""
+_START = "strftime(w, '%Y-%m-%d %H:%M:%S') as window_start"
+
+
+def _text_start(df: DataFrame) -> DataFrame:
+    return tidy(df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
+
+
+@query(
+    "stream_serving_metrics",
+    f"""with {_WINDOWS.format(i="60 seconds")} select {_START}, request_count, {r("response_time")} as response_time,
+      {r("error_rate")} as error_rate from w""",
+)
+def stream_serving_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    found = run_to_table(_metrics(_stream(spark, sf), "60 seconds"), ["window_start"], "complete")
+    return _text_start(found)
+
+
+@query(
+    "stream_alerts",
+    f"""with {_WINDOWS.format(i="1 hour")} select {_START}, 'error_rate' as metric, {r("error_rate")} as value,
+      0.3::double as "limit" from w where error_rate > 0.3
+    union all select {_START}, 'response_time', {r("response_time")}, 60.0::double from w where response_time > 60""",
+)
+def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    metrics = _metrics(_stream(spark, sf), "1 hour")
+    limits = {"error_rate": 0.3, "response_time": 60.0}
+    return _text_start(run_to_table(alerts(metrics, limits), None, "complete"))
+
+
+@query(
+    "stream_score",
+    f"""with s as (select avg(value) as m, stddev_pop(value) as d from events)
+    select event_id, {r("(value - m) / d")} as value from events, s""",
+)
+def stream_score(spark: SparkSession, sf: str) -> DataFrame:
+    """A chain fitted on the batch table, applied to the stream."""
+    batch = table(spark, sf, "events").select("event_id", "value")
+    fill = fit_impute(batch, "mean", protect=["event_id"])
+    scale = fit_scale(fill.transform(batch), protect=["event_id"])
+    scored = Chain([fill, scale]).transform(_stream(spark, sf).select("event_id", "value"))
+    return tidy(run_to_table(scored, None, "append"))
+
+
+@query(
+    "stream_job_status",
+    f"""select user_id as job_id, arg_max(event_type, (ts, event_id)) as status, {r("arg_max(value, (ts, event_id))")} as progress
+    from events group by user_id""",
+)
+def stream_job_status(spark: SparkSession, sf: str) -> DataFrame:
+    changes = _stream(spark, sf).select(
+        F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("value").alias("progress"), "ts", "event_id"
+    )
+    state = job_status(changes, "job_id", ["status", "progress"], ["ts", "event_id"])
+    return tidy(run_to_table(state, ["job_id"], "update"))

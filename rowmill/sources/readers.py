@@ -79,7 +79,7 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, lines:
     """
     if lines is None:
         first = _head(spark, path).strip()
-        lines = first.startswith(b"{") and first.endswith(b"}") and not first.startswith(b'{"data"')
+        lines = first.startswith(b"{") and first.endswith(b"}")
     reader = spark.read.schema(schema) if schema else spark.read
     df = reader.option("multiLine", not lines).json(path)
     if DATA_KEY in df.columns and df.schema[DATA_KEY].dataType.simpleString().startswith("array<struct"):

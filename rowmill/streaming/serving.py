@@ -13,9 +13,17 @@ from rowmill.functions.storage import checkpoint_folder
 INTERVAL = "60 seconds"
 
 
-def event_stream(spark: SparkSession, path: str, schema: str, time: str = "ts", files_per_trigger: int | None = None) -> DataFrame:
+def event_stream(
+    spark: SparkSession, path: str, schema: str, time: str = "ts", files_per_trigger: int | None = None
+) -> DataFrame:
     """A Parquet folder or file as a stream; NTZ times become timestamps,
-    since watermarks need them."""
+    since watermarks need them.
+
+    The path is given as a pattern, because a stream accepts a single file
+    only through one.
+    """
+    if not any(c in path for c in "*?[{"):
+        path = f"{path[:-1]}[{path[-1]}]"
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
