@@ -9,7 +9,7 @@ SMALL = os.environ.get("ROWMILL_TEST_SF", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_spark("rowmill-tests", master="local[8]", shuffle_partitions=8, driver_memory="8g")
+    session = get_spark("rowmill-tests", master="local[8]", shuffle_partitions=4, driver_memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
