@@ -104,7 +104,7 @@ def _sketch(df: DataFrame, exprs: dict[str, Column]) -> dict[str, tuple]:
     parts: list[Column] = []
     whole: list[Column] = []
     out: list[Column] = []
-    ranks = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    ranks = F.expr("array({})".format(", ".join(f"{i / GRID!r}D" for i in range(GRID + 1))))
     for i, k in enumerate(names):
         x = exprs[k]
         parts += [

@@ -279,7 +279,7 @@ def _classifier(algorithm: str, p: dict, rows: int, width: int, k: int):
             numTrees=p["n_estimators"], featureSubsetStrategy="sqrt", **_tree_params(p), **on
         )
     if algorithm == "svm_classifier":
-        svc = C.LinearSVC(regParam=1.0 / (p.get("C", 1.0) * rows), maxIter=100, **on)
+        svc = C.LinearSVC(regParam=1.0 / (p.get("C", 1.0) * rows), maxIter=30, tol=1e-3, **on)
         return svc if k == 2 else C.OneVsRest(classifier=svc, **on)
     layers = [width, *p["hidden_layer_sizes"], k]
     return C.MultilayerPerceptronClassifier(layers=layers, maxIter=p["max_iter"], seed=p["random_state"], **on)
@@ -337,7 +337,8 @@ def _fit_clusters(algorithm: str, table: DataFrame, p: dict) -> tuple[PipelineMo
         return PipelineModel([fitted]), {}
     fitted = K.KMeans(k=max(k, MICRO_CLUSTERS), seed=SEED, maxIter=10).fit(table)
     centres = np.array(fitted.clusterCenters())
-    sizes = np.maximum(1, np.array(fitted.summary.clusterSizes))
+    # Fewer distinct points than micro-clusters give fewer centres.
+    sizes = np.maximum(1, np.array(fitted.summary.clusterSizes))[: len(centres)]
     return PipelineModel([fitted]), {"merge": _ward(centres, sizes, k)}
 
 

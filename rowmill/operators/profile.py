@@ -107,38 +107,64 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     columns = columns or numeric_columns(df)
     quarts = quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
     aggs: list[Column] = [F.count(F.lit(1)).alias("_n")]
-    for c in columns:
-        x = number(df, c)
-        q = quarts[c]
+    for i, c in enumerate(columns):
+        x, q = number(df, c), quarts[c]
+        # Plain sums of powers keep the aggregate small enough for generated
+        # code; measured from the median they do not cancel.
+        d = x - F.lit(q[0.5] or 0.0)
         if q[0.25] is None:
             outside = F.lit(False)
         else:
             reach = IQR_FACTOR * (q[0.75] - q[0.25])
             outside = (x < q[0.25] - reach) | (x > q[0.75] + reach)
-        aggs.append(
-            F.struct(
-                F.count(x).alias("count"),
-                F.avg(x).alias("mean"),
-                F.stddev_samp(x).alias("std"),
-                F.min(x).alias("min"),
-                F.max(x).alias("max"),
-                skew_g1(x).alias("skewness"),
-                F.count_if(outside).alias("outliers"),
-            ).alias(f"s_{c}")
-        )
-    wide = df.agg(*aggs)
-    quart = {
-        name: lambda c, p=p: F.lit(quarts[c][p]).cast("double")
-        for name, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))
-    }
-    stat = {
-        k: lambda c, k=k: col(f"s_{c}").getField(k)
-        for k in ("count", "mean", "std", "min", "max", "skewness", "outliers")
-    }
+        aggs += [
+            F.count(x).alias(f"n{i}"),
+            F.sum(d).alias(f"a{i}"),
+            F.sum(d * d).alias(f"b{i}"),
+            F.sum(d * d * d).alias(f"c{i}"),
+            F.min(x).alias(f"lo{i}"),
+            F.max(x).alias(f"hi{i}"),
+            F.count_if(outside).alias(f"o{i}"),
+        ]
+    at = {c: i for i, c in enumerate(columns)}
+
+    def of(prefix: str, c: str) -> Column:
+        return F.col(f"{prefix}{at[c]}")
+
+    def n(c: str) -> Column:
+        return F.nullif(of("n", c), F.lit(0)).cast("double")
+
+    def shift(c: str) -> Column:
+        return of("a", c) / n(c)
+
+    def square(c: str) -> Column:
+        return F.when(of("hi", c) > of("lo", c), of("b", c) - n(c) * shift(c) * shift(c)).otherwise(F.lit(0.0))
+
+    def skew(c: str) -> Column:
+        k, m, s2 = n(c), shift(c), square(c)
+        cube = of("c", c) - 3 * m * of("b", c) + 2 * k * m * m * m
+        g1 = F.when(s2 > 0, F.sqrt(k) * cube / F.pow(s2, F.lit(1.5))).otherwise(F.lit(0.0))
+        return F.when(k > 2, g1 * F.sqrt(k * (k - 1)) / (k - 2))
+
+    def quart(p: float):
+        return lambda c: F.lit(quarts[c][p]).cast("double")
+
     return long_rows(
-        wide,
+        df.agg(*aggs),
         columns,
-        {**stat, **quart, "missing": lambda c: F.col("_n") - col(f"s_{c}").getField("count")},
+        {
+            "count": lambda c: of("n", c),
+            "mean": lambda c: shift(c) + F.lit(quarts[c][0.5] or 0.0),
+            "std": lambda c: F.when(n(c) > 1, F.sqrt(square(c) / (n(c) - 1))),
+            "min": lambda c: of("lo", c),
+            "max": lambda c: of("hi", c),
+            "skewness": skew,
+            "outliers": lambda c: of("o", c),
+            "q25": quart(0.25),
+            "median": quart(0.5),
+            "q75": quart(0.75),
+            "missing": lambda c: F.col("_n") - of("n", c),
+        },
     )
 
 
