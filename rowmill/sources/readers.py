@@ -48,10 +48,10 @@ def sniff_separator(line: str) -> str:
 def sniff_encoding(spark: SparkSession, path: str) -> str:
     """utf-8 unless some line is not valid utf-8, then latin-1.
 
-    Checked by the executors over the whole input: Spark's text reader turns
-    bad bytes into U+FFFD.
+    Checked by the executors over the whole input; name the encoding when
+    reading large files to save that pass.
     """
-    bad = spark.read.text(path).filter(F.col("value").contains("�")).limit(1)
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
