@@ -5,6 +5,7 @@ from rowmill.llm import (  # noqa: E402,F401  (registration by import)
     queries_chat,
     queries_licenses,
     queries_lines,
+    queries_neardup,
     queries_urls,
 )
 
