@@ -7,6 +7,7 @@ from rowmill.llm import (  # noqa: E402,F401  (registration by import)
     queries_lines,
     queries_neardup,
     queries_quality,
+    queries_rules,
     queries_urls,
 )
 
