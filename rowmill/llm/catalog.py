@@ -6,6 +6,7 @@ from rowmill.llm import (  # noqa: E402,F401  (registration by import)
     queries_licenses,
     queries_lines,
     queries_neardup,
+    queries_packing,
     queries_quality,
     queries_rules,
     queries_urls,
