@@ -3,6 +3,7 @@
 from rowmill.llm.registry import ORACLES, QUERIES
 from rowmill.llm import (  # noqa: E402,F401  (registration by import)
     queries_chat,
+    queries_decontaminate,
     queries_licenses,
     queries_lines,
     queries_neardup,
