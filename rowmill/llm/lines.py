@@ -78,7 +78,7 @@ def repeats(
     distinct places (from 0) of the lines to delete."""
     read = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), _lines(F.col(text)).alias("lines"))
     # Written, so that the line arrays are read, not made anew, inside the windows.
-    lined = settle(read.filter(F.size("lines") > 0))
+    lined = settle(read)
     windows = settle(
         lined.select("doc_id", "text_hash", F.explode(_windows(F.col("lines"), run_lines, run_words)).alias("w")).select(
             "doc_id", "text_hash", "w.*"
