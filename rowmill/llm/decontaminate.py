@@ -18,6 +18,8 @@ a text they count as such marks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,24 +54,26 @@ def _mark(word: Column) -> Column:
     return F.when(word.startswith(NUMBER), NUMBER).when(word.startswith(NAME), NAME).when(word.startswith(UNIT), UNIT)
 
 
-def _window_hashes(words: Column, size: int) -> Column:
-    """Array of one hash per window of ``size`` canonical tokens."""
-    hashes = F.transform(words, lambda w: F.xxhash64(F.coalesce(_mark(w), w)))
-    out, held = None, 0
-    power, width = hashes, 1
-    # Hashes of 1, 2, 4 ... tokens; those in the binary form of size are joined.
-    while True:
+def _with_windows(df: DataFrame, size: int, into: str) -> DataFrame:
+    """Adds an array with one hash per window of ``size`` tokens of ``words``.
+
+    Hashes of 1, 2, 4 ... tokens are made in columns of their own, each used
+    twice, so that Catalyst keeps them apart and none is computed again.
+    """
+    df = df.withColumn("_p1", F.transform("words", lambda w: F.xxhash64(F.coalesce(_mark(w), w))))
+    out, held, width = None, 0, 1
+    while width <= size:
         if size & width:
-            if out is None:
-                out, held = power, width
-            else:
-                out, held = _joined(out, power, held), held + width
+            out, held = (f"_p{width}", width) if out is None else (f"_o{width}", held + width)
+            if out[1] == "o":
+                df = df.withColumn(out, _joined(F.col(before), F.col(f"_p{width}"), held - width))
+            before = out
         width *= 2
-        if width > size:
-            return F.when(F.size(words) >= size, F.slice(out, F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(0)))).otherwise(
-                F.array().cast("array<bigint>")
-            )
-        power = _joined(power, power, width // 2)
+        if width <= size:
+            df = df.withColumn(f"_p{width}", _joined(F.col(f"_p{width // 2}"), F.col(f"_p{width // 2}"), width // 2))
+    whole = F.slice(out, F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(0)))
+    df = df.withColumn(into, F.when(F.size("words") >= size, whole).otherwise(F.array().cast("array<bigint>")))
+    return df.drop(*[c for c in df.columns if re.fullmatch("_[po][0-9]+", c)])
 
 
 def _joined(a: Column, b: Column, shift: int) -> Column:
@@ -86,7 +90,9 @@ def _typed(words: Column) -> Column:
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """gram, item_id, ipos, size per window of every item."""
     worded = items.select(F.col(key).alias("item_id"), slotted_words(F.col(text)).alias("words"))
-    made = worded.select("item_id", F.size("words").alias("size"), F.posexplode(_window_hashes(F.col("words"), WINDOW)).alias("ipos", "gram"))
+    made = _with_windows(worded, WINDOW, "grams").select(
+        "item_id", F.size("words").alias("size"), F.posexplode("grams").alias("ipos", "gram")
+    )
     return made.select("gram", "item_id", "ipos", "size")
 
 
@@ -101,15 +107,15 @@ def leaks(
     worded = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).select(
         "doc_id", slotted_words(F.col("text")).alias("words")
     )
-    placed = F.transform(_window_hashes(F.col("words"), WINDOW), lambda g, i: F.struct(g.alias("gram"), i.alias("pos")))
+    placed = F.transform("grams", lambda g, i: F.struct(g.alias("gram"), i.alias("pos")))
     # With few items the semi join is done in place; with many all windows go to the join.
     hits = F.filter(placed, lambda x: x["gram"].isin(listed)) if len(listed) <= LISTED else placed
-    # Written once, so row numbers hold even if a task runs again.
+    # Written once, so row numbers hold even if a task runs again; filtered after
+    # that, since a filter here would be pushed down and make all of it twice.
     found = settle(
-        worded.select("doc_id", hits.alias("hits"), _typed(F.col("words")).alias("slots"))
-        .filter(F.size("hits") > 0)
+        _with_windows(worded, WINDOW, "grams").select("doc_id", hits.alias("hits"), _typed(F.col("words")).alias("slots"))
         .withColumn("row", F.monotonically_increasing_id())
-    )
+    ).filter(F.size("hits") > 0)
     matched = (
         found.select("row", F.explode("hits").alias("h"))
         .select("row", "h.*")
