@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become tokens: a number, a name (capitalised after a lower-case letter,
+Words become tokens: a number, a name (a capital and small letters, after a lower-case letter,
 digit or comma and a blank) or a unit (after a number) is replaced by a typed
 placeholder, everything else by its lower case.  Windows of ``WINDOW`` tokens
 are hash-joined with those of the benchmark items, matches are gathered by item
@@ -45,7 +45,7 @@ def slotted_words(text: Column) -> Column:
     """Words in lower case; slot values keep a mark of their type in front."""
     out = F.coalesce(text, F.lit(""))
     out = F.regexp_replace(out, rf"(?i)(?<=\p{{Nd}} ?)({'|'.join(UNITS)})(?![\p{{L}}\p{{Nd}}])", f" {UNIT}$1")
-    out = F.regexp_replace(out, r"(?<=[\p{Ll}\p{Nd},] )(\p{Lu}\p{L}*)", f"{NAME}$1")
+    out = F.regexp_replace(out, r"(?<=[\p{Ll}\p{Nd},] )(\p{Lu}\p{Ll}\p{L}*)", f"{NAME}$1")
     out = F.regexp_replace(out, r"(\p{Nd}+)", f" {NUMBER}$1 ")
     return F.filter(F.split(F.lower(out), "[^\\p{L}\\p{M}\\p{Nd}\u0001-\u0003]+"), lambda w: w != "")
 
