@@ -10,6 +10,7 @@ from rowmill.llm import (  # noqa: E402,F401  (registration by import)
     queries_packing,
     queries_quality,
     queries_rules,
+    queries_tokencount,
     queries_urls,
 )
 
