@@ -9,8 +9,8 @@ position) is a repeat, overlapping repeats extend each other to whole runs, and
 their lines are deleted.  Every deleted line's text survives at an earlier
 place.
 
-Lines are split at ``\\n``; blank ones are no part of passages and stay, unless
-the text keeps no other line.  Defined results: a NULL text stays NULL, an empty
+Lines are split at ``\\n``; blank ones are no part of passages, go where they
+stand inside a repeat and stay elsewhere, unless the text keeps no other line.  Defined results: a NULL text stays NULL, an empty
 one empty; rows equal in id and text are one document and get one result; NULL
 ids come first; an empty table gives no rows; extra columns pass through, and
 no name is added but those returned by ``repeats``.
@@ -89,7 +89,7 @@ def repeats(
     met = windows.join(shared, "print")
     place = F.struct("doc_id", "text_hash", "first")
     origin = settle(
-        met.groupBy("a", "b", (F.col("last") - F.col("first")).alias("reach"))
+        met.groupBy("a", "b")
         .agg(F.min(place).alias("origin"), F.max(place).alias("latest"))
         .filter(~F.col("origin").eqNullSafe(F.col("latest")))
         .select("a", "b", "origin")

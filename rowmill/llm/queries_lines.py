@@ -27,7 +27,7 @@ windows as (
   union all select doc_id, pos, pos, [line] from ahead where n >= {RUN_WORDS}
   union all select doc_id, pos, at2, [line, line2] from ahead where n < {RUN_WORDS} and at2 is not null and n + n2 >= {RUN_WORDS}),
 ranked as (
-  select *, row_number() over (partition by passage, last_at - first_at order by doc_id, first_at) as place from windows),
+  select *, row_number() over (partition by passage order by doc_id, first_at) as place from windows),
 cuts as (
   select doc_id, list_sort(list_distinct(flatten(list(range(first_at, last_at + 1))))) as cut
   from ranked where place > 1 group by doc_id),
