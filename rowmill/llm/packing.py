@@ -134,8 +134,9 @@ def best_fit(sizes: np.ndarray, limit: int) -> list[list[int]]:
 def improve(bins: list[list[int]], sizes: np.ndarray, limit: int) -> list[list[int]]:
     """Local search: empty the least filled bins into the other underfull ones.
 
-    A step moves ``d`` tokens from the source to a target that holds at least as
-    much afterwards as the source did, which raises the sum of squared fills.
+    A step moves tokens from the source to a target that holds more afterwards
+    than the source did, which raises the sum of squared fills; of all steps the
+    one that leaves its target the least room is taken.
     """
     fewest = -(-int(sizes.sum()) // limit)
     fill = np.array([int(sizes[b].sum()) for b in bins])
@@ -153,26 +154,31 @@ def improve(bins: list[list[int]], sizes: np.ndarray, limit: int) -> list[list[i
         home = np.array([b for b in others for _ in bins[b]], int)
         while bins[source]:
             room = limit - fill
-            best = None  # (moved, given, taken index or -1, target)
+            best = None  # (room left, -moved, given, taken index or -1, target)
             mine = sorted(bins[source], key=lambda i: -sizes[i])
             targets = np.array(others)
             for i in mine:
-                fits = targets[room[targets] >= sizes[i]]
-                if len(fits):
-                    best = (int(sizes[i]), (i,), -1, int(fits[np.argmin(room[fits])]))
+                left = np.where(room[targets] >= sizes[i], room[targets] - sizes[i], limit)
+                at = int(np.argmin(left))
+                step = (int(left[at]), -int(sizes[i]), (i,), -1, int(targets[at]))
+                if left[at] < limit and (best is None or step[:2] < best[:2]):
+                    best = step
+            # One for one, and two of the source for one; pairs of its dozen longest.
+            few = mine[:12]
+            for given in [(i,) for i in mine] + [(a, b) for k, a in enumerate(few) for b in few[k + 1 :]]:
+                if best is not None and best[0] == 0:
                     break
-            if best is None:
-                pairs = [(i,) for i in mine] + [(mine[a], mine[b]) for a in range(min(len(mine), 12)) for b in range(a + 1, min(len(mine), 12))]
-                for given in pairs:
-                    moved = int(sizes[list(given)].sum()) - sizes[item]
-                    able = (moved > 0) & (moved <= room[home]) & (fill[home] + moved > fill[source])
-                    if able.any():
-                        at = int(np.argmax(np.where(able, moved, -1)))
-                        if best is None or moved[at] > best[0]:
-                            best = (int(moved[at]), given, at, int(home[at]))
+                moved = int(sizes[list(given)].sum()) - sizes[item]
+                able = (moved > 0) & (moved <= room[home]) & (fill[home] + moved > fill[source])
+                left = np.where(able, room[home] - moved, limit)
+                at = int(np.argmin(left))
+                step = (int(left[at]), -int(moved[at]), given, at, int(home[at]))
+                if able[at] and (best is None or step[:2] < best[:2]):
+                    best = step
             if best is None:
                 break
-            moved, given, at, target = best
+            _, moved, given, at, target = best
+            moved = -moved
             for i in given:
                 bins[source].remove(i)
                 bins[target].append(i)
