@@ -41,6 +41,30 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return _typed(load_table(spark, path))
 
 
+@query("csv_documents", "select doc_id, md5(text) as text_md5, lang, length(text) as n from documents")
+def csv_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with quotes, separators and line breaks."""
+    path = write_table(table(spark, sf, "documents"), _folder(spark) + ".csv", "csv")
+    read = load_table(spark, path, multi_line=True, schema="doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return read.select("doc_id", F.md5("text").alias("text_md5"), "lang", F.length("text").cast("bigint").alias("n"))
+
+
+@query(
+    "csv_missing_tokens",
+    f"""select o_orderkey, case when o_orderkey % 5 > 0 then {r("o_totalprice")} end as price,
+      case when o_orderkey % 7 > 0 then o_orderstatus end as status, 'double' as price_type from orders""",
+)
+def csv_missing_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """NA, NaN and null written as text are missing, and the price stays a number."""
+    path, k = _folder(spark) + ".csv", F.col("o_orderkey")
+    price = F.when(k % 5 > 0, F.col("o_totalprice").cast("string")).otherwise(F.when(k % 2 == 0, "NA").otherwise("NaN"))
+    status = F.when(k % 7 > 0, F.col("o_orderstatus")).otherwise("null")
+    write_table(table(spark, sf, "orders").select(k, price.alias("price"), status.alias("status")), path, "csv")
+    read = load_table(spark, path)
+    kind = F.lit(dict(read.dtypes)["price"]).alias("price_type")
+    return tidy(read.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "price", "status", kind))
+
+
 @query("json_lines_roundtrip", _CUSTOMER)
 def json_lines_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = write_table(table(spark, sf, "customer"), _folder(spark) + ".json", "json")

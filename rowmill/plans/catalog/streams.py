@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowmill.functions.storage import checkpoint_folder
 from rowmill.operators.missing import fit_impute
 from rowmill.operators.scale import fit_scale
 from rowmill.operators.steps import Chain
@@ -14,12 +17,20 @@ from rowmill.streaming.serving import alerts, event_stream, job_status, run_to_t
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+#: The copy's files come in any order of time, so rows may be as late as the table is long.
+LATENESS = "40 days"
+
+
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    return event_stream(spark, f"{sf}/events.parquet", SCHEMA)
+    """events as a stream of several micro-batches."""
+    path = f"{checkpoint_folder(spark)}/streams/{uuid.uuid4().hex}"
+    table(spark, sf, "events").repartition(3).write.parquet(path)
+    return event_stream(spark, path, SCHEMA, files_per_trigger=1)
 
 
 def _metrics(df: DataFrame, interval: str) -> DataFrame:
-    return serving_metrics(df, F.col("event_type") == "error", F.col("value"), interval=interval)
+    latest = serving_metrics(df, F.col("event_type") == "error", F.col("value"), interval=interval, lateness=LATENESS)
+    return run_to_table(latest, ["window_start"], "update")
 
 
 _WINDOWS = """w as (select time_bucket(interval '{i}', ts) as w, count(*) as request_count, avg(value) as response_time,
@@ -37,8 +48,7 @@ def _text_start(df: DataFrame) -> DataFrame:
       {r("error_rate")} as error_rate from w""",
 )
 def stream_serving_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    found = run_to_table(_metrics(_stream(spark, sf), "60 seconds"), ["window_start"], "complete")
-    return _text_start(found)
+    return _text_start(_metrics(_stream(spark, sf), "60 seconds"))
 
 
 @query(
@@ -50,7 +60,7 @@ def stream_serving_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
     metrics = _metrics(_stream(spark, sf), "1 hour")
     limits = {"error_rate": 0.3, "response_time": 60.0}
-    return _text_start(run_to_table(alerts(metrics, limits), None, "complete"))
+    return _text_start(alerts(metrics, limits))
 
 
 @query(

@@ -6,8 +6,11 @@ import os
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rowmill.functions.columns import col
 
 # Extensions, separators and encodings in the order tried.
 EXTENSIONS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
@@ -15,6 +18,12 @@ UPLOAD_TYPES = ("csv", "json", "parquet")
 SEPARATORS = [",", ";", "\t", "|"]
 DATA_KEY = "data"
 PREVIEW_ROWS = 10
+# Texts that stand for a missing value, and for infinity.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+INFINITE = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 
 
 def detect_file_type(path: str) -> str:
@@ -26,21 +35,28 @@ def allowed_file(path: str) -> bool:
     return "." in path and path.rsplit(".", 1)[1].lower() in UPLOAD_TYPES
 
 
-def _head(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of the first file, enough to see its first line."""
+#: Bytes of the first line that reach the driver.
+HEAD_BYTES = 65536
+
+
+def _head(spark: SparkSession, path: str) -> tuple[bytes, str]:
+    """The start of the first line, cut on the executor, and its last character."""
+    line = F.col("value").cast("binary")
     first = (
         spark.read.text(path)
-        .select(F.col("value").cast("binary").alias("b"))
         .limit(1)
+        .select(F.substring(line, 1, HEAD_BYTES).alias("head"), F.right(F.rtrim("value"), F.lit(1)).alias("last"))
         .collect()
     )
-    return bytes(first[0]["b"]) if first else b""
+    return (bytes(first[0]["head"]), first[0]["last"]) if first else (b"", "")
 
 
 def sniff_separator(line: str) -> str:
-    """The first separator that splits the header into several columns."""
+    """The first separator that splits the header into several columns; what
+    stands in quotes does not count."""
+    bare = re.sub(r'"[^"]*"', "", line)
     for sep in SEPARATORS:
-        if len(re.split(re.escape(sep), line)) > 1:
+        if sep in bare:
             return sep
     return SEPARATORS[0]
 
@@ -55,20 +71,78 @@ def sniff_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
+def _refuse_open_quotes(spark: SparkSession, path: str) -> None:
+    """A line with an odd number of quotes is part of a record that goes on in
+    the next line, which a reader that cuts files into tasks would break."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    if not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty():
+        raise ValueError("a quoted value goes over several lines: read with multi_line=True")
+
+
+def _kinds(text: Column) -> dict[str, Column]:
+    """Type -> whether a text is one of its values, narrowest type first."""
+    number = text.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$") | F.lower(F.trim(text)).isin(*INFINITE)
+    whole = text.rlike(r"^\s*[+-]?[0-9]+\s*$")
+    return {
+        "int": whole & text.try_cast("int").isNotNull(),
+        "bigint": whole & text.try_cast("bigint").isNotNull(),
+        "double": number,
+        "boolean": F.lower(F.trim(text)).isin("true", "false"),
+        "date": text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & text.try_cast("date").isNotNull(),
+        "timestamp": text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & text.try_cast("timestamp").isNotNull(),
+    }
+
+
+def _inferred(df: DataFrame) -> list[str]:
+    """The narrowest type that holds all values of each text column, in one pass."""
+    facts = df.agg(
+        *[
+            F.struct(
+                F.count(col(c)).alias("n"), *[F.count_if(hit).alias(kind) for kind, hit in _kinds(col(c)).items()]
+            ).alias(f"s{i}")
+            for i, c in enumerate(df.columns)
+        ]
+    ).first()
+    return [next((k for k in _kinds(F.lit("")) if row["n"] and row[k] == row["n"]), "string") for row in facts]
+
+
+def _typed(text: Column, kind: str) -> Column:
+    if kind == "string":
+        return text
+    if kind in ("float", "double"):
+        sign = F.when(F.trim(text).startswith("-"), float("-inf")).otherwise(float("inf"))
+        return F.when(F.lower(F.trim(text)).isin(*INFINITE), sign).otherwise(text.try_cast(kind)).cast(kind)
+    return text.try_cast(kind)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     sep: str | None = None,
     encoding: str | None = None,
     schema: str | None = None,
+    multi_line: bool = False,
+    null_values: tuple[str, ...] = MISSING,
 ) -> DataFrame:
-    """CSV with header.  Give ``schema`` at scale: inference is a full pass."""
+    """CSV with header; quotes are doubled inside quoted values.
+
+    Values equal to one of ``null_values`` are missing, and types are inferred
+    from the rest; give ``schema`` at scale, since inference is a full pass.
+    ``multi_line`` allows line breaks inside quotes and reads each file in one
+    task; without it such a file is refused.
+    """
     encoding = encoding or sniff_encoding(spark, path)
-    sep = sep or sniff_separator(_head(spark, path).decode("utf-8", "replace"))
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+    sep = sep or sniff_separator(_head(spark, path)[0].decode("utf-8", "replace"))
+    if not multi_line:
+        _refuse_open_quotes(spark, path)
+    reader = spark.read.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multi_line)
     if schema:
-        return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", True).csv(path)
+        wanted = T.StructType.fromDDL(schema)
+        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in wanted]))
+    df = reader.csv(path)
+    df = df.select(*[F.when(~col(c).isin(*null_values), col(c)).alias(c) for c in df.columns])
+    kinds = [f.dataType.simpleString() for f in wanted] if schema else _inferred(df)
+    return df.select(*[_typed(col(c), k).alias(c) for c, k in zip(df.columns, kinds, strict=True)])
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool | None = None) -> DataFrame:
@@ -78,8 +152,8 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, lines:
     JSON document cannot be cut.
     """
     if lines is None:
-        first = _head(spark, path).strip()
-        lines = first.startswith(b"{") and first.endswith(b"}")
+        head, last = _head(spark, path)
+        lines = head.strip().startswith(b"{") and last == "}"
     reader = spark.read.schema(schema) if schema else spark.read
     df = reader.option("multiLine", not lines).json(path)
     if DATA_KEY in df.columns and df.schema[DATA_KEY].dataType.simpleString().startswith("array<struct"):
@@ -98,17 +172,17 @@ def load_table(spark: SparkSession, path: str, file_type: str | None = None, **o
         elif kind == "parquet":
             df = spark.read.parquet(path)
         else:
-            raise ValueError(f"Unsupported file type: {kind}")
+            raise ValueError(f"no reader for file type {kind!r}")
     except AnalysisException as e:
-        raise ValueError(f"Error loading data: {e}") from e
+        raise ValueError(f"{path} cannot be read as {kind}: {e}") from e
     return validate(df)
 
 
 def validate(df: DataFrame) -> DataFrame:
     if not df.columns:
-        raise ValueError("Dataset has no columns")
+        raise ValueError("the table has no columns")
     if df.isEmpty():
-        raise ValueError("Dataset is empty")
+        raise ValueError("the table has no rows")
     return df
 
 

@@ -9,15 +9,16 @@ from rowmill.functions.columns import col
 
 
 def write_table(df: DataFrame, path: str, file_type: str = "parquet", mode: str = "overwrite") -> str:
+    """CSV doubles quotes inside values, as the reader expects."""
     writer = df.write.mode(mode)
     if file_type == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(header=True, quote='"', escape='"').csv(path)
     elif file_type == "json":
         writer.json(path)
     elif file_type == "parquet":
         writer.parquet(path)
     else:
-        raise ValueError(f"Unsupported file type: {file_type}")
+        raise ValueError(f"no writer for file type {file_type!r}")
     return path
 
 

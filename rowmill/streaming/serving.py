@@ -81,13 +81,18 @@ def run_to_table(stream: DataFrame, key: list[str] | None, mode: str = "update",
     """Drain a stream into a table of the shared folder and read it back.
 
     Every micro-batch overwrites its own folder, so a retried batch leaves no
-    duplicates; with ``key`` the reader keeps the latest batch of each key.
+    duplicates.  In update mode ``key`` is needed, and the latest batch of each
+    key is read.  In complete mode each batch is the whole result and replaces
+    the one before.
     """
+    if mode == "update" and not key:
+        raise ValueError("update mode needs the key of a row")
     spark = stream.sparkSession
     path = path or f"{checkpoint_folder(spark)}/streams/{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        place = 0 if mode == "complete" else batch_id
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={place}")
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -99,7 +104,7 @@ def run_to_table(stream: DataFrame, key: list[str] | None, mode: str = "update",
     query.awaitTermination()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
     rows = spark.read.schema(f"{schema}, batch bigint").parquet(f"{path}/rows")
-    if key is None:
+    if key is None or mode == "complete":
         return rows.drop("batch")
     rest = [c for c in stream.columns if c not in key]
     latest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("s"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowmill.operators import board as B
 from rowmill.sources import readers, registry
-from rowmill.streaming.serving import event_stream, run_to_table, serving_metrics
+from rowmill.streaming.serving import alerts, event_stream, run_to_table, serving_metrics
 
 
 def write(path, data):
@@ -26,6 +26,28 @@ def test_csv_latin1(spark, tmp_path):
     assert df.first()["b"] == "café"
 
 
+def test_csv_quotes_breaks_and_missing_tokens(spark, tmp_path):
+    path = write(tmp_path / "t.csv", 'id,"a;b",x\n1,"He said ""hi"", ok",NA\n2,"two\nlines",-inf\nNA,plain,2.5\n')
+    with pytest.raises(ValueError, match="multi_line"):
+        readers.load_table(spark, path)
+    df = readers.load_table(spark, path, multi_line=True)
+    assert df.dtypes == [("id", "int"), ("a;b", "string"), ("x", "double")]
+    assert [tuple(r) for r in df.collect()] == [(1, 'He said "hi", ok', None), (2, "two\nlines", float("-inf")), (None, "plain", 2.5)]
+    same = readers.load_table(spark, path, multi_line=True, schema="id bigint, t string, x string")
+    assert [r["id"] for r in same.collect()] == [1, 2, None]
+
+
+def test_csv_types(spark, tmp_path):
+    text = "i,l,d,b,day,ts,s,none\n1,1,1,true,2024-01-02,2024-01-02 03:04:05,12:30,NA\n-2,9999999999,1e3,FALSE,2024-02-03,2024-02-03,x,\n"
+    df = readers.load_table(spark, write(tmp_path / "t.csv", text))
+    assert [t for _, t in df.dtypes] == ["int", "bigint", "double", "boolean", "date", "timestamp", "string", "string"]
+    assert df.orderBy("i").first()["l"] == 9999999999
+
+
+def test_separator_outside_quotes():
+    assert readers.sniff_separator('"a,b";c') == ";"
+
+
 @pytest.mark.parametrize(
     "text, n",
     [
@@ -47,9 +69,9 @@ def test_file_types():
 
 
 def test_bad_inputs(spark, tmp_path):
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="no reader"):
         readers.load_table(spark, "x.bin", "bin")
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no rows"):
         readers.load_table(spark, write(tmp_path / "t.csv", "a,b\n"))
 
 
@@ -131,3 +153,25 @@ def test_streamed_metrics_equal_batch(spark, tmp_path):
     batch = serving_metrics(spark.read.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")), *args)
     got = run_to_table(stream, ["window_start"], "update")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_batches_do_not_change_alerts(spark, tmp_path):
+    whole, parts = str(tmp_path / "one"), str(tmp_path / "three")
+    day = dt.datetime(2024, 1, 1)
+    rows = [(day + dt.timedelta(seconds=7 * i), "error" if i % 3 else "ok", float(i % 50)) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.coalesce(1).write.parquet(whole)
+    df.repartition(3).write.parquet(parts)
+
+    def run(folder, mode):
+        stream = event_stream(spark, folder, SCHEMA, files_per_trigger=1)
+        metrics = serving_metrics(stream, F.col("event_type") == "error", F.col("value"), lateness="1 day")
+        limits = {"error_rate": 0.7, "response_time": 24.0}
+        if mode == "complete":
+            return sorted(map(tuple, run_to_table(alerts(metrics, limits), None, mode).collect()))
+        return sorted(map(tuple, alerts(run_to_table(metrics, ["window_start"], mode), limits).collect()))
+
+    want = run(whole, "complete")
+    assert want and run(parts, "complete") == want and run(parts, "update") == want
+    with pytest.raises(ValueError, match="key"):
+        run_to_table(event_stream(spark, whole, SCHEMA), None, "update")
