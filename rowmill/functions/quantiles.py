@@ -265,5 +265,12 @@ def quantiles(
             t.at_end(r) if t.at_end(r) is not None else found[unsolved.index(t)][r]
             for r in (t.rank, t.last)
         )
-        result[t.column][t.prob] = low + (high - low) * t.frac
+        # Infinite neighbours must not give inf - inf.
+        if t.frac == 0 or low == high:
+            value = low
+        elif math.isinf(low) or math.isinf(high):
+            value = low * (1 - t.frac) + high * t.frac
+        else:
+            value = low + (high - low) * t.frac
+        result[t.column][t.prob] = value
     return result

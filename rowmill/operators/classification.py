@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowmill.functions.columns import col
 from rowmill.functions.ordering import running_totals
 from rowmill.functions.stats import ratio
+from rowmill.functions.storage import settle
 
 
 def pair_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -24,14 +25,14 @@ def classes(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """All class pairs, empty cells as 0.  The result has classes^2 rows."""
-    cells = pair_counts(df, actual, predicted)
-    every = cells.select(F.explode(F.array("actual", "predicted")).alias("c"), "actual", "predicted", "n")
-    known = every.agg(F.collect_set("c").alias("k")).scalar()
-    empty = (
-        every.select(F.col("c").alias("actual"))
-        .distinct()
-        .select("actual", F.explode(known).alias("predicted"), F.lit(0).cast("bigint").alias("n"))
+    """All class pairs, empty cells as 0; NULL is a class like any other.  The
+    result has classes^2 rows, by definition."""
+    cells = settle(pair_counts(df, actual, predicted))
+    every = cells.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct()
+    # Structs, since collecting a bare NULL would lose it.
+    known = every.agg(F.collect_list(F.struct("c")).alias("k")).scalar()
+    empty = every.select(F.col("c").alias("actual"), F.explode(known).alias("p")).select(
+        "actual", F.col("p.c").alias("predicted"), F.lit(0).cast("bigint").alias("n")
     )
     return cells.unionByName(empty).groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
 

@@ -44,6 +44,17 @@ def epsilon_loss(freq: np.ndarray, phase: np.ndarray, epsilon: float) -> BatchLo
     return loss
 
 
+def linear_epsilon_loss(epsilon: float) -> BatchLoss:
+    """The same loss on the inputs themselves."""
+
+    def loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+        e = x @ w[:-1] + w[-1] - y
+        over = np.sign(e) * np.maximum(np.abs(e) - epsilon, 0.0)
+        return float((over * over).sum()) / 2, np.append(x.T @ over, over.sum())
+
+    return loss
+
+
 def network_shapes(width: int, hidden: list[int]) -> list[tuple[int, int]]:
     sizes = [width, *hidden, 1]
     return list(zip(sizes[:-1], sizes[1:]))

@@ -25,6 +25,7 @@ from rowmill.operators.gradient import (
     fourier,
     fourier_map,
     initial_network,
+    linear_epsilon_loss,
     network_output,
     network_shapes,
     squared_loss,
@@ -95,8 +96,12 @@ POSITIVE, POSITIVE_FLOOR = ("C", "gamma", "alpha", "learning_rate"), 1e-4
 ITERATIONS_FLOOR = 100
 DENSE_NETWORK = [128, 64, 32]
 
+#: Defaults of ``fit``'s sizes: random Fourier features of an RBF kernel, and
+#: weighted centres the hierarchical clustering merges exactly.
 FOURIER_SIZE = 200
 MICRO_CLUSTERS = 256
+#: Spark's trees are no deeper.
+DEEPEST = 30
 
 
 def kind_of(algorithm: str) -> str:
@@ -123,6 +128,36 @@ def parameters_for(algorithm: str, given: dict | None = None) -> dict:
     return out
 
 
+def refuse_unsupported(algorithm: str, given: dict | None) -> None:
+    """Options that would be ignored are errors."""
+    asked = given or {}
+
+    def only(name: str, *allowed: Any) -> None:
+        if name in asked and asked[name] not in allowed:
+            raise ValueError(f"{algorithm}: {name}={asked[name]!r} is not offered, only {', '.join(map(repr, allowed))}")
+
+    if algorithm in ("svm_regressor", "svm_classifier"):
+        only("kernel", "rbf", "linear")
+        if isinstance(asked.get("gamma"), str):
+            only("gamma", "auto", "scale")
+    if algorithm == "hierarchical_clustering":
+        only("linkage", "ward", "top_down")
+        only("affinity", "euclidean")
+    if algorithm == "logistic_regression":
+        only("penalty", "l1", "l2", "none", None)
+        only("solver", "lbfgs")
+    if algorithm == "neural_network_classifier":
+        only("alpha")
+    if algorithm.startswith("neural_network"):
+        only("learning_rate", "constant")
+    if algorithm == "linear_regression":
+        only("normalize", False)
+    if algorithm == "kmeans":
+        only("init", "k-means++", "random")
+    if algorithm.startswith(("decision_tree", "random_forest")) and int(asked.get("max_depth") or 1) > DEEPEST:
+        raise ValueError(f"{algorithm}: max_depth is at most {DEEPEST}")
+
+
 def recommend_algorithms(df: DataFrame, problem: str) -> DataFrame:
     """``(position, algorithm)`` by problem type and row count."""
     # Fixed values: (upper row limit, algorithms) per problem, smallest first.
@@ -256,7 +291,7 @@ def _vector(df: DataFrame, features: list[str], kernel: dict | None = None) -> D
 
 
 def _tree_params(p: dict) -> dict:
-    out = {"maxDepth": min(30, p.get("max_depth", 10)), "seed": p.get("random_state", SEED), "maxBins": 64}
+    out = {"maxDepth": p.get("max_depth", 10), "seed": p.get("random_state", SEED), "maxBins": p.get("max_bins", 64)}
     if "min_samples_leaf" in p:
         out["minInstancesPerNode"] = max(1, int(p["min_samples_leaf"]))
     elif "min_samples_split" in p:
@@ -279,7 +314,7 @@ def _classifier(algorithm: str, p: dict, rows: int, width: int, k: int):
             numTrees=p["n_estimators"], featureSubsetStrategy="sqrt", **_tree_params(p), **on
         )
     if algorithm == "svm_classifier":
-        svc = C.LinearSVC(regParam=1.0 / (p.get("C", 1.0) * rows), maxIter=30, tol=1e-3, **on)
+        svc = C.LinearSVC(regParam=1.0 / (p.get("C", 1.0) * rows), maxIter=p.get("max_iter", 1000), tol=1e-3, **on)
         return svc if k == 2 else C.OneVsRest(classifier=svc, **on)
     layers = [width, *p["hidden_layer_sizes"], k]
     return C.MultilayerPerceptronClassifier(layers=layers, maxIter=p["max_iter"], seed=p["random_state"], **on)
@@ -294,11 +329,11 @@ def _regressor(algorithm: str, p: dict, target: str):
     return R.RandomForestRegressor(numTrees=p["n_estimators"], featureSubsetStrategy="all", **_tree_params(p), **on)
 
 
-def _kernel(df: DataFrame, features: list[str], p: dict) -> dict:
+def _kernel(df: DataFrame, features: list[str], p: dict, size: int) -> dict:
     """RBF width: 1 / d on standardised features unless gamma is given."""
     scale = Standardised.of(df, features)
     gamma = p["gamma"] if isinstance(p.get("gamma"), float) else 1.0 / len(features)
-    width = {"width": len(features), "size": FOURIER_SIZE, "gamma": gamma, "seed": p.get("random_state", SEED)}
+    width = {"width": len(features), "size": size, "gamma": gamma, "seed": p.get("random_state", SEED)}
     return {"map": width, "mean": scale.mean.tolist(), "std": scale.std.tolist()}
 
 
@@ -319,14 +354,16 @@ def _ward(centres: np.ndarray, sizes: np.ndarray, k: int) -> list[int]:
     return [label[m] for m in range(len(centres))]
 
 
-def _fit_clusters(algorithm: str, table: DataFrame, p: dict) -> tuple[PipelineModel, dict]:
+def _fit_clusters(algorithm: str, table: DataFrame, p: dict, micro: int) -> tuple[PipelineModel, dict]:
+    """``approximate`` in the second part: the hierarchy was built over
+    ``micro`` weighted centres, since there are more distinct points."""
     k = p["n_clusters"]
     if algorithm == "kmeans":
         init = {"k-means++": "k-means||"}.get(p.get("init", "k-means++"), p.get("init"))
         best = None
         for restart in range(p["n_init"]):
             fitted = K.KMeans(
-                k=k, seed=p["random_state"] + restart, initMode=init, maxIter=p.get("max_iter", 20)
+                k=k, seed=p["random_state"] + restart, initMode=init, maxIter=p.get("max_iter", 300)
             ).fit(table)
             cost = fitted.summary.trainingCost
             if best is None or cost < best[1]:
@@ -335,11 +372,13 @@ def _fit_clusters(algorithm: str, table: DataFrame, p: dict) -> tuple[PipelineMo
     if p.get("linkage") == "top_down":
         fitted = K.BisectingKMeans(k=k, seed=SEED).fit(table)
         return PipelineModel([fitted]), {}
-    fitted = K.KMeans(k=max(k, MICRO_CLUSTERS), seed=SEED, maxIter=10).fit(table)
+    fitted = K.KMeans(k=max(k, micro), seed=SEED, maxIter=p.get("max_iter", 300)).fit(table)
     centres = np.array(fitted.clusterCenters())
     # Fewer distinct points than micro-clusters give fewer centres.
     sizes = np.maximum(1, np.array(fitted.summary.clusterSizes))[: len(centres)]
-    return PipelineModel([fitted]), {"merge": _ward(centres, sizes, k)}
+    # Without a remainder every centre is one point and the hierarchy is exact.
+    exact = fitted.summary.trainingCost < 1e-12
+    return PipelineModel([fitted]), {"merge": _ward(centres, sizes, k), "approximate": not exact}
 
 
 def fit(
@@ -348,24 +387,34 @@ def fit(
     features: list[str],
     target: str | None = None,
     parameters: dict | None = None,
-    max_jobs: int = 100,
+    max_jobs: int | None = None,
+    fourier_size: int = FOURIER_SIZE,
+    micro_clusters: int = MICRO_CLUSTERS,
 ) -> Model:
-    """Fit one algorithm.  ``max_jobs`` bounds the steps of the gradient
-    trainer, each of which is a pass over the data."""
+    """Fit one algorithm.
+
+    ``max_jobs`` bounds the steps of the gradient trainer below the
+    ``max_iter`` parameter; each is a pass over the data, and more while a step
+    length is searched.  ``fourier_size`` is the width of the RBF kernel's map,
+    ``micro_clusters`` the number of centres the hierarchical clustering merges:
+    with more distinct points it says ``approximate`` in ``extra``.  Options that
+    cannot be honoured raise ValueError.
+    """
+    refuse_unsupported(algorithm, parameters)
     p = parameters_for(algorithm, parameters)
     kind = kind_of(algorithm)
     model = Model(algorithm, features, target, p)
     if kind in ("regression", "classification") and not target:
         raise ValueError(f"{algorithm} needs a target")
     if algorithm in ("svm_regressor", "neural_network_regressor"):
-        return _fit_gradient(df, model, p, max_jobs)
+        return _fit_gradient(df, model, p, max_jobs, fourier_size)
     if kind == "regression":
         table = _vector(df, features).withColumn(target, number(df, target))
         stages = _regressor(algorithm, p, target)
         model.stages = PipelineModel([stages.fit(table)])
     elif kind == "classification":
         if algorithm == "svm_classifier" and p["kernel"] == "rbf":
-            model.extra["fourier"] = _kernel(df, features, p)
+            model.extra["fourier"] = _kernel(df, features, p, fourier_size)
         table = _vector(df, features, model.extra.get("fourier"))
         text = table.withColumn("_text", col(target).cast("string"))
         index = StringIndexer(inputCol="_text", outputCol="_label", stringOrderType="alphabetAsc").fit(text)
@@ -380,7 +429,7 @@ def fit(
     elif kind == "clustering":
         table = _vector(df, features).select("features").persist()
         try:
-            model.stages, model.extra = _fit_clusters(algorithm, table, p)
+            model.stages, model.extra = _fit_clusters(algorithm, table, p, micro_clusters)
         finally:
             table.unpersist()
     else:
@@ -400,13 +449,18 @@ def fit(
     return model
 
 
-def _fit_gradient(df: DataFrame, model: Model, p: dict, max_jobs: int) -> Model:
+def _fit_gradient(df: DataFrame, model: Model, p: dict, max_jobs: int | None, fourier_size: int) -> Model:
     width = len(model.features)
-    if model.algorithm == "svm_regressor":
+    if model.algorithm == "svm_regressor" and p["kernel"] == "linear":
+        # A network without hidden layers: the inputs as they are.
+        loss = linear_epsilon_loss(float(p.get("epsilon", 0.1)))
+        start, penalty = np.zeros(width + 1), 1.0 / (p["C"] * max(1, df.count()))
+        model.extra["shapes"] = network_shapes(width, [])
+    elif model.algorithm == "svm_regressor":
         gamma = p["gamma"] if isinstance(p.get("gamma"), float) else 1.0 / width
-        kernel = {"width": width, "size": FOURIER_SIZE, "gamma": gamma, "seed": SEED}
+        kernel = {"width": width, "size": fourier_size, "gamma": gamma, "seed": SEED}
         loss = epsilon_loss(*fourier_map(**kernel), float(p.get("epsilon", 0.1)))
-        start, penalty = np.zeros(FOURIER_SIZE + 1), 1.0 / (p["C"] * max(1, df.count()))
+        start, penalty = np.zeros(fourier_size + 1), 1.0 / (p["C"] * max(1, df.count()))
         model.extra["fourier"] = kernel
     else:
         shapes = network_shapes(width, list(p["hidden_layer_sizes"]))
@@ -414,7 +468,7 @@ def _fit_gradient(df: DataFrame, model: Model, p: dict, max_jobs: int) -> Model:
         penalty = p.get("alpha", 1e-4)
         model.extra["shapes"] = shapes
     w, scale, trace = train(
-        df, model.features, model.target, loss, start, penalty, min(max_jobs, p.get("max_iter", 1000))
+        df, model.features, model.target, loss, start, penalty, min(p.get("max_iter", 1000), max_jobs or 10**9)
     )
     model.extra.update(
         {"weights": w.tolist(), "mean": scale.mean.tolist(), "std": scale.std.tolist(), "trace": [float(v) for v in trace]}
@@ -422,7 +476,7 @@ def _fit_gradient(df: DataFrame, model: Model, p: dict, max_jobs: int) -> Model:
     return model
 
 
-def fit_dense_network(df: DataFrame, features: list[str], target: str, max_iter: int = 100) -> Model:
+def fit_dense_network(df: DataFrame, features: list[str], target: str, max_iter: int = 1000) -> Model:
     """The 128-64-32 classifier network (no dropout)."""
     return fit(
         df,

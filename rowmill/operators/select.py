@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.functions.columns import col, family, long_rows, number, present
+from rowmill.functions.storage import settle
 from rowmill.operators.steps import Step
 
 # A target up to this many distinct values counts as classes;
@@ -37,19 +38,20 @@ def anova_f(df: DataFrame, features: list[str], target: str) -> DataFrame:
     Class means and variances are merged, not raw squares, so large values do
     not cancel.
     """
-    parts = _by_class(df, features, target, {"m": F.avg, "v": F.var_pop})
+    parts = settle(_by_class(df, features, target, {"m": F.avg, "v": F.var_pop}))
+    # One row per feature, so the join back moves no class rows.
     overall = parts.groupBy("column").agg(
         (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"),
-        F.collect_list(F.struct("n", "m", "v")).alias("g"),
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("k"),
     )
-    zero = F.lit(0.0)
-    between = F.aggregate(
-        "g", zero, lambda acc, e: acc + e["n"] * (e["m"] - F.col("grand")) * (e["m"] - F.col("grand"))
+    gap = F.col("m") - F.col("grand")
+    sums = (
+        parts.join(F.broadcast(overall), "column")
+        .groupBy("column", "total", "k")
+        .agg(F.sum(F.col("n") * gap * gap).alias("b"), F.sum(F.col("n") * F.col("v")).alias("w"))
     )
-    within = F.aggregate("g", zero, lambda acc, e: acc + e["n"] * e["v"])
-    return overall.select("column", "total", "k", between.alias("b"), within.alias("w")).select(
+    return sums.select(
         "column",
         F.when(
             (F.col("k") > 1) & (F.col("total") > F.col("k")) & (F.col("w") > 0),
@@ -61,21 +63,16 @@ def anova_f(df: DataFrame, features: list[str], target: str) -> DataFrame:
 def chi2(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Sum of (observed - expected)^2 / expected, where *observed* is the sum
     of the feature within a class.  Negative values are an error."""
-    parts = _by_class(df, features, target, {"observed": F.sum, "low": F.min})
+    parts = settle(_by_class(df, features, target, {"observed": F.sum, "low": F.min}))
     totals = parts.groupBy("column").agg(
-        F.sum("observed").alias("all"),
-        F.sum("n").alias("total"),
-        F.min("low").alias("low"),
-        F.collect_list(F.struct("n", "observed")).alias("g"),
-    )
-    def cell(acc: Column, e: Column) -> Column:
-        expected = e["n"] / F.col("total") * F.col("all")
-        return acc + F.when(expected > 0, (e["observed"] - expected) * (e["observed"] - expected) / expected).otherwise(0.0)
-
-    checked = F.when(F.col("low") < 0, F.raise_error(F.lit("chi2 needs non-negative features"))).otherwise(
-        F.aggregate("g", F.lit(0.0), cell)
+        F.sum("observed").alias("all"), F.sum("n").alias("total"), F.min("low").alias("low")
     )
-    return totals.select("column", checked.cast("double").alias("score"))
+    expected = F.col("n") / F.col("total") * F.col("all")
+    off = F.col("observed") - expected
+    cells = parts.drop("low").join(F.broadcast(totals), "column")
+    sums = cells.groupBy("column", "low").agg(F.sum(F.when(expected > 0, off * off / expected).otherwise(0.0)).alias("s"))
+    checked = F.when(F.col("low") < 0, F.raise_error(F.lit("chi2 needs non-negative features"))).otherwise(F.col("s"))
+    return sums.select("column", checked.cast("double").alias("score"))
 
 
 def regression_f(df: DataFrame, features: list[str], target: str) -> DataFrame:

@@ -50,7 +50,7 @@ def _thresholds(rows: DataFrame, quotas: DataFrame, total: int) -> DataFrame:
     The leading digits are chosen so that both the prefix table and the rows
     within one prefix stay near the square root of the class size.
     """
-    digits = min(5, max(1, math.ceil(math.log(max(2, total), 16) / 2)))
+    digits = min(32, max(1, math.ceil(math.log(max(2, total), 16) / 2)))
     counts = rows.groupBy("y", F.substring("h", 1, digits).alias("p")).agg(F.count(F.lit(1)).alias("c"))
     run = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("y").orderBy("p")))
     found = (
@@ -83,14 +83,23 @@ def with_split(
 ) -> DataFrame:
     """Add ``train`` / ``test`` per row; ``key`` must identify rows.
 
+    A NULL key cannot be ordered and is refused; rows that share a key stay on
+    one side, so repeated keys may move the sides' sizes a little.
+
     Stratified over ``target`` when it has more than one class and fewer
     classes than half the rows; otherwise one quota for the whole table.
     """
     if target:
         df = df.filter(~is_missing(df, target))
     y = present(df, target) if target else F.lit(0)
-    facts = df.select(y.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    k, total = facts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    facts = df.select(y.alias("key"), col(key).isNull().cast("bigint").alias("_no_key")).groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_no_key").alias("no_key")
+    )
+    facts = settle(facts)
+    k, total, no_key = facts.agg(F.count(F.lit(1)), F.sum("n"), F.sum("no_key")).first()
+    if no_key:
+        raise ValueError(f"{no_key} rows have no value in the split key {key!r}")
+    facts = facts.drop("no_key")
     if not total:
         raise ValueError("Features or target data is empty")
     test_rows = math.ceil(total * test_size - 1e-9)

@@ -131,7 +131,7 @@ def _orders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 _ORDER_INPUTS = ["price", "balance", "month"]
 
 
-def _supervised(algorithm: str, target: str, parameters: dict | None = None, jobs: int = 100):
+def _supervised(algorithm: str, target: str, parameters: dict | None = None, jobs: int | None = None):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         train, test = _orders(spark, sf)
         model = L.fit(train, algorithm, _ORDER_INPUTS, target, parameters, jobs)
@@ -143,14 +143,14 @@ def _supervised(algorithm: str, target: str, parameters: dict | None = None, job
 for _name, _algorithm, _parameters in [
     ("logreg", "logistic_regression", None),
     ("tree_classifier", "decision_tree_classifier", None),
-    ("forest_classifier", "random_forest_classifier", {"n_estimators": 20, "max_depth": 6}),
+    ("forest_classifier", "random_forest_classifier", None),
     ("svm_clf", "svm_classifier", None),
     ("mlp_clf", "neural_network_classifier", {"hidden_layer_sizes": (20,)}),
 ]:
     query(_name)(_supervised(_algorithm, "tier", _parameters))
 for _name, _algorithm, _parameters, _jobs in [
-    ("tree_regressor", "decision_tree_regressor", None, 0),
-    ("forest_regressor", "random_forest_regressor", {"n_estimators": 20, "max_depth": 6}, 0),
+    ("tree_regressor", "decision_tree_regressor", None, None),
+    ("forest_regressor", "random_forest_regressor", None, None),
     ("svr", "svm_regressor", None, 30),
     ("mlp_reg", "neural_network_regressor", {"hidden_layer_sizes": (20,)}, 30),
 ]:
@@ -160,7 +160,7 @@ for _name, _algorithm, _parameters, _jobs in [
 @query("dense_network")
 def dense_network(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _orders(spark, sf)
-    return tidy(T.evaluate(L.fit_dense_network(train, _ORDER_INPUTS, "tier"), test))
+    return tidy(T.evaluate(L.fit_dense_network(train, _ORDER_INPUTS, "tier", max_iter=100), test))
 
 
 @query("importance")
@@ -227,7 +227,7 @@ def compare_models(spark: SparkSession, sf: str) -> DataFrame:
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _orders(spark, sf)
     grid = {"max_depth": [2, 4, 6], "min_samples_leaf": [1, 10]}
-    return tidy(T.grid_search(train, "decision_tree_regressor", _ORDER_INPUTS, "worth", grid, test, max_trials=4))
+    return tidy(T.grid_search(train, "decision_tree_regressor", _ORDER_INPUTS, "worth", grid, test))
 
 
 @query("train_job")

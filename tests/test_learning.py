@@ -126,3 +126,34 @@ def test_job_over_a_file(spark, blobs, tmp_path):
     with pytest.raises(ValueError, match="Missing required field"):
         T.run_job(spark, {k: v for k, v in config.items() if k != "target_column"}, root)
     assert registry.state(spark, root, "jobs").filter("status = 'failed'").count() == 1
+
+
+@pytest.mark.parametrize(
+    "name, options",
+    [
+        ("svm_regressor", {"kernel": "poly"}),
+        ("svm_classifier", {"kernel": "sigmoid"}),
+        ("hierarchical_clustering", {"linkage": "single"}),
+        ("hierarchical_clustering", {"affinity": "cosine"}),
+        ("logistic_regression", {"penalty": "elasticnet"}),
+        ("logistic_regression", {"solver": "saga"}),
+        ("neural_network_classifier", {"alpha": 0.1}),
+        ("neural_network_regressor", {"learning_rate": "adaptive"}),
+        ("random_forest_classifier", {"max_depth": 31}),
+    ],
+)
+def test_options_are_honoured_or_refused(blobs, name, options):
+    with pytest.raises(ValueError, match=next(iter(options))):
+        L.fit(blobs, name, ["a", "b"], "y", options)
+
+
+def test_linear_support_vectors_find_the_plane(blobs):
+    model = L.fit(blobs, "svm_regressor", ["a", "b"], "t", {"kernel": "linear", "epsilon": 0.001, "C": 1e6}, max_jobs=60)
+    off = model.score(blobs).select(F.max(F.abs(F.col("prediction") - F.col("t")))).first()[0]
+    assert "fourier" not in model.extra and off < 0.2
+
+
+def test_hierarchy_says_when_it_is_approximate(blobs):
+    corners = blobs.selectExpr("round(a / 3) as a", "round(b / 4) as b")
+    assert not L.fit(corners, "hierarchical_clustering", ["a", "b"]).extra["approximate"]
+    assert L.fit(blobs, "hierarchical_clustering", ["a", "b"], micro_clusters=20).extra["approximate"]

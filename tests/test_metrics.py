@@ -99,3 +99,9 @@ def test_regression_against_numpy(spark):
     stats = R.residual_stats(df, "y", "p").first()
     assert stats["q25"] == pytest.approx(np.percentile(y - p, 25))
     assert not math.isnan(stats["std"])
+
+
+def test_null_is_a_class_of_the_confusion_matrix(spark):
+    df = spark.createDataFrame([("a", "a"), ("b", None), ("a", "b")], "y string, p string")
+    cells = {(r["actual"], r["predicted"]): r["n"] for r in C.confusion_matrix(df, "y", "p").collect()}
+    assert len(cells) == 9 and cells["b", None] == 1 and cells[None, None] == 0 and sum(cells.values()) == 3

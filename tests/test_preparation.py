@@ -182,3 +182,9 @@ def test_top_values_limits_each_task_first(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("s"))
     plan = P.top_values(P.value_counts(df, ["s"]))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_split_refuses_missing_keys(spark):
+    df = spark.createDataFrame([(i if i % 20 else None, float(i)) for i in range(100)], "k int, x double")
+    with pytest.raises(ValueError, match="5 rows"):
+        with_split(df, "k")
