@@ -23,8 +23,8 @@ def attach(
 
     ``n`` is how many rows held the key when the table was fitted.  A table
     measured below ``broadcast_bytes`` is broadcast.  Beyond that it is
-    shuffled, and each key hot enough to fill a task alone is spread over
-    ``salts`` tasks, its single lookup row being repeated once per salt.
+    shuffled, and each key hot enough to fill a task alone, and the missing
+    one, is spread over ``salts`` tasks, its single lookup row being repeated once per salt.
     """
     size = table.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -40,12 +40,13 @@ def attach(
     hot_rows = max(1, (size["total"] or 0) // (4 * width))
     # Fewer than 4 * width keys can pass, since each holds more than that share.
     hot = [r["_key"] for r in right.filter(F.col("n") > hot_rows).select("_key").collect()]
-    is_hot = F.coalesce(col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    # A missing key may be as frequent as any and unknown to the fitted table, so it is always spread.
+    is_hot = col(key).isNull() | (F.coalesce(col(key).isin(hot), F.lit(False)) if hot else F.lit(False))
     # Salting by map task is repeatable when a lost task is run again.
     left = df.withColumn(
         "_salt", F.when(is_hot, F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(F.lit(0))
     )
-    spread = F.when(F.col("n") > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+    spread = F.when((F.col("n") > hot_rows) | F.col("_key").isNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))
     )
     right = right.withColumn("_salt2", F.explode(spread)).drop("n")

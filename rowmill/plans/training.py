@@ -14,7 +14,7 @@ from rowmill.functions.storage import settle
 from rowmill.operators import classification, clustering, distribution, learn, regression
 from rowmill.operators.board import comparison_metric, parameter_grid, rank_models, ranking_summary
 from rowmill.operators.split import with_split
-from rowmill.operators.steps import align_features
+from rowmill.operators.steps import Chain, align_features
 from rowmill.plans.prepare import prepare
 from rowmill.sources import registry
 from rowmill.sources.readers import load_table
@@ -38,10 +38,13 @@ STAGES = {
 
 @dataclass
 class Trained:
+    """``chain`` prepares raw rows as the test rows were prepared."""
+
     model: learn.Model
     metrics: DataFrame
     train_rows: int
     test_rows: int
+    chain: Chain | None = None
 
 
 def evaluate(model: learn.Model, test: DataFrame, key: str | None = None) -> DataFrame:
@@ -89,18 +92,31 @@ def train_table(df: DataFrame, config: dict, key: str) -> Trained:
     split = settle(with_split(df, key, target, config.get("test_size", 0.2)))
     train = split.filter("split = 'train'").drop("split")
     test = split.filter("split = 'test'").drop("split")
-    prep = {**config.get("preprocessing", {}), "target_column": target, "remove_duplicates": False}
+    prep = {"remove_duplicates": False, **config.get("preprocessing", {}), "target_column": target}
     fitted = prepare(train.drop(key), prep)
     ready = settle(fitted.table)
     features = learn.feature_columns(ready, target)
     typed = ready.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in features], target)
     model = learn.fit(typed, config["algorithm"], features, target, config.get("parameters"))
-    chain = [s for s in fitted.chain.steps if s.kind not in ("drop_duplicates", "outliers")]
-    held_out = test.drop(key)
-    for step in chain:
-        held_out = step.transform(held_out)
+    # Steps that leave out rows are for training only.
+    chain = Chain([s for s in fitted.chain.steps if s.kind not in ("drop_duplicates", "outliers")])
+    held_out = chain.transform(test.drop(key))
     held_out = settle(align_features(held_out, features, [target]))
-    return Trained(model, evaluate(model, held_out), ready.count(), held_out.count())
+    return Trained(model, evaluate(model, held_out), ready.count(), held_out.count(), chain)
+
+
+def score_raw(spark: SparkSession, path: str, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Score raw rows with a model and its preparation as ``run_job`` saved
+    them; the columns in ``keep`` pass through."""
+    model, _ = learn.Model.load(spark, path)
+    keep = keep or []
+    raw = df if not model.target or model.target in df.columns else df.withColumn(model.target, F.lit(None).cast("string"))
+    held = {c: f"_kept_{i}" for i, c in enumerate(keep)}
+    # The model's features are the selection.
+    steps = [s for s in Chain.load(spark, f"{path}/chain").steps if s.kind != "select"]
+    prepared = Chain(steps).transform(raw.withColumns({v: F.col(f"`{c}`") for c, v in held.items()}))
+    scored = model.score(align_features(prepared, model.features, list(held.values())))
+    return scored.withColumnsRenamed({v: c for c, v in held.items() if c not in model.features})
 
 
 def run_job(spark: SparkSession, config: dict, root: str) -> str:
@@ -137,6 +153,7 @@ def run_job(spark: SparkSession, config: dict, root: str) -> str:
         note("saving", STAGES["saving"], ["Saving trained model"])
         path = f"{root}/saved/{model_id}"
         result.model.save(spark, path, {"job_id": job, "config": config})
+        result.chain.save(spark, f"{path}/chain")
         append_results(result.metrics.withColumn("job_id", F.lit(job)), f"{root}/metrics")
         found = {r["metric"]: r["value"] for r in result.metrics.collect()}
         done = {"id": model_id, "status": "trained", "file_path": path, "metrics": json.dumps(found)}

@@ -123,6 +123,8 @@ def test_job_over_a_file(spark, blobs, tmp_path):
     assert (state["status"], state["progress"]) == ("completed", 100.0)
     model = registry.state(spark, root, "models").first()
     assert model["status"] == "trained" and "accuracy" in model["metrics"]
+    scored = T.score_raw(spark, model["file_path"], blobs.select("id", "a", "b"), ["id"])
+    assert scored.join(blobs.select("id", "y"), "id").filter("prediction = y").count() > 225
     with pytest.raises(ValueError, match="Missing required field"):
         T.run_job(spark, {k: v for k, v in config.items() if k != "target_column"}, root)
     assert registry.state(spark, root, "jobs").filter("status = 'failed'").count() == 1
