@@ -3,7 +3,9 @@
 Word k-grams of a document that also stand in a license template vote for the
 diagonal (document position minus template position).  Neighbouring diagonals
 are merged, so that a template survives inserted or deleted words, and the
-merged span is verified by its coverage and length.  Gram hashes only propose:
+merged span is verified by its coverage and length.  One that is too long, as
+where a notice stands twice in close order, is searched for the spans inside it
+that are not; of overlapping ones the better is told.  Gram hashes only propose:
 the join compares the words themselves.
 
 Defined results: a NULL or empty text has no words, no places and score 0;
@@ -109,6 +111,44 @@ def scan_words(text: Column) -> Column:
     return F.filter(pieces, lambda w: w != "")
 
 
+def _inner_spans(groups: DataFrame, longest: int) -> DataFrame:
+    """row, label, base, coverage, start, end of the spans of allowed length within
+    ``groups``; ``longest`` is the longest of all.  A span goes where a better one
+    overlaps it: more coverage, then fewer words, then the first.  Work is linear
+    in the hits."""
+    hits = (
+        groups.select("row", "template", "group", "label", "base", "size", "least", F.explode("votes").alias("v"))
+        .withColumn("at", F.explode("v.ats"))
+        .withColumn("start", F.col("at") + F.col("v.diagonal"))
+        .drop("v")
+    )
+    by = W.partitionBy("row", "template", "group").orderBy("start")
+    ahead = F.collect_list(F.struct(F.col("start").alias("pos"), "at")).over(by.rangeBetween(0, longest - GRAM))
+    # Ended where the last part of the template that the span adds is met.
+    held = F.aggregate(
+        F.filter("ahead", lambda h: h["pos"] + GRAM - F.col("start") <= STRETCH * F.col("size")),
+        F.struct(F.array().cast("array<int>").alias("ats"), F.lit(0).alias("end")),
+        lambda held, h: F.when(F.array_contains(held["ats"], h["at"]), held).otherwise(
+            F.struct(F.array_append(held["ats"], h["at"]).alias("ats"), (h["pos"] + GRAM).alias("end"))
+        ),
+    )
+    spans = (
+        hits.withColumn("ahead", ahead)
+        .withColumn("held", held)
+        .withColumn("coverage", F.size("held.ats") / (F.col("size") - GRAM + 1))
+        .withColumn("end", F.col("held.end"))
+        .filter(F.col("coverage") >= F.col("least"))
+        .select("row", "template", "group", "label", "base", "coverage", "start", "end")
+        .distinct()
+        .withColumn("rank", F.struct(-F.col("coverage"), F.col("end") - F.col("start"), "start", "end"))
+    )
+    near = F.collect_list("rank").over(by.rangeBetween(-longest, longest))
+    beaten = F.exists(
+        "near", lambda o: (o["start"] < F.col("end")) & (F.col("start") < o["end"]) & (o < F.col("rank"))
+    )
+    return spans.withColumn("near", near).filter(~beaten).select("row", "label", "base", "coverage", "start", "end")
+
+
 def scan(docs: DataFrame, made: list[Template] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, n_words, n_base, first_word, last_word,
     base_labels, labels, score and ``spans`` (array of label, start, end,
@@ -151,13 +191,16 @@ def scan(docs: DataFrame, made: list[Template] | None = None, key: str = "doc_id
             (F.size(F.array_distinct(F.flatten(F.collect_list("ats")))) / (F.col("size") - GRAM + 1)).alias("coverage"),
             F.min("start").alias("start"),
             F.max("end").alias("end"),
+            F.collect_list(F.struct("diagonal", "ats")).alias("votes"),
         )
     )
-    whole = F.col("base") | (F.col("size") <= SHORT)
-    verified = merged.filter(
-        F.when(whole, F.col("coverage") == 1.0).otherwise(F.col("coverage") >= COVERAGE)
-        & (F.col("end") - F.col("start") <= STRETCH * F.col("size"))
-    )
+    least = F.when(F.col("base") | (F.col("size") <= SHORT), F.lit(1.0)).otherwise(F.lit(COVERAGE))
+    fits = F.col("base") | (F.col("end") - F.col("start") <= STRETCH * F.col("size"))
+    judged = merged.withColumn("least", least).filter(F.col("coverage") >= F.col("least")).withColumn("fits", fits)
+    # Only what is covered but too long is searched; the rest is verified as it stands.
+    longest = int(STRETCH * max((len(t.words) for t in made), default=GRAM))
+    searched = _inner_spans(judged.filter(~F.col("fits")), longest)
+    verified = judged.filter("fits").select("row", "label", "base", "coverage", "start", "end").unionByName(searched)
     told = verified.groupBy("row").agg(
         F.count_if("base").alias("n_base"),
         F.min(F.when(F.col("base"), F.col("start"))).cast("long").alias("first_word"),

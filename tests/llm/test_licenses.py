@@ -39,5 +39,27 @@ def test_places_labels_and_edges(spark):
     assert by[10]["labels"] == "" and by[None]["labels"] == "all-rights-reserved"
 
 
+def test_notices_in_close_order(spark):
+    docs = [
+        (1, "all rights reserved all rights reserved", {"all-rights-reserved": [(0, 3), (3, 6)]}),
+        (2, "CC BY-NC, CC BY-SA", {"cc-by": [(0, 2), (3, 5)], "cc-by-nc": [(0, 3)], "cc-by-sa": [(3, 6)]}),
+        (3, "all rights reserved " * 20_000, {"all-rights-reserved": [(i, i + 3) for i in range(0, 60_000, 3)]}),
+        (4, "all rights x all x rights", {}),
+    ]
+    again = {t.id + 10: t for t in licenses.templates()}
+    docs += [(k, " ".join(t.words * 3), None) for k, t in again.items()]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")).collect()}
+    for doc, _, want in docs[:4]:
+        spans = {}
+        for s in got[doc]["spans"] or []:
+            spans.setdefault(s["label"], []).append((s["start"], s["end"]))
+        assert spans == want and got[doc]["labels"] == ",".join(sorted(want))
+        assert got[doc]["score"] == (1.0 if want else 0.0)
+    for doc, t in again.items():
+        n = len(t.words)
+        places = {(s["start"], s["end"]) for s in got[doc]["spans"] if s["label"] == t.label and s["coverage"] == 1.0}
+        assert got[doc]["score"] == 1.0 and {(i * n, i * n + n) for i in range(3)} <= places
+
+
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
