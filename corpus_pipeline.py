@@ -26,8 +26,11 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the compression classifier does not reject."""
-    scored = quality.score(docs, quality.learn(spark, sf_dir), into="_rm_score")
+    """Documents the compression classifier does not reject; all where no model can be fitted."""
+    model = quality.learn(spark, sf_dir)
+    if model is None:
+        return docs
+    scored = quality.score(docs, model, into="_rm_score")
     return scored.filter(F.col("_rm_score") >= quality.THRESHOLD).drop("_rm_score")
 
 

@@ -8,11 +8,12 @@ labels' own shares.
 
 Only fitting uses a sample: per label at most ``Fit.rows`` documents for the
 dictionaries and as many others for the calibration, chosen by a hash of the id
-so that the same rows are taken wherever they lie.  Every text is scored whole.
+so that the same rows are taken wherever they lie; both uses get a share of every
+label of two or more documents.  Every text is scored whole.
 
 Defined results: a NULL or empty text scores like a text of no evidence (the
 calibration's value at feature 0); rows are scored separately, repeated or not;
-without labels of both kinds every score is 0.5; an empty table gives no rows;
+without two labelled texts of either kind every score is 0.5; an empty table gives no rows;
 labels, ids, languages and sources are never inputs of a score; only the id and
 text columns are read.
 """
@@ -26,8 +27,11 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rowmill.functions.storage import settle
+
 THRESHOLD = 0.7
 
 
@@ -141,7 +145,15 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model | None:
         known.filter(F.col("good") == good).orderBy(order, "doc_id").limit(2 * fit.rows) for good in (True, False)
     ]
     sample = docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").filter(F.length(F.trim("text")) > 0)
-    rows = sample.select("good", "text", (F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)) == 0).alias("build"), order.alias("o"))
+    sample = settle(sample.select("doc_id", "good", "text"))
+    # Halves by hash; a label that lies in one of them whole is dealt in turn, so that both hold each label of two or more.
+    by = W.partitionBy("good")
+    half = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)) == 0
+    turn = F.row_number().over(by.orderBy(order, "doc_id")) % 2 == 1
+    halves = sample.select("doc_id", "good").distinct().withColumn("half", half)
+    whole = F.min("half").over(by) == F.max("half").over(by)
+    halves = halves.withColumn("build", F.when(whole, turn).otherwise(F.col("half"))).drop("half")
+    rows = sample.join(F.broadcast(halves), ["doc_id", "good"]).select("good", "text", "build", order.alias("o"))
     # A document gives the dictionary its middle only: what it holds is bounded.
     share = 4 * max(64, fit.dictionary // max(1, fit.rows))
     middle = F.substring(F.col("text"), F.greatest(F.lit(1), (F.length("text") / 2 - share / 2).cast("int")), F.lit(share))

@@ -1,5 +1,6 @@
 import numpy as np
 
+import corpus_pipeline
 from rowmill.llm import quality
 from rowmill.llm.catalog import QUERIES
 
@@ -38,6 +39,22 @@ def test_no_labels_of_one_kind(spark):
     assert [r["score"] for r in quality.score(docs, None).collect()] == [0.5, 0.5]
 
 
+def test_two_labels_of_a_kind_are_enough(spark):
+    texts = [(i, f"clean words number {i} go on and on") for i in range(20)] + [(i, f"$$$ buy {i} now !!! $$$") for i in range(20, 40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for k in range(20, 26):
+        labels = [(i, True) for i in range(20)] + [(k, False), (k + 1, False)]
+        assert quality.train(docs, spark.createDataFrame(labels, "doc_id long, good boolean")) is not None
+
+
+def test_stage_keeps_all_without_a_model(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (None, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert quality.learn(spark, str(tmp_path)) is None
+    assert corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).count() == 3
+
+
 def test_logistic_separates():
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(400, 2))
