@@ -5,9 +5,11 @@ digit or comma and a blank) or a unit (after a number) is replaced by a typed
 placeholder, everything else by its lower case.  Windows of ``WINDOW`` tokens
 are hash-joined with those of the benchmark items, matches are gathered by item
 and offset, neighbouring offsets merged, and an item counts as leaked where
-``COVERAGE`` of its tokens are covered.  Then the slots are compared: the values
-that stand for one item value must be one value, and different ones different,
-so a re-parameterised item is caught and a chance likeness of templates is not.
+``COVERAGE`` of its tokens are covered.  Then the slots are compared, along the
+offset of the windows that hold them: from ``AGREE`` of them on, the values that
+stand for one item value must be one value, so a re-parameterised item is caught
+and a chance likeness of templates is not.  Where windows of the very same words
+reach ``COVERAGE``, slots have no say.
 
 Defined results: a NULL or empty text matches nothing; an item of fewer than
 ``WINDOW`` tokens is never matched; repeated rows are judged separately; an item
@@ -28,6 +30,8 @@ from rowmill.functions.storage import settle
 
 WINDOW = 8
 COVERAGE = 0.5
+#: Share of the slots met whose item value stands for one value.
+AGREE = 0.9
 #: Inserted or deleted tokens up to this number keep two offsets together.
 MERGE_GAP = 3
 #: Up to this many distinct item windows are tested where the text is read.
@@ -129,39 +133,61 @@ def leaks(
     covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("ats")), lambda a: F.sequence(a, a + WINDOW - 1))))
     places = grouped.groupBy("row", "item_id", "size", "group").agg(
         (F.size(covered) / F.col("size")).alias("coverage"),
-        F.max_by("offset", F.struct(F.size("ats"), -F.col("offset"))).alias("offset"),
+        F.max_by("offset", F.struct(F.size("ats"), -F.col("offset"))).alias("best"),
+        F.collect_list(F.struct("offset", "ats")).alias("runs"),
     )
     near = settle(places.filter(F.col("coverage") >= COVERAGE))
-    item_slots = items.select(F.col(item_key).alias("item_id"), _typed(slotted_words(F.col(item_text))).alias("item_slots"))
-    compared = near.join(found.select("row", "doc_id", "slots"), "row").join(item_slots, "item_id")
-    # Slots that stand at the same place and are of one type.
-    here = F.filter("slots", lambda x: (x["pos"] >= F.col("offset")) & (x["pos"] < F.col("offset") + F.col("size")))
-    met = F.transform(
-        "item_slots",
-        lambda s: F.struct(
-            s["word"].alias("item"),
-            F.get(F.filter("here", lambda x: x["pos"] - F.col("offset") == s["pos"]), F.lit(0))["word"].alias("doc"),
-        ),
+    item_slots = items.select(
+        F.col(item_key).alias("item_id"), F.explode(_typed(slotted_words(F.col(item_text)))).alias("i")
+    ).select("item_id", F.col("i.pos").alias("ipos"), F.col("i.word").alias("item"))
+    doc_slots = found.join(near.select("row").distinct(), "row").select("row", F.explode("slots").alias("d"))
+    doc_slots = doc_slots.select("row", F.col("d.pos").alias("pos"), F.col("d.word").alias("doc"))
+    place, run = ["row", "item_id", "group"], ["row", "item_id", "group", "offset"]
+    runs = near.select(*place, "size", "best", F.explode("runs").alias("r")).select(*place, "size", "best", "r.*")
+    # Slots of one type that stand at the same place of a window, along its own offset; beyond windows along the best one.
+    held = F.exists("ats", lambda a: F.col("ipos").between(a, a + WINDOW - 1))
+    pairs = (
+        runs.join(item_slots, "item_id")
+        .withColumn("held", held)
+        .filter(F.col("held") | (F.col("offset") == F.col("best")))
+        .withColumn("pos", F.col("ipos") + F.col("offset"))
+        .join(doc_slots, ["row", "pos"])
+        .filter(F.substring("doc", 1, 1) == F.substring("item", 1, 1))
     )
-    alike = F.filter(met, lambda p: p["doc"].isNotNull() & (F.substring(p["doc"], 1, 1) == F.substring(p["item"], 1, 1)))
-    told = compared.withColumn("here", here).withColumn("pairs", alike)
-    one = F.size(F.array_distinct("pairs"))
-    consistent = (one == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))) & (
-        one == F.size(F.array_distinct(F.transform("pairs", lambda p: p["doc"])))
+    edits = pairs.filter(F.col("held") & (F.col("item") != F.col("doc"))).groupBy(*run).agg(F.collect_set("ipos").alias("edits"))
+    literal = F.filter("ats", lambda a: ~F.exists(F.coalesce("edits", F.array().cast("array<int>")), lambda e: e.between(a, a + WINDOW - 1)))
+    words = settle(runs.join(edits, run, "left").withColumn("literal", literal).select(*run, "size", F.size("ats").alias("n"), "literal"))
+    same = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("literal")), lambda a: F.sequence(a, a + WINDOW - 1))))
+    verbatim = words.groupBy(*place, "size").agg(same.alias("same")).select(*place, (F.size("same") / F.col("size")).alias("verbatim"))
+    # Where windows of several offsets hold a slot, the offset with most literal windows, then most windows, tells.
+    weight = F.struct(F.col("held"), F.size("literal"), F.col("n"), -F.col("offset"))
+    chosen = (
+        pairs.join(words.select(*run, "n", "literal"), run)
+        .groupBy(*place, "ipos")
+        .agg(F.max_by(F.struct("item", "doc", "held"), weight).alias("p"))
+        .select(*place, "p.*")
+    )
+    values = chosen.groupBy(*place, "item", "doc").agg(F.count(F.lit(1)).alias("n"), F.count_if("held").alias("held"))
+    tops = values.groupBy(*place, "item").agg(
+        F.max("held").alias("top"), F.sum("held").alias("held"), F.sum("n").alias("n"), F.bool_and(F.col("item") == F.col("doc")).alias("exact")
+    )
+    slots = tops.groupBy(*place).agg(
+        (F.sum("top") / F.nullif(F.sum("held"), F.lit(0))).alias("agree"), F.sum("n").alias("n_slots"), F.bool_and("exact").alias("exact")
+    )
+    told = (
+        near.drop("runs")
+        .join(verbatim, place)
+        .join(slots, place, "left")
+        .filter((F.col("verbatim") >= COVERAGE) | (F.coalesce("agree", F.lit(1.0)) >= AGREE))
+        .select(
+            "row", "item_id", "coverage", F.col("best").alias("offset"),
+            F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("exact", F.lit(True)).alias("exact"),
+        )
     )
     best = W.partitionBy("row", "item_id").orderBy(F.desc("coverage"), "offset")
     return (
-        told.filter(consistent)
-        .withColumn("_place", F.row_number().over(best))
+        told.withColumn("_place", F.row_number().over(best))
         .filter(F.col("_place") == 1)
-        .select(
-            "doc_id",
-            "row",
-            "item_id",
-            "coverage",
-            F.greatest("offset", F.lit(0)).cast("long").alias("first_word"),
-            F.size("pairs").cast("long").alias("n_slots"),
-            F.forall("pairs", lambda p: p["item"] == p["doc"]).alias("exact"),
-        )
+        .join(found.select("row", "doc_id"), "row")
+        .select("doc_id", "row", "item_id", "coverage", F.greatest("offset", F.lit(0)).cast("long").alias("first_word"), "n_slots", "exact")
     )
-

@@ -41,6 +41,21 @@ def test_slots_edges_and_repeats(spark):
     assert all(r["coverage"] >= D.COVERAGE for r in got)
 
 
+def test_slots_do_not_veto_copies(spark):
+    item = QUESTION.replace("in 3 hours", "in 4 hours")
+    listed = "The list of the values is 3.5 4.5 5.5 6.5 7.5 8.5 9.5 2.5 and their mean is asked for by the teacher of Anna."
+    docs = [
+        (1, 1, item.replace("3 apples", "7 apples").replace("4 hours", "7 hours").replace("Ben", "Emil")),
+        (2, 2, QUESTION.replace("closes in 3", "closes in 8")),
+        (3, 2, QUESTION.replace("Anna", "Carl").replace("and Ben", "and so Ben").replace("3", "7")),
+        (4, 3, listed.replace("6.5", "x 6.5")),
+        (5, 3, listed.replace("values is", "values is about")),
+    ]
+    items = spark.createDataFrame([(1, item), (2, QUESTION), (3, listed)], ITEMS)
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(spark.createDataFrame([(d, t) for d, _, t in docs], DOCS), items).collect()}
+    assert {(d, i) for d, i, _ in docs} <= got
+
+
 def test_empty_tables(spark):
     none, item = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, QUESTION)], ITEMS)
     assert D.leaks(none, item).count() == 0
