@@ -12,7 +12,7 @@ and a chance likeness of templates is not.  Where windows of the very same words
 reach ``COVERAGE``, slots have no say.
 
 Defined results: a NULL or empty text matches nothing; an item of fewer than
-``WINDOW`` tokens is never matched; repeated rows are judged separately; an item
+``WINDOW`` tokens is matched word for word, all of it; repeated rows are judged separately; an item
 met several times in a text is told once, at its best place; empty tables give
 no rows; only the id and text columns are read.  U+0001 to U+0003 mark slots: in
 a text they count as such marks.
@@ -100,6 +100,50 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
     return made.select("gram", "item_id", "ipos", "size")
 
 
+def _plain(word: Column) -> Column:
+    """A word without the mark of its type, which depends on the words before it."""
+    return F.translate(word, NUMBER + NAME + UNIT, "")
+
+
+def short_items(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """gram, item_id, size, plain (the words) and n_slots per item too short for a window."""
+    words = slotted_words(F.col(text))
+    worded = items.select(F.col(key).alias("item_id"), words.alias("words")).filter(F.size("words").between(1, WINDOW - 1))
+    plain = worded.select(
+        "item_id", F.size("words").alias("size"), F.transform("words", _plain).alias("plain"), F.size(_typed(F.col("words"))).alias("n_slots")
+    )
+    return plain.withColumn("gram", F.xxhash64("plain"))
+
+
+def _with_short_hits(df: DataFrame, known: dict[int, list[int]]) -> DataFrame:
+    """Adds ``short``: gram, size, pos and plain words of the places that may be a
+    short item; ``known`` has the items' hashes by length."""
+    kind = "array<struct<gram:bigint,size:int,pos:int,plain:array<string>>>"
+    if not known:
+        return df.withColumn("short", F.array().cast(kind))
+    df = df.withColumn("_plain", F.transform("words", _plain))
+    parts = []
+    for n, grams in sorted(known.items()):
+        # Each lambda is called at once, within its turn of the loop.
+        places = F.transform(
+            F.slice("_plain", F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(0))),
+            lambda w, i: F.struct(F.slice("_plain", i + 1, F.lit(n)).alias("plain"), i.alias("pos")),
+        )
+        hashed = F.transform(
+            places, lambda x: F.struct(F.xxhash64(x["plain"]).alias("gram"), F.lit(n).alias("size"), x["pos"].alias("pos"), x["plain"].alias("plain"))
+        )
+        parts.append((F.filter(hashed, lambda x: x["gram"].isin(grams)) if len(grams) <= LISTED else hashed).cast(kind))
+    return df.withColumn("short", F.concat(*parts)).drop("_plain")
+
+
+def _short_matches(found: DataFrame, shorts: DataFrame) -> DataFrame:
+    """row, item_id, coverage, offset, n_slots and exact of the short items, all words compared."""
+    hits = found.select("row", F.explode("short").alias("h")).select("row", "h.*")
+    return hits.join(shorts, ["gram", "size", "plain"]).groupBy("row", "item_id").agg(
+        F.lit(1.0).alias("coverage"), F.min("pos").alias("offset"), F.max("n_slots").cast("long").alias("n_slots"), F.lit(True).alias("exact")
+    )
+
+
 def leaks(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -116,10 +160,14 @@ def leaks(
     hits = F.filter(placed, lambda x: x["gram"].isin(listed)) if len(listed) <= LISTED else placed
     # Written once, so row numbers hold even if a task runs again; filtered after
     # that, since a filter here would be pushed down and make all of it twice.
+    windowed = _with_windows(worded, WINDOW, "grams").select("doc_id", "words", hits.alias("hits"), _typed(F.col("words")).alias("slots"))
+    shorts, known = settle(short_items(items, item_key, item_text)), {}
+    lengths = [r["size"] for r in shorts.select("size").distinct().collect()]
+    for n in lengths:
+        known[n] = [r["gram"] for r in shorts.filter(F.col("size") == n).select("gram").distinct().limit(LISTED + 1).collect()]
     found = settle(
-        _with_windows(worded, WINDOW, "grams").select("doc_id", hits.alias("hits"), _typed(F.col("words")).alias("slots"))
-        .withColumn("row", F.monotonically_increasing_id())
-    ).filter(F.size("hits") > 0)
+        _with_short_hits(windowed, known).drop("words").withColumn("row", F.monotonically_increasing_id())
+    ).filter((F.size("hits") > 0) | (F.size("short") > 0))
     matched = (
         found.select("row", F.explode("hits").alias("h"))
         .select("row", "h.*")
@@ -184,6 +232,8 @@ def leaks(
             F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("exact", F.lit(True)).alias("exact"),
         )
     )
+    if lengths:
+        told = told.unionByName(_short_matches(found, shorts))
     best = W.partitionBy("row", "item_id").orderBy(F.desc("coverage"), "offset")
     return (
         told.withColumn("_place", F.row_number().over(best))

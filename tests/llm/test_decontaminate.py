@@ -56,6 +56,14 @@ def test_slots_do_not_veto_copies(spark):
     assert {(d, i) for d, i, _ in docs} <= got
 
 
+def test_short_items(spark):
+    items = [(1, "Who wrote Emma?"), (2, "Yes"), (3, "Ben has 3 kg"), (4, "a b c d e f g"), (5, ""), (6, None), (7, "Who wrote Persuasion?")]
+    docs = [(1, "noise: who wrote Emma, who wrote EMMA"), (2, "yes"), (3, "now Ben has 3kg of a b c d e f g h"), (4, "who wrote"), (5, "Ben has 4 kg"), (6, None)]
+    got = D.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    told = sorted((r["doc_id"], r["item_id"], r["coverage"], r["first_word"], r["exact"]) for r in got)
+    assert told == [(1, 1, 1.0, 1, True), (2, 2, 1.0, 0, True), (3, 3, 1.0, 1, True), (3, 4, 1.0, 6, True)]
+
+
 def test_empty_tables(spark):
     none, item = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, QUESTION)], ITEMS)
     assert D.leaks(none, item).count() == 0
