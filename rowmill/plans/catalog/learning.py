@@ -131,10 +131,10 @@ def _orders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 _ORDER_INPUTS = ["price", "balance", "month"]
 
 
-def _supervised(algorithm: str, target: str, parameters: dict | None = None, jobs: int | None = None):
+def _supervised(algorithm: str, target: str, parameters: dict | None = None):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         train, test = _orders(spark, sf)
-        model = L.fit(train, algorithm, _ORDER_INPUTS, target, parameters, jobs)
+        model = L.fit(train, algorithm, _ORDER_INPUTS, target, parameters)
         return tidy(T.evaluate(model, test))
 
     return run
@@ -145,22 +145,22 @@ for _name, _algorithm, _parameters in [
     ("tree_classifier", "decision_tree_classifier", None),
     ("forest_classifier", "random_forest_classifier", None),
     ("svm_clf", "svm_classifier", None),
-    ("mlp_clf", "neural_network_classifier", {"hidden_layer_sizes": (20,)}),
+    ("mlp_clf", "neural_network_classifier", None),
 ]:
     query(_name)(_supervised(_algorithm, "tier", _parameters))
-for _name, _algorithm, _parameters, _jobs in [
-    ("tree_regressor", "decision_tree_regressor", None, None),
-    ("forest_regressor", "random_forest_regressor", None, None),
-    ("svr", "svm_regressor", None, 30),
-    ("mlp_reg", "neural_network_regressor", {"hidden_layer_sizes": (20,)}, 30),
+for _name, _algorithm, _parameters in [
+    ("tree_regressor", "decision_tree_regressor", None),
+    ("forest_regressor", "random_forest_regressor", None),
+    ("svr", "svm_regressor", None),
+    ("mlp_reg", "neural_network_regressor", None),
 ]:
-    query(_name)(_supervised(_algorithm, "worth", _parameters, _jobs))
+    query(_name)(_supervised(_algorithm, "worth", _parameters))
 
 
 @query("dense_network")
 def dense_network(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _orders(spark, sf)
-    return tidy(T.evaluate(L.fit_dense_network(train, _ORDER_INPUTS, "tier", max_iter=100), test))
+    return tidy(T.evaluate(L.fit_dense_network(train, _ORDER_INPUTS, "tier"), test))
 
 
 @query("importance")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowmill.operators import learn as L
 from rowmill.plans import training as T
+from rowmill.plans.catalog import base, learning
 
 
 @pytest.fixture(scope="module")
@@ -159,3 +160,23 @@ def test_hierarchy_says_when_it_is_approximate(blobs):
     corners = blobs.selectExpr("round(a / 3) as a", "round(b / 4) as b")
     assert not L.fit(corners, "hierarchical_clustering", ["a", "b"]).extra["approximate"]
     assert L.fit(blobs, "hierarchical_clustering", ["a", "b"], micro_clusters=20).extra["approximate"]
+
+
+@pytest.mark.parametrize("name", ["svr", "mlp_reg", "mlp_clf", "dense_network"])
+def test_registered_fits_keep_the_defaults(monkeypatch, name):
+    class Stop(Exception):
+        pass
+
+    def fit(df, algorithm, features, target=None, parameters=None, max_jobs=None, **other):
+        asked = L.parameters_for(algorithm, parameters)
+        want = L.parameters_for(algorithm, {"hidden_layer_sizes": (128, 64, 32)} if name == "dense_network" else None)
+        assert max_jobs is None and not other
+        assert {k: asked[k] for k in ("max_iter", "hidden_layer_sizes") if k in asked} == {
+            k: want[k] for k in ("max_iter", "hidden_layer_sizes") if k in want
+        }
+        raise Stop
+
+    monkeypatch.setattr(L, "fit", fit)
+    monkeypatch.setattr(learning, "_orders", lambda spark, sf: (None, None))
+    with pytest.raises(Stop):
+        base.QUERIES[name](None, "")
