@@ -105,7 +105,10 @@ def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
         itemsCol="items", minSupport=mining.support, minConfidence=mining.confidence,
         numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")),
     ).fit(baskets.select(F.concat(told, F.when(F.col("block"), F.array(F.lit(mark))).otherwise(F.array().cast("array<string>"))).alias("items")))
-    rules = model.associationRules.filter((F.col("consequent")[0] == mark) & (F.col("lift") >= mining.lift)).select(
+    # Above a blocked share of 1 / lift no rule can reach the lift: half of the way from the share to 1 is enough.
+    lift = min(mining.lift, (1 + totals["n"] / totals["blocked"]) / 2)
+    gains = (F.col("lift") >= lift) & (F.col("lift") > 1)
+    rules = model.associationRules.filter((F.col("consequent")[0] == mark) & gains).select(
         F.array_sort("antecedent").alias("items"), "confidence", "support"
     )
     rules = rules.withColumn("rule", F.xxhash64(F.array_join("items", "\n"))).withColumn("size", F.size("items"))

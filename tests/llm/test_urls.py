@@ -64,3 +64,11 @@ def test_empty_tables_and_extra_columns(spark):
     assert verdicts(spark, []) == {}
     df = spark.createDataFrame([(1, "http://a.org/", "x")], "page_id long, url string, verdict string")
     assert urls.judge(df, spark.createDataFrame([("http://a.org/", None)], LABELLED)).first()["verdict"] == "allow"
+
+
+def test_rules_where_most_urls_are_blocked(spark):
+    rows = [(f"http://bad.example/ads/{i}", True) for i in range(80)] + [(f"http://good.example/text/{i}", False) for i in range(20)]
+    mining = urls.Mining(support=0.05, confidence=0.5, lift=1.5, common=1.0)
+    mined = urls.mine(spark.createDataFrame(rows, "url string, block boolean"), mining).collect()
+    assert mined and all(r["confidence"] == 1.0 for r in mined)
+    assert urls.mine(spark.createDataFrame(rows[:80], "url string, block boolean"), mining).count() == 0
