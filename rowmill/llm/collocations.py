@@ -3,12 +3,13 @@
 Phrases grow word by word from their prefixes.  The counts of words, then of
 pairs of frequent words, are exact; a pair (w, x) is a node whose bound
 ``1000000 * f(w x) / f(w)`` no longer phrase beginning with it can pass, since
-a phrase is as frequent as any of its parts at most.  Per language the frontier
-is expanded from the best bounds down to a floor: triples are counted that begin
-with such a node, or end with a pair whose own score reaches the floor (a
-longer phrase may strike it out).  All scores from the floor up are then settled.
-A language is done once ``limit`` phrases survive there, ties included, or its
-frontier is empty; otherwise its floor is lowered and the next nodes are expanded.
+a phrase is as frequent as any of its parts at most; likewise none that ends with
+(x, y) passes ``1000000 * f(x y) / f(y)``.  Per language the frontier is
+expanded from the best bounds down to a floor: triples are counted whose two
+bounds reach it, or that hold a pair whose own score does (a longer phrase may
+strike it out).  All scores from the floor up are then settled.  A language is
+done once ``limit`` phrases survive there, ties included, or its frontier is
+empty; otherwise its floor is lowered and more nodes are expanded.
 
 Counting is one scan per step.  Tasks split texts on their bytes, code words and
 phrases per slice, and hand over counts; which words or pairs may be grown comes
@@ -42,11 +43,13 @@ LIMIT = 2000
 #: Percent of a phrase's occurrences inside one longer phrase that strike it out.
 INSIDE_PERCENT = 50
 SCORE_UNIT = 1_000_000
+#: Classes of scores per power of two.
+CLASSES = 32
 #: First floor: as many pair scores lie above it as ``limit`` times this.
 AHEAD = 2
 
 #: Text bytes a task codes at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bits of the key bitmap per key, and its largest size (32 MB).
 BITS_PER_KEY, MOST_BITS = 32, 1 << 28
 #: Estimated bytes of one pair's row in a broadcast join.
@@ -60,7 +63,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 #: What a bitmap key stands for.
-WORD, PAIR, GROW, SETTLE = 1, 2, 3, 4
+WORD, PAIR, HEAD, TAIL, SETTLE = 1, 2, 3, 4, 5
 
 
 class Words:
@@ -191,7 +194,7 @@ def _pairs(words: Words, held: Bitmap) -> pa.RecordBatch:
 
 
 def _triples(words: Words, held: Bitmap) -> pa.RecordBatch:
-    """Triples of two frequent pairs, the first to be grown or the second to be settled."""
+    """Triples of two frequent pairs: a head and a tail, or one to be settled."""
     size = len(words.names)
     single, back = np.unique(words.lang * size + words.code, return_inverse=True)
     langs, names = words.hashes()
@@ -203,14 +206,14 @@ def _triples(words: Words, held: Bitmap) -> pa.RecordBatch:
     number[both] = which
     lead = single[pair // size]
     parts = (langs[lead // size], names[lead % size], names[pair % size])
-    frequent, grow, end = (held.has(_keys(kind, *parts)) for kind in (PAIR, GROW, SETTLE))
+    frequent, head, tail, open_ = (held.has(_keys(kind, *parts)) for kind in (PAIR, HEAD, TAIL, SETTLE))
     first, second = number[at], number[at + 1]
-    chosen = frequent[first] & frequent[second] & (grow[first] | end[second])
+    chosen = frequent[first] & frequent[second] & (head[first] & tail[second] | open_[first] | open_[second])
     at, first = at[chosen], first[chosen]
     key, n = np.unique(first * size + words.code[at + 2], return_counts=True)
-    head = pair[key // size]
-    lead = single[head // size]
-    return _counts(words, lead // size, [lead % size, head % size, key % size], n, 3)
+    begun = pair[key // size]
+    lead = single[begun // size]
+    return _counts(words, lead // size, [lead % size, begun % size, key % size], n, 3)
 
 
 def _count(docs: DataFrame, width: int, held: Bitmap | None) -> DataFrame:
@@ -244,16 +247,14 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 def _floors(scored: DataFrame, above: int) -> DataFrame:
     """Per language a score floor at most as high as its ``above``-th best.
 
-    Scores are counted in a thousand classes, so a language's window is short.
+    Scores are counted in logarithmic classes, so a language's window is short.
     """
-    step = SCORE_UNIT // 1000
-    classes = scored.groupBy("lang", F.floor(F.col("score") / step).alias("k")).agg(F.count(F.lit(1)).alias("m"))
+    classes = scored.groupBy("lang", F.floor(F.log2(F.col("score") + 1) * CLASSES).alias("k")).agg(F.count(F.lit(1)).alias("m"))
     down = Window.partitionBy("lang").orderBy(F.desc("k"))
     reached = F.sum("m").over(down.rowsBetween(Window.unboundedPreceding, 0)) >= above
-    # Nothing reaches it: the whole frontier is expanded.
-    return classes.withColumn("floor", F.when(reached, F.col("k") * step)).groupBy("lang").agg(
-        F.coalesce(F.max("floor"), F.lit(0)).alias("floor")
-    )
+    # A class's lowest score, or just below it; 0 where all scores are too few.
+    least = F.floor(F.pow(F.lit(2.0), F.col("k") / CLASSES) - 1)
+    return classes.withColumn("floor", F.when(reached, least)).groupBy("lang").agg(F.coalesce(F.max("floor"), F.lit(0)).alias("floor"))
 
 
 def collocations(
@@ -264,7 +265,7 @@ def collocations(
     text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     enough = F.col("n") >= min_count
 
-    # Roots: words.  All words are counted, the frequent ones kept with them.
+    # Roots: words.  All are counted, the frequent ones are kept.
     counted = settle(_count(text, 1, None))
     totals = settle(counted.groupBy("lang").agg(F.sum("n").alias("total")))
     singles = settle(counted.filter(enough))
@@ -277,42 +278,40 @@ def collocations(
     right = single.select("lang", F.col("w").alias("x"), F.col("n").alias("fx"))
     pairs = pairs.join(left, ["lang", "w"]).join(right, ["lang", "x"])
     pairs = settle(
-        pairs.withColumn("score", _score(F.col("n"), F.col("fw"), F.col("fx"))).withColumn(
-            "bound", F.expr(f"{SCORE_UNIT}L * n div fw")
+        pairs.withColumns(
+            {
+                "score": _score(F.col("n"), F.col("fw"), F.col("fx")),
+                "begins": F.expr(f"{SCORE_UNIT}L * n div fw"),
+                "ends": F.expr(f"{SCORE_UNIT}L * n div fx"),
+            }
         )
     )
-    n_pairs = pairs.count()
+    n_pairs, key = pairs.count(), ["lang", "w", "x"]
 
-    floors = settle(_floors(pairs, AHEAD * limit).withColumn("before", F.lit(SCORE_UNIT + 1).cast("long")))
-    triples, ahead = None, AHEAD
+    floors, done, ahead = settle(_floors(pairs, AHEAD * limit)), [], AHEAD
     while True:
-        open_ = pairs.join(F.broadcast(floors.filter("floor < before")), "lang")
-        grown = open_.filter("bound >= floor and bound < before")
-        ends = open_.filter("score >= floor and score < before")
-        key = ["lang", "w", "x"]
-        held = bitmap([(PAIR, open_.select(*key)), (GROW, grown.select(*key)), (SETTLE, ends.select(*key))])
-        found = _count(text, 3, held).filter(enough)
-        # A triple that a former step counted has the same count again.
-        known = found if triples is None else triples.unionByName(found).dropDuplicates(["lang", "w", "x", "y"])
-        triples = settle(known)
+        # One row per language that is not done.
+        nodes = pairs.join(F.broadcast(floors), "lang")
+        kinds = [(PAIR, nodes), (HEAD, nodes.filter("begins >= floor")), (TAIL, nodes.filter("ends >= floor"))]
+        kinds.append((SETTLE, nodes.filter("score >= floor")))
+        triples = settle(_count(text, 3, bitmap([(kind, rows.select(*key)) for kind, rows in kinds])).filter(enough))
         pair = _sized(pairs, n_pairs)
         head = pair.select("lang", "w", "x", "fw", F.col("n").alias("fwx"))
         tail = pair.select("lang", F.col("w").alias("x"), F.col("x").alias("y"), F.col("n").alias("fxy"), F.col("fx").alias("fy"))
         joined = settle(triples.join(head, ["lang", "w", "x"]).join(tail, ["lang", "x", "y"]))
-        survivors = _survivors(pairs, joined, inside_percent)
-        best = settle(survivors.join(F.broadcast(floors), "lang").filter("score >= floor"))
+        best = settle(_survivors(nodes.drop("floor"), joined, inside_percent).join(F.broadcast(floors), "lang").filter("score >= floor"))
         number = best.groupBy("lang").agg(F.count(F.lit(1)).alias("m"))
-        short = floors.join(number, "lang", "left").filter(f"floor > 0 and coalesce(m, 0) < {limit}").select("lang")
-        short = settle(short)
+        judged = settle(floors.join(number, "lang", "left").withColumn("open", F.expr(f"floor > 0 and coalesce(m, 0) < {limit}")))
+        done.append(best.join(F.broadcast(judged.filter("not open").select("lang")), "lang"))
+        short = judged.filter("open").select("lang")
         if short.isEmpty():
-            return _ranked(best, totals, limit)
+            break
         ahead *= 4
-        lower = _floors(pairs.join(F.broadcast(short), "lang"), ahead * limit).withColumnRenamed("floor", "next")
-        floors = settle(
-            floors.join(lower, "lang", "left").select(
-                "lang", F.coalesce("next", "floor").alias("floor"), F.col("floor").alias("before")
-            )
-        )
+        floors = settle(_floors(pairs.join(F.broadcast(short), "lang"), ahead * limit))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return _ranked(out, totals, limit)
 
 
 def _survivors(pairs: DataFrame, triples: DataFrame, inside_percent: int) -> DataFrame:
