@@ -1,8 +1,8 @@
-"""Data-parallel training for the two regressors Spark ML has no class for.
+"""Data-parallel training of the network regressor.
 
 Every loss evaluation is one Spark job: each task runs numpy over its own
-batches and hands over a single gradient row, the rows are summed by position
-on the executors, and only the weight vector reaches the driver.
+batches and hands over a single gradient vector, the vectors are summed on the
+executors, and only their sum reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.functions.columns import number
+from rowmill.operators.shards import summed
+
+#: Steps of small gain in a row that end the training.
+PATIENCE = 10
 
 # (x, y, w) -> (summed loss, summed gradient)
 BatchLoss = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[float, np.ndarray]]
@@ -32,29 +36,6 @@ def fourier(x: np.ndarray, freq: np.ndarray, phase: np.ndarray) -> np.ndarray:
     return np.sqrt(2.0 / len(phase)) * np.cos(x @ freq + phase)
 
 
-def epsilon_loss(freq: np.ndarray, phase: np.ndarray, epsilon: float) -> BatchLoss:
-    """Epsilon-insensitive loss, squared outside the tube so it is smooth."""
-
-    def loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = fourier(x, freq, phase)
-        e = z @ w[:-1] + w[-1] - y
-        over = np.sign(e) * np.maximum(np.abs(e) - epsilon, 0.0)
-        return float((over * over).sum()) / 2, np.append(z.T @ over, over.sum())
-
-    return loss
-
-
-def linear_epsilon_loss(epsilon: float) -> BatchLoss:
-    """The same loss on the inputs themselves."""
-
-    def loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
-        e = x @ w[:-1] + w[-1] - y
-        over = np.sign(e) * np.maximum(np.abs(e) - epsilon, 0.0)
-        return float((over * over).sum()) / 2, np.append(x.T @ over, over.sum())
-
-    return loss
-
-
 def network_shapes(width: int, hidden: list[int]) -> list[tuple[int, int]]:
     sizes = [width, *hidden, 1]
     return list(zip(sizes[:-1], sizes[1:]))
@@ -141,6 +122,7 @@ def train(
 ) -> tuple[np.ndarray, Standardised, list[float]]:
     """Minimise mean loss + penalty/2 * |w|^2 by L-BFGS over Spark jobs.
 
+    Ends after ``PATIENCE`` steps in a row that each gain less than ``tol``.
     Returns weights, the scaling (target last) and the loss after each step.
     """
     columns = [*features, target]
@@ -151,15 +133,7 @@ def train(
 
         def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
             parts = table.mapInPandas(_task_gradient(loss, w, scale), "g array<double>")
-            rows = (
-                parts.select(F.posexplode("g").alias("i", "v"))
-                .groupBy("i")
-                .agg(F.sum("v").alias("v"))
-                .collect()  # one value per weight
-            )
-            flat = np.zeros(len(w) + 2)
-            for r in rows:
-                flat[r["i"]] = r["v"]
+            flat = summed(parts, "g", len(w) + 2)
             n = max(1.0, flat[0])
             return flat[1] / n + penalty / 2 * float(w @ w), flat[2:] / n + penalty * w
 
@@ -174,6 +148,7 @@ def _lbfgs(evaluate, w: np.ndarray, max_iter: int, tol: float, memory: int = 8):
     value, grad = evaluate(w)
     trace = [value]
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    small = 0
     for _ in range(max_iter):
         if np.abs(grad).max() < 1e-8:
             break
@@ -201,9 +176,9 @@ def _lbfgs(evaluate, w: np.ndarray, max_iter: int, tol: float, memory: int = 8):
         s, y = -step * q, new_grad - grad
         if s @ y > 1e-12:
             past = [*past, (s, y, 1.0 / (s @ y))][-memory:]
-        done = value - new_value < tol * max(1.0, abs(value))
+        small = small + 1 if value - new_value < tol * max(1.0, abs(value)) else 0
         w, value, grad = w - step * q, new_value, new_grad
         trace.append(value)
-        if done:
+        if small >= PATIENCE:
             break
     return w, trace

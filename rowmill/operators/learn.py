@@ -1,4 +1,4 @@
-"""The thirteen algorithms, fitted with Spark ML or the gradient trainer."""
+"""The thirteen algorithms, fitted with Spark ML or the solvers beside this file."""
 
 from __future__ import annotations
 
@@ -19,19 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.functions.columns import col, family, number
+from rowmill.functions.storage import settle
 from rowmill.operators.gradient import (
     Standardised,
-    epsilon_loss,
     fourier,
     fourier_map,
     initial_network,
-    linear_epsilon_loss,
     network_output,
     network_shapes,
     squared_loss,
     train,
 )
+from rowmill.operators.networks import Net, fit_network, probabilities
+from rowmill.operators.shards import SHARD_ROWS, deal
 from rowmill.operators.steps import align_features
+from rowmill.operators.support import fit_svr
+from rowmill.operators.trees import FOREST_BINS, LOCAL_BYTES, Growth, average, fit_trees, importances, packed, quantile_edges
 
 SEED = 42
 
@@ -91,16 +94,29 @@ ALGORITHMS: dict[str, tuple[str, dict, list[str]]] = {
     ),
     "pca": ("dimensionality_reduction", {"n_components": 2}, ["n_components", "whiten"]),
 }
+# Further parameters of our own solvers.
+OWN_PARAMETERS: dict[str, list[str]] = {
+    "decision_tree_regressor": ["local_bytes"],
+    "decision_tree_classifier": ["min_samples_leaf", "local_bytes"],
+    "random_forest_regressor": ["min_samples_leaf", "max_bins", "local_bytes"],
+    "random_forest_classifier": ["min_samples_leaf", "max_bins", "local_bytes", "criterion"],
+    "svm_regressor": ["tol", "max_iter"],
+    "svm_classifier": ["max_iter"],
+    "neural_network_classifier": ["dropout", "batch_size", "tol"],
+    "neural_network_regressor": ["tol"],
+}
 AT_LEAST_ONE = ("max_depth", "n_estimators", "n_clusters", "n_components")
 POSITIVE, POSITIVE_FLOOR = ("C", "gamma", "alpha", "learning_rate"), 1e-4
 ITERATIONS_FLOOR = 100
+# Hidden layers of the dense network and their dropout.
 DENSE_NETWORK = [128, 64, 32]
+DENSE_DROPOUT = [0.3, 0.3, 0.0]
 
 #: Defaults of ``fit``'s sizes: random Fourier features of an RBF kernel, and
 #: weighted centres the hierarchical clustering merges exactly.
 FOURIER_SIZE = 200
 MICRO_CLUSTERS = 256
-#: Spark's trees are no deeper.
+#: Trees are no deeper.
 DEEPEST = 30
 
 
@@ -111,16 +127,17 @@ def kind_of(algorithm: str) -> str:
 
 
 def parameters_for(algorithm: str, given: dict | None = None) -> dict:
-    """Defaults overlaid with the known given parameters, clamped."""
+    """Defaults overlaid with the known given parameters, clamped; other names
+    are dropped."""
     kind_of(algorithm)
     _, defaults, tunable = ALGORITHMS[algorithm]
     out = dict(defaults)
     for name, value in (given or {}).items():
-        if name not in tunable and name not in defaults:
+        if name not in tunable and name not in defaults and name not in OWN_PARAMETERS.get(algorithm, []):
             continue
         if name in AT_LEAST_ONE:
             value = max(1, int(value))
-        elif name in POSITIVE:
+        elif name in POSITIVE and not isinstance(value, str):
             value = max(POSITIVE_FLOOR, float(value))
         elif name == "max_iter":
             value = max(ITERATIONS_FLOOR, int(value))
@@ -129,7 +146,7 @@ def parameters_for(algorithm: str, given: dict | None = None) -> dict:
 
 
 def refuse_unsupported(algorithm: str, given: dict | None) -> None:
-    """Options that would be ignored are errors."""
+    """Known options with a value that is not offered are errors."""
     asked = given or {}
 
     def only(name: str, *allowed: Any) -> None:
@@ -146,14 +163,14 @@ def refuse_unsupported(algorithm: str, given: dict | None) -> None:
     if algorithm == "logistic_regression":
         only("penalty", "l1", "l2", "none", None)
         only("solver", "lbfgs")
-    if algorithm == "neural_network_classifier":
-        only("alpha")
-    if algorithm.startswith("neural_network"):
+    if algorithm == "neural_network_regressor" or isinstance(asked.get("learning_rate"), str):
         only("learning_rate", "constant")
     if algorithm == "linear_regression":
         only("normalize", False)
     if algorithm == "kmeans":
         only("init", "k-means++", "random")
+    if algorithm in ("decision_tree_classifier", "random_forest_classifier"):
+        only("criterion", "gini", "entropy", "log_loss")
     if algorithm.startswith(("decision_tree", "random_forest")) and int(asked.get("max_depth") or 1) > DEEPEST:
         raise ValueError(f"{algorithm}: max_depth is at most {DEEPEST}")
 
@@ -199,6 +216,16 @@ class Model:
         return kind_of(self.algorithm)
 
     def score(self, df: DataFrame) -> DataFrame:
+        if self.kind == "classification" and ("weights" in self.extra or "trees" in self.extra):
+            return self._classes(df)
+        if "trees" in self.extra:
+            trees = self.extra["trees"]
+
+            @F.pandas_udf("double")
+            def leaf(rows: pd.Series) -> pd.Series:
+                return pd.Series(average(trees, np.array(rows.tolist(), dtype=np.float64).reshape(len(rows), -1))[:, 0])
+
+            return _vector(df, self.features).withColumn("prediction", leaf(vector_to_array("features"))).drop("features")
         if "weights" in self.extra:
             return df.withColumn("prediction", self._gradient_prediction(df))
         out = self.stages.transform(_vector(df, self.features, self.extra.get("fourier")))
@@ -232,13 +259,41 @@ class Model:
 
         return predict(*[number(df, c) for c in self.features])
 
+    def _classes(self, df: DataFrame) -> DataFrame:
+        """Class shares of a network or of trees.  A network has no prediction
+        for a row with a missing feature."""
+        trees, shapes = self.extra.get("trees"), self.extra.get("shapes")
+        w, mean, std = (np.array(self.extra.get(k, [])) for k in ("weights", "mean", "std"))
+
+        @F.pandas_udf("array<double>")
+        def predict(rows: pd.Series) -> pd.Series:
+            x = np.array(rows.tolist(), dtype=np.float64).reshape(len(rows), -1)
+            return pd.Series(list(average(trees, x) if trees else probabilities((x - mean) / std, w, shapes)))
+
+        out = _vector(df, self.features).withColumn("probability", predict(vector_to_array("features"))).drop("features")
+        names = F.array(*[F.lit(x) for x in self.labels])
+        best = F.array_position("probability", F.array_max("probability"))
+        first = F.col("probability")[0]
+        known = first.isNotNull() & ~F.isnan(first)
+        return out.withColumn("prediction", F.when(known, F.element_at(names, best.cast("int"))))
+
     def importances(self, spark: SparkSession) -> DataFrame:
         """``(feature, importance)`` of a tree model."""
-        last = self.stages.stages[-1]
-        if not hasattr(last, "featureImportances"):
+        if "trees" not in self.extra:
             raise ValueError(f"{self.algorithm} has no feature importances")
-        rows = list(zip(self.features, [float(v) for v in last.featureImportances.toArray()]))
-        return spark.createDataFrame(rows, "feature string, importance double")
+        shares = importances(self.extra["trees"], len(self.features))
+        return spark.createDataFrame([(f, float(v)) for f, v in zip(self.features, shares)], "feature string, importance double")
+
+    def splits(self, spark: SparkSession) -> DataFrame:
+        """``(tree, node, feature, threshold, n, gain)`` of the inner nodes of a
+        tree model; the root is node 1, children of k are 2k and 2k + 1."""
+        rows = [
+            (t, node, self.features[f], cut, n, gain)
+            for t, tree in enumerate(self.extra["trees"])
+            for node, f, cut, n, gain in zip(*(tree[k] for k in ("node", "feature", "threshold", "n", "gain")))
+            if f >= 0
+        ]
+        return spark.createDataFrame(rows, "tree int, node long, feature string, threshold double, n double, gain double")
 
     def save(self, spark: SparkSession, path: str, metadata: dict | None = None) -> str:
         card = {
@@ -262,7 +317,7 @@ class Model:
     def load(cls, spark: SparkSession, path: str) -> tuple[Model, dict]:
         """The model and its metadata."""
         card = json.loads(spark.read.text(f"{path}/card").first()[0])
-        stages = None if "weights" in card["extra"] else PipelineModel.load(f"{path}/stages")
+        stages = None if card["extra"].keys() & {"weights", "trees"} else PipelineModel.load(f"{path}/stages")
         model = cls(
             card["algorithm"], card["features"], card["target"], card["parameters"], stages, card["labels"], card["extra"]
         )
@@ -290,16 +345,7 @@ def _vector(df: DataFrame, features: list[str], kernel: dict | None = None) -> D
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
 
 
-def _tree_params(p: dict) -> dict:
-    out = {"maxDepth": p.get("max_depth", 10), "seed": p.get("random_state", SEED), "maxBins": p.get("max_bins", 64)}
-    if "min_samples_leaf" in p:
-        out["minInstancesPerNode"] = max(1, int(p["min_samples_leaf"]))
-    elif "min_samples_split" in p:
-        out["minInstancesPerNode"] = max(1, int(p["min_samples_split"]) // 2)
-    return out
-
-
-def _classifier(algorithm: str, p: dict, rows: int, width: int, k: int):
+def _classifier(algorithm: str, p: dict, rows: int, k: int):
     on = {"featuresCol": "features", "labelCol": "_label"}
     if algorithm == "logistic_regression":
         reg = 0.0 if p.get("penalty", "l2") in (None, "none") else 1.0 / (p.get("C", 1.0) * rows)
@@ -307,26 +353,10 @@ def _classifier(algorithm: str, p: dict, rows: int, width: int, k: int):
         return C.LogisticRegression(
             maxIter=p["max_iter"], regParam=reg, elasticNetParam=l1, standardization=False, **on
         )
-    if algorithm == "decision_tree_classifier":
-        return C.DecisionTreeClassifier(impurity=p.get("criterion", "gini"), **_tree_params(p), **on)
-    if algorithm == "random_forest_classifier":
-        return C.RandomForestClassifier(
-            numTrees=p["n_estimators"], featureSubsetStrategy="sqrt", **_tree_params(p), **on
-        )
     if algorithm == "svm_classifier":
         svc = C.LinearSVC(regParam=1.0 / (p.get("C", 1.0) * rows), maxIter=p.get("max_iter", 1000), tol=1e-3, **on)
         return svc if k == 2 else C.OneVsRest(classifier=svc, **on)
-    layers = [width, *p["hidden_layer_sizes"], k]
-    return C.MultilayerPerceptronClassifier(layers=layers, maxIter=p["max_iter"], seed=p["random_state"], **on)
-
-
-def _regressor(algorithm: str, p: dict, target: str):
-    on = {"featuresCol": "features", "labelCol": target}
-    if algorithm == "linear_regression":
-        return R.LinearRegression(regParam=0.0, solver="normal", fitIntercept=bool(p.get("fit_intercept", True)), **on)
-    if algorithm == "decision_tree_regressor":
-        return R.DecisionTreeRegressor(**_tree_params(p), **on)
-    return R.RandomForestRegressor(numTrees=p["n_estimators"], featureSubsetStrategy="all", **_tree_params(p), **on)
+    raise ValueError(f"Algorithm {algorithm} not supported")
 
 
 def _kernel(df: DataFrame, features: list[str], p: dict, size: int) -> dict:
@@ -390,15 +420,16 @@ def fit(
     max_jobs: int | None = None,
     fourier_size: int = FOURIER_SIZE,
     micro_clusters: int = MICRO_CLUSTERS,
+    shard_rows: int = SHARD_ROWS,
 ) -> Model:
     """Fit one algorithm.
 
-    ``max_jobs`` bounds the steps of the gradient trainer below the
-    ``max_iter`` parameter; each is a pass over the data, and more while a step
-    length is searched.  ``fourier_size`` is the width of the RBF kernel's map,
+    ``max_jobs`` bounds the steps, epochs or rounds of our own solvers below the
+    ``max_iter`` parameter; ``shard_rows`` is how many rows they hold in a task.
+    ``fourier_size`` is the width of the RBF kernel's map,
     ``micro_clusters`` the number of centres the hierarchical clustering merges:
-    with more distinct points it says ``approximate`` in ``extra``.  Options that
-    cannot be honoured raise ValueError.
+    with more distinct points it says ``approximate`` in ``extra``.  Values that
+    cannot be honoured raise ValueError; parameters of other names are dropped.
     """
     refuse_unsupported(algorithm, parameters)
     p = parameters_for(algorithm, parameters)
@@ -406,12 +437,18 @@ def fit(
     model = Model(algorithm, features, target, p)
     if kind in ("regression", "classification") and not target:
         raise ValueError(f"{algorithm} needs a target")
-    if algorithm in ("svm_regressor", "neural_network_regressor"):
-        return _fit_gradient(df, model, p, max_jobs, fourier_size)
+    if algorithm == "svm_regressor":
+        return _fit_support(df, model, p, max_jobs, fourier_size, shard_rows)
+    if algorithm == "neural_network_regressor":
+        return _fit_gradient(df, model, p, max_jobs)
     if kind == "regression":
         table = _vector(df, features).withColumn(target, number(df, target))
-        stages = _regressor(algorithm, p, target)
-        model.stages = PipelineModel([stages.fit(table)])
+        if algorithm != "linear_regression":
+            return _fit_trees(table, model, p, F.col(f"`{target}`"), 0)
+        line = R.LinearRegression(
+            regParam=0.0, solver="normal", fitIntercept=bool(p.get("fit_intercept", True)), featuresCol="features", labelCol=target
+        )
+        model.stages = PipelineModel([line.fit(table)])
     elif kind == "classification":
         if algorithm == "svm_classifier" and p["kernel"] == "rbf":
             model.extra["fourier"] = _kernel(df, features, p, fourier_size)
@@ -419,10 +456,13 @@ def fit(
         text = table.withColumn("_text", col(target).cast("string"))
         index = StringIndexer(inputCol="_text", outputCol="_label", stringOrderType="alphabetAsc").fit(text)
         model.labels = list(index.labels)
+        if algorithm in ("decision_tree_classifier", "random_forest_classifier"):
+            return _fit_trees(index.transform(text), model, p, F.col("_label"), len(model.labels))
+        if algorithm == "neural_network_classifier":
+            return _fit_network(index.transform(text), model, p, max_jobs, shard_rows)
         labelled = index.transform(text).drop("_text").persist()
         try:
-            width = labelled.select(F.max(F.size(vector_to_array("features")))).first()[0]
-            estimator = _classifier(algorithm, p, labelled.count(), width, len(model.labels))
+            estimator = _classifier(algorithm, p, labelled.count(), len(model.labels))
             model.stages = PipelineModel([estimator.fit(labelled)])
         finally:
             labelled.unpersist()
@@ -449,42 +489,111 @@ def fit(
     return model
 
 
-def _fit_gradient(df: DataFrame, model: Model, p: dict, max_jobs: int | None, fourier_size: int) -> Model:
-    width = len(model.features)
-    if model.algorithm == "svm_regressor" and p["kernel"] == "linear":
-        # A network without hidden layers: the inputs as they are.
-        loss = linear_epsilon_loss(float(p.get("epsilon", 0.1)))
-        start, penalty = np.zeros(width + 1), 1.0 / (p["C"] * max(1, df.count()))
-        model.extra["shapes"] = network_shapes(width, [])
-    elif model.algorithm == "svm_regressor":
-        gamma = p["gamma"] if isinstance(p.get("gamma"), float) else 1.0 / width
-        kernel = {"width": width, "size": fourier_size, "gamma": gamma, "seed": SEED}
-        loss = epsilon_loss(*fourier_map(**kernel), float(p.get("epsilon", 0.1)))
-        start, penalty = np.zeros(fourier_size + 1), 1.0 / (p["C"] * max(1, df.count()))
-        model.extra["fourier"] = kernel
-    else:
-        shapes = network_shapes(width, list(p["hidden_layer_sizes"]))
-        loss, start = squared_loss(shapes), initial_network(shapes, p["random_state"])
-        penalty = p.get("alpha", 1e-4)
-        model.extra["shapes"] = shapes
+def _fit_gradient(df: DataFrame, model: Model, p: dict, max_jobs: int | None) -> Model:
+    shapes = network_shapes(len(model.features), list(p["hidden_layer_sizes"]))
+    loss, start = squared_loss(shapes), initial_network(shapes, p["random_state"])
+    steps = min(p["max_iter"], max_jobs or 10**9)
     w, scale, trace = train(
-        df, model.features, model.target, loss, start, penalty, min(p.get("max_iter", 1000), max_jobs or 10**9)
+        df, model.features, model.target, loss, start, p.get("alpha", 1e-4), steps, float(p.get("tol", 1e-4))
     )
     model.extra.update(
         {"weights": w.tolist(), "mean": scale.mean.tolist(), "std": scale.std.tolist(), "trace": [float(v) for v in trace]}
     )
+    model.extra["shapes"] = shapes
     return model
 
 
-def fit_dense_network(df: DataFrame, features: list[str], target: str, max_iter: int = 1000) -> Model:
-    """The 128-64-32 classifier network (no dropout)."""
-    return fit(
-        df,
-        "neural_network_classifier",
-        features,
-        target,
-        {"hidden_layer_sizes": tuple(DENSE_NETWORK), "max_iter": max_iter},
+def _fit_support(df: DataFrame, model: Model, p: dict, max_jobs: int | None, fourier_size: int, shard_rows: int) -> Model:
+    """Support vector regression on standardised inputs and target."""
+    width = len(model.features)
+    shards = deal(_vector(df, model.features), "features", number(df, model.target), shard_rows)
+    mean, std, maps = shards.mean, shards.std, None
+    if p["kernel"] == "linear":
+        # A network without hidden layers: the inputs as they are.
+        model.extra["shapes"], size = network_shapes(width, []), width + 1
+    else:
+        gamma = p["gamma"] if isinstance(p.get("gamma"), float) else 1.0 / width
+        model.extra["fourier"] = {"width": width, "size": fourier_size, "gamma": gamma, "seed": SEED}
+        maps, size = fourier_map(**model.extra["fourier"]), fourier_size + 1
+
+    def lift(x: np.ndarray) -> np.ndarray:
+        x = (x - mean) / std
+        z = fourier(x, *maps) if maps else x
+        return np.column_stack([z, np.ones(len(z))])
+
+    try:
+        fitted = fit_svr(
+            shards,
+            lift,
+            size,
+            shards.target,
+            float(p["C"]),
+            float(p.get("epsilon", 0.1)),
+            min(int(p.get("max_iter", 1000)), max_jobs or 10**9),
+            float(p.get("tol", 1e-3)),
+        )
+    finally:
+        shards.release()
+    centre, spread = shards.target
+    model.extra.update({"weights": fitted.weights.tolist(), "mean": [*mean.tolist(), centre], "std": [*std.tolist(), spread]})
+    model.extra.update({"gap": fitted.gap, "objective": fitted.primal, "trace": fitted.trace})
+    return model
+
+
+def _fit_network(labelled: DataFrame, model: Model, p: dict, max_jobs: int | None, shard_rows: int) -> Model:
+    """A classifier network on standardised inputs."""
+    shards = deal(labelled, "features", F.col("_label"), shard_rows)
+    shapes = tuple(zip([len(shards.mean), *p["hidden_layer_sizes"]], [*p["hidden_layer_sizes"], len(model.labels)]))
+    rate = p["learning_rate"] if isinstance(p.get("learning_rate"), float) else Net.rate
+    net = Net(
+        shapes,
+        float(p.get("alpha", Net.alpha)),
+        tuple(p.get("dropout", ())),
+        rate,
+        int(p.get("batch_size", Net.batch)),
+        p["random_state"],
+    )
+    try:
+        w, trace = fit_network(shards, net, min(p["max_iter"], max_jobs or 10**9), float(p.get("tol", 1e-4)))
+    finally:
+        shards.release()
+    model.extra = {"weights": w.tolist(), "mean": shards.mean.tolist(), "std": shards.std.tolist()}
+    model.extra.update({"shapes": [list(s) for s in shapes], "losses": trace})
+    return model
+
+
+def _fit_trees(table: DataFrame, model: Model, p: dict, target: Any, classes: int) -> Model:
+    """A tree, or a forest of bootstrapped ones, on rows that have a target."""
+    forest = model.algorithm.startswith("random_forest")
+    typed = table.select(vector_to_array("features").alias("x"), target.cast("double").alias("y"))
+    kept = typed.filter(F.col("y").isNotNull() & ~F.isnan("y")).select(F.monotonically_increasing_id().alias("row"), "x", "y")
+    rows = settle(kept)
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    width = width or len(model.features)
+    share = float(p.get("min_samples_split", 2))
+    growth = Growth(
+        classes=classes,
+        width=width,
+        max_depth=int(p.get("max_depth") or DEEPEST),
+        min_split=max(2, int(np.ceil(share * n)) if share < 1 else int(share)),
+        min_leaf=max(1, int(p.get("min_samples_leaf", 1))),
+        criterion="gini" if p.get("criterion", "gini") == "gini" else "entropy",
+        trees=p["n_estimators"] if forest else 1,
+        features=max(1, int(np.sqrt(width))) if forest and classes else 0,
+        bootstrap=forest,
+        bins=int(p.get("max_bins", FOREST_BINS)) if forest else 0,
+        seed=p.get("random_state", SEED),
+        local_bytes=int(p.get("local_bytes", LOCAL_BYTES)),
     )
+    edges = quantile_edges(rows, width, growth.bins) if growth.bins and 8 * n * (width + 2) > growth.local_bytes else []
+    model.extra["trees"] = packed(fit_trees(rows, growth, edges), growth)
+    return model
+
+
+def fit_dense_network(df: DataFrame, features: list[str], target: str, max_iter: int = 1000) -> Model:
+    """The 128-64-32 classifier network with its dropout."""
+    sizes = {"hidden_layer_sizes": tuple(DENSE_NETWORK), "dropout": tuple(DENSE_DROPOUT), "max_iter": max_iter}
+    return fit(df, "neural_network_classifier", features, target, sizes)
 
 
 def explained_variance(spark: SparkSession, model: Model) -> DataFrame:

@@ -8,6 +8,7 @@ from rowmill.plans.catalog import (  # noqa: E402,F401  (registration by import)
     metrics,
     preparation,
     profiling,
+    solvers,
     streams,
 )
 

@@ -109,7 +109,7 @@ def test_compare_ranks_and_summarises(blobs):
 
 def test_dense_network_layers(blobs):
     model = L.fit_dense_network(blobs, ["a", "b"], "y", max_iter=100)
-    assert list(model.stages.stages[-1].getLayers()) == [2, 128, 64, 32, 3]
+    assert model.extra["shapes"] == [[2, 128], [128, 64], [64, 32], [32, 3]] and model.parameters["dropout"] == (0.3, 0.3, 0.0)
 
 
 def test_job_over_a_file(spark, blobs, tmp_path):
@@ -140,7 +140,8 @@ def test_job_over_a_file(spark, blobs, tmp_path):
         ("hierarchical_clustering", {"affinity": "cosine"}),
         ("logistic_regression", {"penalty": "elasticnet"}),
         ("logistic_regression", {"solver": "saga"}),
-        ("neural_network_classifier", {"alpha": 0.1}),
+        ("neural_network_classifier", {"learning_rate": "invscaling"}),
+        ("decision_tree_classifier", {"criterion": "chance"}),
         ("neural_network_regressor", {"learning_rate": "adaptive"}),
         ("random_forest_classifier", {"max_depth": 31}),
     ],
