@@ -7,7 +7,7 @@ fit, longest first, then a local search that empties the least filled bin by
 moving pieces to other underfull bins or exchanging one for one and two for
 one, always to the fuller side, so the sum of squared fills grows.  Bins a
 group leaves poorly filled are dissolved and their pieces packed again with
-those of other groups, until nothing is gained.
+those of other groups, until a round saves no bin.
 
 Defined results: a NULL or empty text is the closing id alone; repeated rows
 are packed each; ties are broken by row order; an empty table gives no rows;
@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ GROUP = 3000
 #: Bins filled below this share go into the next round.
 POOR = 0.98
 #: A worker's cache of tokenised words is emptied at this size.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 # Where a text holds only these characters, the tokenizer's normaliser is
 # lower-casing and its pre-tokens are the words below (fixed values of the
@@ -45,8 +46,23 @@ _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-
 _WORD_END = "</w>"
 
 
+class Codes(dict):
+    """word -> its place in the table of ids; new words are listed."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+        self.count = 0
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        code = self[word] = self.count
+        self.count += 1
+        return code
+
+
 class Encoder:
-    """Texts to little-endian 32-bit ids; one per task."""
+    """Texts to 32-bit ids; words met before come from a table."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,32 +73,63 @@ class Encoder:
         vocab = self._tok.get_vocab()
         self._ends = np.zeros(max(vocab.values()) + 1, bool)
         self._ends[[i for w, i in vocab.items() if w.endswith(_WORD_END)]] = True
-        self._ids: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self._codes = Codes()
+        self._flat, self._sizes = np.empty(0, "<u4"), np.empty(0, np.int64)
 
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self._tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray(self._tok.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words together; every word closes with an end token."""
+    def _ids(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Ids of new words, encoded together; every word closes with an end token."""
         for at in range(0, len(words), 4000):
             part = words[at : at + 4000]
             ids = np.asarray(self._tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) == len(part):
-                starts = np.r_[0, ends[:-1]]
-                self._ids.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, starts, ends, strict=True))
-            else:
-                self._ids.update((w, self._whole(w)) for w in part)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and _PLAIN.search(t) else _WORDS.findall(t.lower()) if t else [] for t in texts]
-        if len(self._ids) > CACHE_WORDS:
-            self._ids.clear()
-        known = self._ids
-        fresh = {w for words in split if words for w in words if w not in known}
-        self._learn(sorted(fresh))
-        get = known.__getitem__
-        return [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+            yield from np.split(ids, ends[:-1]) if len(ends) == len(part) else map(self._whole, part)
+
+    def _learn(self) -> None:
+        """Add the new words to the table, in the order of their codes."""
+        new, self._codes.new = self._codes.new, []
+        plain = self._ids([w for w in new if w[0] != "\n"])
+        made = [next(plain) if w[0] != "\n" else self._whole(w[1:]) if len(w) > 1 else np.asarray([CLOSING], "<u4") for w in new]
+        self._flat = np.concatenate([self._flat, *made])
+        self._sizes = np.concatenate([self._sizes, np.fromiter(map(len, made), np.int64, len(made))])
+        for w in new:
+            if w[0] == "\n" and len(w) > 1:
+                del self._codes[w]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts``, each closed by its closing id, and where each
+        text ends."""
+        if len(self._codes) > CACHE_WORDS or len(self._flat) > 8 * CACHE_WORDS:
+            self._clear()
+        # No word holds a line break: a text encoded whole, or the closing id alone, is marked by one.
+        items: list[str] = []
+        counts = np.empty(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            before = len(items)
+            if t and _PLAIN.search(t):
+                items.append("\n" + t)
+            elif t:
+                items += _WORDS.findall(t.lower())
+            items.append("\n")
+            counts[i] = len(items) - before
+        code = np.fromiter(map(self._codes.__getitem__, items), np.int64, len(items))
+        if self._codes.new:
+            self._learn()
+        starts, sizes = np.cumsum(self._sizes) - self._sizes, self._sizes[code]
+        ends = np.cumsum(sizes)
+        ids = self._flat[np.repeat(starts[code] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, ends[np.cumsum(counts) - 1]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder: its word cache serves all tasks of the worker."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
@@ -90,20 +137,22 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, names = Encoder(tokenizer), ["doc_id", "piece", "start", "length", "ids_crc32"]
-        closing = np.asarray([CLOSING], "<u4").tobytes()
+        known, names = encoder(tokenizer), ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows: list[tuple] = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
-                    data = memoryview(ids + closing)
-                    for k, start in enumerate(range(0, len(data) // 4, length)):
-                        cut = data[4 * start : 4 * (start + length)]
-                        rows.append((doc, k, start, len(cut) // 4, zlib.crc32(cut)))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                ids, ends = known.encode(part.column("text").to_pylist())
+                sizes = np.diff(ends, prepend=0)
+                many = -(-sizes // length)
+                doc = np.repeat(np.arange(len(sizes)), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * length
+                kept = np.minimum(length, sizes[doc] - start)
+                first = (ends - sizes)[doc] + start
+                data = memoryview(np.ascontiguousarray(ids)).cast("B")
+                sums = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), kept.tolist(), strict=True)]
+                columns = [part.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(kept)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.int64())], names)
 
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -131,72 +180,90 @@ def best_fit(sizes: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
+def _gifts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All sums of one or two of ``sizes``, ascending, and their sizes (0: none).
+    Equal sizes count once, or as a pair where there are two."""
+    single, many = np.unique(sizes, return_counts=True)
+    a, b = np.triu_indices(len(single))
+    able = (a != b) | (many[a] > 1)
+    parts = np.concatenate([np.column_stack([single, np.zeros_like(single)]), np.column_stack([single[a[able]], single[b[able]]])])
+    sums = parts.sum(1)
+    # Of equal sums the single comes first, and is found last.
+    order = np.lexsort((parts[:, 1] == 0, sums))
+    return sums[order], parts[order]
+
+
+def _step(mine: np.ndarray, room: np.ndarray, item: np.ndarray, limit: np.ndarray, least: np.ndarray) -> tuple | None:
+    """The step that leaves the least room, then moves most: (target, item, given
+    sizes).  ``room``: that of each target bin; ``item``: sizes in the targets,
+    ``limit`` and ``least`` the most and least that may come for each."""
+    best = None
+    single = np.unique(mine)
+    at = np.searchsorted(single, room, side="right") - 1
+    left = np.where(at >= 0, room - single[np.maximum(at, 0)], np.iinfo(np.int64).max)
+    if len(left) and at.max() >= 0:
+        moved = np.where(at >= 0, single[np.maximum(at, 0)], 0)
+        t = int(np.lexsort((-moved, left))[0])
+        best = (int(left[t]), -int(moved[t]), t, -1, (int(single[at[t]]),))
+    if best is not None and best[0] == 0 or not len(item):
+        return best
+    sums, parts = _gifts(mine)
+    at = np.searchsorted(sums, limit, side="right") - 1
+    given = np.where(at >= 0, sums[np.maximum(at, 0)], 0)
+    able = (at >= 0) & (given >= least)
+    if able.any():
+        left = np.where(able, limit - given, np.iinfo(np.int64).max)
+        i = int(np.lexsort((-(given - item), left))[0])
+        step = (int(left[i]), -int(given[i] - item[i]), -1, i, tuple(int(v) for v in parts[at[i]] if v))
+        if best is None or step[:2] < best[:2]:
+            best = step
+    return best
+
+
 def improve(bins: list[list[int]], sizes: np.ndarray, limit: int) -> list[list[int]]:
-    """Local search: empty the least filled bins into the other underfull ones.
+    """Local search: empty underfull bins, the least filled first, into the others.
 
     A step moves tokens from the source to a target that holds more afterwards
-    than the source did, which raises the sum of squared fills; of all steps the
-    one that leaves its target the least room is taken.
+    than the source did, which raises the sum of squared fills: a piece moves,
+    or one or two of the source are exchanged for one.  Of all steps the one that
+    leaves its target the least room is taken.  A source that cannot be emptied
+    gets its pieces back, and the next one is tried.
     """
-    fewest = -(-int(sizes.sum()) // limit)
     fill = np.array([int(sizes[b].sum()) for b in bins])
     order = [int(b) for b in np.argsort(fill, kind="stable") if fill[b] < limit]
-    alive = len(bins)
     for source in order:
-        if alive <= fewest:
-            break
-        others = [b for b in order if b != source and bins[b]]
-        if limit * len(others) - int(fill[others].sum()) < fill[source]:
-            break
-        undo = {b: list(bins[b]) for b in [source, *others]}
+        others = np.array([b for b in order if b != source and bins[b]], int)
+        if not bins[source] or limit * len(others) - int(fill[others].sum()) < fill[source]:
+            continue
+        undo = {b: list(bins[b]) for b in [source, *others.tolist()]}
         # Items of the targets, and the bin of each.
         item = np.array([i for b in others for i in bins[b]], int)
         home = np.array([b for b in others for _ in bins[b]], int)
         while bins[source]:
-            room = limit - fill
-            best = None  # (room left, -moved, given, taken index or -1, target)
-            mine = sorted(bins[source], key=lambda i: -sizes[i])
-            targets = np.array(others)
-            for i in mine:
-                left = np.where(room[targets] >= sizes[i], room[targets] - sizes[i], limit)
-                at = int(np.argmin(left))
-                step = (int(left[at]), -int(sizes[i]), (i,), -1, int(targets[at]))
-                if left[at] < limit and (best is None or step[:2] < best[:2]):
-                    best = step
-            # One for one, and two of the source for one; pairs of its dozen longest.
-            few = mine[:12]
-            for given in [(i,) for i in mine] + [(a, b) for k, a in enumerate(few) for b in few[k + 1 :]]:
-                if best is not None and best[0] == 0:
-                    break
-                moved = int(sizes[list(given)].sum()) - sizes[item]
-                able = (moved > 0) & (moved <= room[home]) & (fill[home] + moved > fill[source])
-                left = np.where(able, room[home] - moved, limit)
-                at = int(np.argmin(left))
-                step = (int(left[at]), -int(moved[at]), given, at, int(home[at]))
-                if able[at] and (best is None or step[:2] < best[:2]):
-                    best = step
-            if best is None:
+            room, mine = limit - fill, bins[source]
+            held = sizes[item]
+            least = np.maximum(held, held + fill[source] - fill[home]) + 1
+            found = _step(sizes[mine], room[others], held, held + room[home], least)
+            if found is None:
                 break
-            _, moved, given, at, target = best
-            moved = -moved
-            for i in given:
-                bins[source].remove(i)
+            _, moved, t, at, given = found
+            target = int(others[t]) if at < 0 else int(home[at])
+            for size in given:
+                i = next(i for i in mine if sizes[i] == size)
+                mine.remove(i)
                 bins[target].append(i)
+                item, home = np.r_[item, i], np.r_[home, target]
             if at >= 0:
                 taken = int(item[at])
                 bins[target].remove(taken)
-                bins[source].append(taken)
+                mine.append(taken)
                 item, home = np.delete(item, at), np.delete(home, at)
-            item, home = np.r_[item, list(given)], np.r_[home, [target] * len(given)]
-            fill[target] += moved
-            fill[source] -= moved
+            fill[target] -= moved
+            fill[source] += moved
         if bins[source]:
-            # Not emptied: keep the exchange only if no later source could use it.
             for b, was in undo.items():
                 bins[b] = was
                 fill[b] = int(sizes[was].sum())
-            break
-        alive -= 1
     return [b for b in bins if b]
 
 
@@ -218,7 +285,7 @@ def pack(cut: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     whole = rows.filter(F.col("length") >= length).select(*columns, (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done, rest, step = [whole], rows.filter(F.col("length") < length), 0
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    left = rest.count()
+    left, bins = rest.count(), None
     while left:
         groups = max(1, -(-left // group))
         packed = settle(
@@ -226,20 +293,20 @@ def pack(cut: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
             .groupBy("group")
             .applyInPandas(lambda pdf: pack_group(pdf, length), f"{fields}, group long, bin long, offset long, fill long")
         )
-        last = groups == 1
-        final = packed if last else packed.filter(F.col("fill") >= POOR * length)
         # Groups and bins stay below 2^31 and 2^20, rounds below 2^8.
         number = F.lit(step).cast("long") * (1 << 51) + F.col("group") * (1 << 20) + F.col("bin")
-        done.append(final.select(*columns, number.alias("sequence_id"), "offset"))
+        numbered = packed.withColumn("sequence_id", number)
+        poor = F.col("fill") < POOR * length
+        # The first piece of each bin has offset 0.
+        made = numbered.filter(F.col("offset") == 0).agg(F.count(F.lit(1)).alias("bins"), F.count_if(poor).alias("poor")).first()
+        # A round that saves no bin is the last, as is one of a single group.
+        last = groups == 1 or (bins is not None and made["bins"] >= bins) or step == 255
+        final = numbered if last else numbered.filter(~poor)
+        done.append(final.select(*columns, "sequence_id", "offset"))
         if last:
             break
-        rest, step = packed.filter(F.col("fill") < POOR * length).select(*rows.columns), step + 1
-        before, left = left, rest.count()
-        if left > 0.8 * before:
-            # Little was finished: what is left is packed as it stands.
-            poor = packed.filter(F.col("fill") < POOR * length)
-            done.append(poor.select(*columns, number.alias("sequence_id"), "offset"))
-            break
+        rest, bins, step = packed.filter(poor).select(*rows.columns), made["poor"], step + 1
+        left = rest.count()
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
