@@ -30,6 +30,7 @@ from rowmill.operators.gradient import (
     squared_loss,
     train,
 )
+from rowmill.operators.kmeans import distances, fit_kmeans, numbered
 from rowmill.operators.networks import Net, fit_network, probabilities
 from rowmill.operators.shards import SHARD_ROWS, deal
 from rowmill.operators.steps import align_features
@@ -104,6 +105,7 @@ OWN_PARAMETERS: dict[str, list[str]] = {
     "svm_classifier": ["max_iter"],
     "neural_network_classifier": ["dropout", "batch_size", "tol"],
     "neural_network_regressor": ["tol"],
+    "kmeans": ["tol"],
 }
 AT_LEAST_ONE = ("max_depth", "n_estimators", "n_clusters", "n_components")
 POSITIVE, POSITIVE_FLOOR = ("C", "gamma", "alpha", "learning_rate"), 1e-4
@@ -115,7 +117,7 @@ DENSE_DROPOUT = [0.3, 0.3, 0.0]
 #: Defaults of ``fit``'s sizes: random Fourier features of an RBF kernel, and
 #: weighted centres the hierarchical clustering merges exactly.
 FOURIER_SIZE = 200
-MICRO_CLUSTERS = 256
+MICRO_CLUSTERS = 1000
 #: Trees are no deeper.
 DEEPEST = 30
 
@@ -167,7 +169,7 @@ def refuse_unsupported(algorithm: str, given: dict | None) -> None:
         only("learning_rate", "constant")
     if algorithm == "linear_regression":
         only("normalize", False)
-    if algorithm == "kmeans":
+    if algorithm == "kmeans" and (not isinstance(asked.get("init"), (list, np.ndarray))):
         only("init", "k-means++", "random")
     if algorithm in ("decision_tree_classifier", "random_forest_classifier"):
         only("criterion", "gini", "entropy", "log_loss")
@@ -228,15 +230,14 @@ class Model:
             return _vector(df, self.features).withColumn("prediction", leaf(vector_to_array("features"))).drop("features")
         if "weights" in self.extra:
             return df.withColumn("prediction", self._gradient_prediction(df))
+        if "centres" in self.extra:
+            return _vector(df, self.features).withColumn("prediction", self._nearest()).drop("features")
         out = self.stages.transform(_vector(df, self.features, self.extra.get("fourier")))
         if self.kind == "dimensionality_reduction":
             flip = np.array(self.extra["signs"])
             parts = vector_to_array("projected")
             signed = F.zip_with(parts, F.array(*[F.lit(float(s)) for s in flip]), lambda v, s: v * s)
             return out.withColumn("components", signed).drop("features", "centred", "projected")
-        if "merge" in self.extra:
-            merge = F.array(*[F.lit(int(c)) for c in self.extra["merge"]])
-            out = out.withColumn("prediction", merge[F.col("prediction")])
         if self.labels is not None:
             names = F.array(*[F.lit(x) for x in self.labels])
             out = out.withColumn("prediction", names[F.col("prediction").cast("int")])
@@ -244,6 +245,17 @@ class Model:
             out = out.withColumn("probability", vector_to_array("probability"))
         return out.drop("features", "rawPrediction", "_label")
 
+    def _nearest(self):
+        """The cluster of the nearest centre; none for a row with a missing component."""
+        centres, names = np.array(self.extra["centres"]), np.array(self.extra.get("merge", range(len(self.extra["centres"]))))
+
+        @F.pandas_udf("int")
+        def nearest(rows: pd.Series) -> pd.Series:
+            x = np.array(rows.tolist(), dtype=np.float64).reshape(len(rows), -1)
+            return pd.Series(names[distances(x, centres).argmin(1)]).where(~np.isnan(x).any(1)).astype("Int32")
+
+        return nearest(vector_to_array("features"))
+
     def _gradient_prediction(self, df: DataFrame):
         w, mean, std = (np.array(self.extra[k]) for k in ("weights", "mean", "std"))
         shapes, kernel = self.extra.get("shapes"), self.extra.get("fourier")
@@ -317,7 +329,7 @@ class Model:
     def load(cls, spark: SparkSession, path: str) -> tuple[Model, dict]:
         """The model and its metadata."""
         card = json.loads(spark.read.text(f"{path}/card").first()[0])
-        stages = None if card["extra"].keys() & {"weights", "trees"} else PipelineModel.load(f"{path}/stages")
+        stages = None if card["extra"].keys() & {"weights", "trees", "centres"} else PipelineModel.load(f"{path}/stages")
         model = cls(
             card["algorithm"], card["features"], card["target"], card["parameters"], stages, card["labels"], card["extra"]
         )
@@ -368,47 +380,78 @@ def _kernel(df: DataFrame, features: list[str], p: dict, size: int) -> dict:
 
 
 def _ward(centres: np.ndarray, sizes: np.ndarray, k: int) -> list[int]:
-    """Merge at most MICRO_CLUSTERS weighted centres down to k by Ward's cost."""
-    groups = [[i] for i in range(len(centres))]
-    c, n = centres.astype(float).copy(), sizes.astype(float).copy()
-    while len(groups) > k:
-        gap = ((c[:, None, :] - c[None, :, :]) ** 2).sum(2)
-        cost = gap * np.outer(n, n) / np.add.outer(n, n)
-        np.fill_diagonal(cost, np.inf)
-        i, j = sorted(np.unravel_index(int(np.argmin(cost)), cost.shape))
-        c[i] = (n[i] * c[i] + n[j] * c[j]) / (n[i] + n[j])
-        n[i] += n[j]
-        groups[i] += groups.pop(j)
-        c, n = np.delete(c, j, 0), np.delete(n, j)
-    label = {m: g for g, members in enumerate(sorted(groups, key=min)) for m in members}
-    return [label[m] for m in range(len(centres))]
-
-
-def _fit_clusters(algorithm: str, table: DataFrame, p: dict, micro: int) -> tuple[PipelineModel, dict]:
+    """Merge weighted centres down to k by Ward's cost, by chains of nearest
+    neighbours: quadratic in the centres."""
+    many = len(centres)
+    n, c = sizes.astype(float).copy(), centres.astype(float).copy()
+    live, merges, chain = np.ones(many, bool), [], []
+    norm = (c * c).sum(1)
+
+    def costs(i: int) -> np.ndarray:
+        gap = np.maximum(norm + norm[i] - 2.0 * (c @ c[i]), 0.0)
+        out = gap * n * n[i] / (n + n[i])
+        out[~live] = np.inf
+        out[i] = np.inf
+        return out
+
+    while live.sum() > 1 and many > k:
+        if not chain:
+            chain = [int(np.argmax(live))]
+        cost = costs(chain[-1])
+        j = int(np.argmin(cost))
+        # The one before wins ties, or the chain would not end.
+        if len(chain) > 1 and cost[chain[-2]] <= cost[j]:
+            i, j = chain.pop(), chain.pop()
+            i, j = min(i, j), max(i, j)
+            merges.append((costs(i)[j], i, j))
+            c[i] = (n[i] * c[i] + n[j] * c[j]) / (n[i] + n[j])
+            n[i], live[j] = n[i] + n[j], False
+            norm[i] = c[i] @ c[i]
+        else:
+            chain.append(j)
+    parent = list(range(many))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    # Ward's costs never fall along the hierarchy, so the cheapest merges come first.
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: many - k]:
+        a, b = sorted((find(i), find(j)))
+        parent[b] = a
+    roots = [find(i) for i in range(many)]
+    label = {root: g for g, root in enumerate(sorted(set(roots)))}
+    return [label[root] for root in roots]
+
+
+def _fit_clusters(algorithm: str, table: DataFrame, p: dict, micro: int) -> tuple[PipelineModel | None, dict]:
     """``approximate`` in the second part: the hierarchy was built over
     ``micro`` weighted centres, since there are more distinct points."""
     k = p["n_clusters"]
     if algorithm == "kmeans":
-        init = {"k-means++": "k-means||"}.get(p.get("init", "k-means++"), p.get("init"))
-        best = None
-        for restart in range(p["n_init"]):
-            fitted = K.KMeans(
-                k=k, seed=p["random_state"] + restart, initMode=init, maxIter=p.get("max_iter", 300)
-            ).fit(table)
-            cost = fitted.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (fitted, cost)
-        return PipelineModel([best[0]]), {"inertia": float(best[1])}
+        init = p.get("init", "k-means++")
+        found = fit_kmeans(
+            numbered(table), k, p["n_init"], int(p.get("max_iter", 300)), float(p.get("tol", 1e-4)), p["random_state"], init
+        )
+        return None, {"centres": found.centres.tolist(), "inertia": found.inertia, "steps": found.steps, "inertias": found.inertias}
     if p.get("linkage") == "top_down":
         fitted = K.BisectingKMeans(k=k, seed=SEED).fit(table)
         return PipelineModel([fitted]), {}
-    fitted = K.KMeans(k=max(k, micro), seed=SEED, maxIter=p.get("max_iter", 300)).fit(table)
-    centres = np.array(fitted.clusterCenters())
-    # Fewer distinct points than micro-clusters give fewer centres.
-    sizes = np.maximum(1, np.array(fitted.summary.clusterSizes))[: len(centres)]
-    # Without a remainder every centre is one point and the hierarchy is exact.
-    exact = fitted.summary.trainingCost < 1e-12
-    return PipelineModel([fitted]), {"merge": _ward(centres, sizes, k), "approximate": not exact}
+    # Rows are points of their own while there are few enough of them.
+    distinct = table.groupBy(vector_to_array("features").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    points = distinct.limit(max(k, micro) + 1).collect()
+    exact = len(points) <= max(k, micro)
+    if exact:
+        points = sorted(points, key=lambda r: r["x"])
+        centres, sizes = np.array([r["x"] for r in points]), np.array([r["n"] for r in points])
+    else:
+        found = K.KMeans(k=max(k, micro), seed=SEED, maxIter=p.get("max_iter", 300)).fit(table)
+        centres = np.array(found.clusterCenters())
+        # Fewer distinct points than micro-clusters give fewer centres.
+        sizes = np.maximum(1, np.array(found.summary.clusterSizes))[: len(centres)]
+    merge = _ward(centres, sizes, k) if len(centres) else []
+    return None, {"centres": centres.tolist(), "merge": merge, "approximate": not exact}
 
 
 def fit(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.operators import learn as L
+from rowmill.operators.kmeans import fit_kmeans, numbered
 from rowmill.plans.catalog.base import query, r, table, tidy
 
 _MIN_SPLIT = 50
@@ -104,3 +107,67 @@ def tree_splits_wide(spark: SparkSession, sf: str) -> DataFrame:
     given = {"max_depth": 1, "min_samples_split": _MIN_SPLIT, "local_bytes": 0}
     inputs = ["l_discount", "l_tax", "l_linenumber"]
     return _splits(spark, L.fit(table(spark, sf, "lineitem"), "decision_tree_regressor", inputs, "l_quantity", given))
+
+
+def _lloyd_sql(base: str, columns: list[str], k: int, steps: int) -> str:
+    """Lloyd steps from the first ``k`` rows of ``base`` (id and the columns)."""
+    near = lambda c: " + ".join(f"(v.{x} - {c}.{x}) * (v.{x} - {c}.{x})" for x in columns)
+    level = []
+    for s in range(steps + 1):
+        level.append(f"""
+    near{s} as (
+      select v.*, c.cluster, {near("c")} as far from base v, c{s} c
+      qualify row_number() over (partition by v.id order by {near("c")}, c.cluster) = 1),
+    c{s + 1} as (select cluster, {", ".join(f"avg({x}) as {x}" for x in columns)} from near{s} group by cluster)""")
+    return f"""with base as ({base}),
+    c0 as (select (row_number() over (order by id) - 1)::int as cluster, {", ".join(columns)} from base qualify cluster < {k}), {",".join(level)}
+    select cluster, count(*) as size, {r("(select sum(far) from near" + str(steps) + ")", 2)} as inertia from near{steps} group by cluster"""
+
+
+@query(
+    "kmeans_steps",
+    _lloyd_sql(
+        "select c_custkey as id, c_acctbal::double as c_acctbal, c_nationkey::double * 300 as c_place from customer",
+        ["c_acctbal", "c_place"],
+        4,
+        3,
+    ),
+)
+def kmeans_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Three k-means steps from given centres."""
+    df = table(spark, sf, "customer").withColumn("c_place", F.col("c_nationkey").cast("double") * 300)
+    first = df.orderBy("c_custkey").limit(4).select("c_acctbal", "c_place").collect()
+    inputs, start = ["c_acctbal", "c_place"], np.array([[float(v) for v in row] for row in first])
+    vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(df)
+    found = fit_kmeans(numbered(vectors), 4, max_iter=3, tol=0.0, init=start)
+    model = L.Model("kmeans", inputs, None, {}, extra={"centres": found.centres.tolist(), "inertia": found.inertia})
+    sizes = model.score(df).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    return sizes.withColumn("inertia", F.round(F.lit(model.extra["inertia"]), 2))
+
+
+_WARD_SQL = f"""
+with recursive points as (
+  select c_nationkey as id, floor(avg(c_acctbal)) as x from customer group by c_nationkey),
+walk as (
+  select list({{'m': [id], 'n': 1.0::double, 's': x::double}} order by id) as g from points
+  union all
+  select list_append(list_filter(g, lambda c, i: i <> best.a and i <> best.b),
+    {{'m': list_concat(g[best.a].m, g[best.b].m), 'n': g[best.a].n + g[best.b].n, 's': g[best.a].s + g[best.b].s}}) as g
+  from (
+    select g, list_sort(flatten(list_transform(range(1, len(g)), lambda i: list_transform(range(i + 1, len(g) + 1), lambda j:
+      {{'cost': g[i].n * g[j].n / (g[i].n + g[j].n) * pow(g[i].s / g[i].n - g[j].s / g[j].n, 2), 'a': i, 'b': j}}))))[1] as best
+    from walk where len(g) > 4)),
+done as (select unnest(g) as c from walk where len(g) = 4)
+select list_min(c.m)::int as first_nation, len(c.m) as size, {r("c.s / c.n")} as centre from done"""
+
+
+@query("ward_nations", _WARD_SQL)
+def ward_nations(spark: SparkSession, sf: str) -> DataFrame:
+    """Four groups of nations by their customers' mean balance, merged by Ward's cost."""
+    mean = F.floor(F.avg("c_acctbal")).cast("double").alias("x")
+    df = table(spark, sf, "customer").groupBy("c_nationkey").agg(mean)
+    scored = L.fit(df, "hierarchical_clustering", ["x"], parameters={"n_clusters": 4}).score(df)
+    found = scored.groupBy("prediction").agg(
+        F.min("c_nationkey").alias("first_nation"), F.count(F.lit(1)).alias("size"), F.avg("x").alias("centre")
+    )
+    return tidy(found.drop("prediction"))

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from rowmill.operators import learn as L
-from rowmill.operators import networks, shards, support, trees
+from rowmill.operators import kmeans, networks, shards, support, trees
 
 SHAPES = ((3, 5), (5, 4), (4, 3))
 
@@ -234,3 +234,74 @@ def test_one_class_one_row_and_no_rows(spark):
     line = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0)], "x double, y double")
     model = L.fit(line, "decision_tree_regressor", ["x"], "y")
     assert model.score(line).first()["prediction"] == 5.0 and model.splits(spark).count() == 0
+
+
+# Clusters
+
+
+def lloyd(x, centres, steps):
+    for _ in range(steps):
+        near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        centres = np.array([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
+    return centres, ((x[:, None] - centres[None]) ** 2).sum(2).min(1).sum()
+
+
+def vectors(spark, x):
+    df = spark.createDataFrame([([float(v) for v in a],) for a in x], "x array<double>").repartition(3)
+    return kmeans.numbered(df.withColumn("features", array_to_vector("x")))
+
+
+def test_steps_from_given_centres(spark):
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(200, 3))
+    start = np.vstack([x[:3], [[50.0, 50.0, 50.0]]])
+    found = kmeans.fit_kmeans(vectors(spark, x), 4, max_iter=5, tol=0.0, init=start)
+    centres, inertia = lloyd(x, start, 5)
+    # The fourth centre is never the nearest, and stays.
+    assert np.allclose(found.centres, centres) and found.inertia == pytest.approx(inertia) and found.steps == 5
+
+
+def test_restarts_share_passes_and_the_best_is_kept(spark):
+    draw = np.random.default_rng(9)
+    x = np.concatenate([draw.normal(c, 0.1, size=(40, 2)) for c in [(0, 0), (0, 9), (9, 0), (9, 9), (4, 4)]])
+    rows = vectors(spark, x)
+    found = kmeans.fit_kmeans(rows, 5, restarts=6)
+    assert found.inertia == min(found.inertias) and len(found.inertias) == 6
+    assert found.inertia == pytest.approx(sum(((x[i : i + 40] - x[i : i + 40].mean(0)) ** 2).sum() for i in range(0, 200, 40)))
+    assert np.allclose(found.centres, kmeans.fit_kmeans(rows, 5, restarts=6).centres)
+
+
+def test_starting_centres_differ_while_rows_do(spark):
+    x = np.array([[0.0, 0.0]] * 50 + [[1.0, 0.0], [0.0, 1.0]])
+    rows = vectors(spark, x)
+    drawn = kmeans.fit_kmeans(rows, 3, restarts=4, max_iter=0).centres
+    assert len({tuple(c) for c in drawn}) == 3
+    assert kmeans.fit_kmeans(rows, 5, restarts=2).inertia == pytest.approx(0)
+    assert kmeans.fit_kmeans(vectors(spark, np.empty((0, 2))).filter("false"), 2).inertia == 0
+
+
+def test_ward_equals_trying_every_pair():
+    draw = np.random.default_rng(10)
+    for k in (1, 2, 5, 30):
+        c, n = draw.normal(size=(30, 2)), draw.integers(1, 4, 30)
+        groups = [[i] for i in range(30)]
+        mid, size = c.copy(), n.astype(float)
+        while len(groups) > k:
+            cost = {
+                (i, j): size[i] * size[j] / (size[i] + size[j]) * ((mid[i] - mid[j]) ** 2).sum()
+                for i in range(len(groups))
+                for j in range(i)
+            }
+            i, j = min(cost, key=cost.get)
+            mid[j] = (size[i] * mid[i] + size[j] * mid[j]) / (size[i] + size[j])
+            size[j] += size[i]
+            groups[j] += groups.pop(i)
+            mid, size = np.delete(mid, i, 0), np.delete(size, i)
+        want = {m: g for g, part in enumerate(sorted(groups, key=min)) for m in part}
+        assert L._ward(c, n, k) == [want[m] for m in range(30)]
+
+
+def test_rows_with_a_missing_component_have_no_cluster(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (0.1, 0.0), (5.0, 5.0), (None, 1.0)], "a double, b double")
+    scored = L.fit(df, "kmeans", ["a", "b"], parameters={"n_clusters": 2}).score(df).collect()
+    assert scored[0]["prediction"] == scored[1]["prediction"] != scored[2]["prediction"] and scored[3]["prediction"] is None
