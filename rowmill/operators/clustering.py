@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,9 +20,12 @@ from rowmill.functions.columns import col
 from rowmill.functions.lookup import attach
 from rowmill.functions.stats import ratio
 from rowmill.functions.storage import settle
+from rowmill.operators.shards import summed
 
 # Points per block of the pairwise grid: a block pair is a 2048 x 2048 matrix.
 BLOCK_ROWS = 2048
+#: Points measured against all others by the estimated silhouette.
+SAMPLE_ROWS = 2000
 
 
 def as_points(df: DataFrame, key: str, cluster: str, features: str | list[str]) -> DataFrame:
@@ -110,7 +115,10 @@ def _grid(left: DataFrame, right: DataFrame, rows: int, fn, schema: str) -> Data
 
 
 def _pairwise(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    x, y = np.stack(a["x"]), np.stack(b["x"])
+    return _distances(np.stack(a["x"]), np.stack(b["x"]))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     sq = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
     # Nearby points cancel in the expansion above: measure those directly.
     i, j = np.nonzero(sq < 1e-6 * (1.0 + (x * x).sum(1)[:, None]))
@@ -174,6 +182,56 @@ def silhouette(points: DataFrame) -> DataFrame:
     return silhouette_points(points).agg(F.coalesce(F.avg("silhouette"), F.lit(0.0)).alias("silhouette"))
 
 
+def silhouette_sampled(points: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
+    """``(silhouette, silhouette_error, n_clusters)`` in one pass over the points.
+
+    The mean Euclidean silhouette of ``rows`` points drawn by a hash, each
+    measured against every point: an unbiased estimate with its standard error,
+    and the exact value, error 0, where there are no more points than that.  The
+    driver and each task hold a number per drawn point and cluster.
+    """
+    kept = points.filter(F.col("cluster").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "cluster", "x")
+    held = settle(kept)
+    spark = held.sparkSession
+    # One row per cluster.
+    sizes = {r["cluster"]: r["n"] for r in held.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = sorted(sizes)
+    drawn = held.orderBy(F.xxhash64(F.lit(seed), "row"), "row").limit(rows).collect()
+    place = {c: i for i, c in enumerate(names)}
+    x, own = np.array([r["x"] for r in drawn], float), np.array([place[r["cluster"]] for r in drawn], int)
+    number = np.array([r["row"] for r in drawn])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(drawn), len(names)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
+                y = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                member = np.zeros((len(y), len(names)))
+                member[np.arange(len(y)), [place[c] for c in batch.column(1).to_pylist()]] = 1.0
+                gap = _distances(x, y)
+                # A point is at 0 from itself, whatever the rounding.
+                gap[number[:, None] == batch.column(0).to_numpy()[None, :]] = 0.0
+                total += gap @ member
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()])], ["v"])
+
+    score, error = 0.0, 0.0
+    if len(names) > 1:
+        flat = summed(held.mapInArrow(run, "v array<double>"), "v", len(drawn) * len(names)).reshape(len(drawn), -1)
+        size, mine = np.array([sizes[c] for c in names], float), np.arange(len(drawn))
+        a = flat[mine, own] / np.maximum(size[own] - 1, 1)
+        other = flat / size
+        other[mine, own] = np.inf
+        b = other.min(1)
+        top = np.maximum(a, b)
+        s = np.where((size[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
+        score, n = float(s.mean()), float(size.sum())
+        if len(s) < n:
+            error = float(s.std(ddof=1) / np.sqrt(len(s)) * np.sqrt(1 - len(s) / n))
+    kinds = "silhouette double, silhouette_error double, n_clusters long"
+    return spark.createDataFrame([(score, error, len(names))], kinds)
+
+
 def silhouette_squared(points: DataFrame) -> float:
     """Mean silhouette on squared distances: linear in the rows, and a
     different number from ``silhouette``."""

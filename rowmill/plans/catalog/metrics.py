@@ -276,6 +276,17 @@ def silhouette_exact(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(K.silhouette(_points(spark, sf)))
 
 
+@query(
+    "silhouette_sampled",
+    f"""with {_VECTORS}, {_silhouette_sql("list_distance(a.x, b.x)")}
+    select {r("avg(case when n > 1 then (b - a) / greatest(a, b) else 0 end)")} as silhouette, 0.0 as silhouette_error,
+      (select count(distinct label) from embeddings) as n_clusters from s""",
+)
+def silhouette_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    """As many points are drawn as there are vectors up to sf0.1, so the estimate is exact."""
+    return tidy(K.silhouette_sampled(_points(spark, sf)))
+
+
 @query(
     "silhouette_squared",
     f"""with {_VECTORS}, {_silhouette_sql("pow(list_distance(a.x, b.x), 2)")}

@@ -47,8 +47,12 @@ class Trained:
     chain: Chain | None = None
 
 
-def evaluate(model: learn.Model, test: DataFrame, key: str | None = None) -> DataFrame:
-    """``(model, metric, value)`` rows for a scored table, by model kind."""
+def evaluate(model: learn.Model, test: DataFrame, key: str | None = None, exact: bool = False) -> DataFrame:
+    """``(model, metric, value)`` rows for a scored table, by model kind.
+
+    A clustering's silhouette is that of a sample against all rows, with its
+    standard error; ``exact`` measures every pair (by row ``key``), which is quadratic.
+    """
     name = model.algorithm
     if model.kind == "dimensionality_reduction":
         ratios = model.extra["explained"]
@@ -61,10 +65,13 @@ def evaluate(model: learn.Model, test: DataFrame, key: str | None = None) -> Dat
     elif model.kind == "regression":
         table = regression.regression_metrics(settle(scored.select(model.target, "prediction")), model.target, "prediction")
     else:
-        points = clustering.as_points(scored, key, "prediction", model.features)
-        held = settle(points)
-        table = clustering.silhouette(held).withColumnRenamed("silhouette", "silhouette_score")
-        table = table.withColumn("n_clusters", held.select("cluster").distinct().agg(F.count(F.lit(1))).scalar())
+        numbered = scored if key else scored.withColumn("_row", F.monotonically_increasing_id())
+        features = model.features[0] if len(model.features) == 1 and scored.schema[model.features[0]].dataType.typeName() == "array" else model.features
+        held = settle(clustering.as_points(numbered, key or "_row", "prediction", features))
+        table = clustering.silhouette_sampled(held)
+        if exact:
+            table = clustering.silhouette(held).withColumn("n_clusters", F.lit(table.first()["n_clusters"]))
+        table = table.withColumnRenamed("silhouette", "silhouette_score")
     for old, new in METRIC_NAMES.items():
         if old in table.columns:
             table = table.withColumnRenamed(old, new)

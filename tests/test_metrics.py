@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from rowmill.operators import classification as C
 from rowmill.operators import clustering as K
+from rowmill.operators import learn as L
 from rowmill.operators import regression as R
+from rowmill.plans import training as T
 
 
 def brute_silhouette(x, y):
@@ -105,3 +107,29 @@ def test_null_is_a_class_of_the_confusion_matrix(spark):
     df = spark.createDataFrame([("a", "a"), ("b", None), ("a", "b")], "y string, p string")
     cells = {(r["actual"], r["predicted"]): r["n"] for r in C.confusion_matrix(df, "y", "p").collect()}
     assert len(cells) == 9 and cells["b", None] == 1 and cells[None, None] == 0 and sum(cells.values()) == 3
+
+
+def test_estimated_silhouette_has_its_error(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 900)
+    x = rng.normal(size=(900, 2)) + 2.5 * np.stack([y, y == 1], axis=1)
+    df = spark.createDataFrame([(i, int(c), [float(v) for v in a]) for i, (c, a) in enumerate(zip(y, x))], "i int, c int, v array<double>")
+    points = K.as_points(df, "i", "c", "v")
+    exact = float(np.mean(brute_silhouette(x, y)))
+    whole = K.silhouette_sampled(points).first()
+    assert (whole["silhouette"], whole["silhouette_error"], whole["n_clusters"]) == (pytest.approx(exact), 0.0, 3)
+    offs = []
+    for seed in range(6):
+        part = K.silhouette_sampled(points, rows=150, seed=seed).first()
+        offs.append((part["silhouette"] - exact) / part["silhouette_error"])
+    assert np.abs(offs).max() < 4 and np.abs(offs).min() > 0
+    assert K.silhouette_sampled(points.filter("cluster = 0")).first()["silhouette"] == 0.0
+
+
+def test_clusterings_are_evaluated_without_a_key(spark):
+    df = spark.createDataFrame([(float(i % 2) * 5 + i / 100,) for i in range(40)], "a double")
+    model = L.fit(df, "kmeans", ["a"], parameters={"n_clusters": 2})
+    found = {r["metric"]: r["value"] for r in T.evaluate(model, df).collect()}
+    pairs = {r["metric"]: r["value"] for r in T.evaluate(model, df, exact=True).collect()}
+    assert found["silhouette_score"] == pytest.approx(pairs["silhouette_score"])
+    assert found["silhouette_score"] > 0.9 and found["n_clusters"] == 2
