@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowmill.functions.columns import col
+from rowmill.sources.records import read_records
 
 # Extensions, separators and encodings in the order tried.
 EXTENSIONS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
@@ -71,11 +72,12 @@ def sniff_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
-def _refuse_open_quotes(spark: SparkSession, path: str) -> None:
-    """A line with an odd number of quotes is part of a record that goes on in
-    the next line, which a reader that cuts files into tasks would break."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    if not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty():
+def _refuse_open_quotes(spark: SparkSession, path: str, sep: str) -> None:
+    """A line that leaves a quoted value open is part of a record that goes on
+    in the next line.  Quotes inside an unquoted field are text."""
+    field = rf'"(?:[^"]|"")*"[^{re.escape(sep)}]*|[^"{re.escape(sep)}][^{re.escape(sep)}]*|'
+    whole = F.col("value").rlike(rf"^(?:{field})(?:{re.escape(sep)}(?:{field}))*$")
+    if not spark.read.text(path).filter(F.contains("value", F.lit('"')) & ~whole).limit(1).isEmpty():
         raise ValueError("a quoted value goes over several lines: read with multi_line=True")
 
 
@@ -123,26 +125,63 @@ def read_csv(
     schema: str | None = None,
     multi_line: bool = False,
     null_values: tuple[str, ...] = MISSING,
+    rejects: str | None = None,
 ) -> DataFrame:
-    """CSV with header; quotes are doubled inside quoted values.
+    """CSV with header; quotes are doubled inside quoted values, and a quote
+    that does not start a field is text.
 
     Values equal to one of ``null_values`` are missing, and types are inferred
-    from the rest; give ``schema`` at scale, since inference is a full pass.
-    ``multi_line`` allows line breaks inside quotes and reads each file in one
-    task; without it such a file is refused.
+    from the rest; give ``schema`` at scale, since inference is a full pass.  Its
+    columns are taken by name where the header has them all, else by position,
+    and a value that is not of its type raises when it is read; ``rejects`` names
+    a column that lists such columns instead, their values being NULL.
+    ``multi_line`` allows line breaks inside quotes; without it such a file is refused.
     """
     encoding = encoding or sniff_encoding(spark, path)
     sep = sep or sniff_separator(_head(spark, path)[0].decode("utf-8", "replace"))
-    if not multi_line:
-        _refuse_open_quotes(spark, path)
-    reader = spark.read.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multi_line)
-    if schema:
-        wanted = T.StructType.fromDDL(schema)
-        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in wanted]))
-    df = reader.csv(path)
+    options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"'}
+    wanted = T.StructType.fromDDL(schema) if schema else None
+    if multi_line:
+        df = _from_records(read_records(spark, path, sep, encoding), options, wanted)
+    else:
+        _refuse_open_quotes(spark, path, sep)
+        df = spark.read.options(header=True, **options).csv(path)
+    if wanted:
+        named = set(wanted.names) <= set(df.columns)
+        if not named and len(df.columns) != len(wanted):
+            raise ValueError(f"the header has {len(df.columns)} columns, the schema {len(wanted)}")
+        df = df.select(*[col(c) for c in wanted.names]) if named else df.toDF(*wanted.names)
     df = df.select(*[F.when(~col(c).isin(*null_values), col(c)).alias(c) for c in df.columns])
-    kinds = [f.dataType.simpleString() for f in wanted] if schema else _inferred(df)
-    return df.select(*[_typed(col(c), k).alias(c) for c, k in zip(df.columns, kinds, strict=True)])
+    kinds = [f.dataType.simpleString() for f in wanted] if wanted else _inferred(df)
+    pairs = list(zip(df.columns, kinds, strict=True))
+    typed = [_typed(col(c), k) for c, k in pairs]
+    if not wanted:
+        return df.select(*[t.alias(c) for t, (c, _) in zip(typed, pairs)])
+    lost = [col(c).isNotNull() & t.isNull() for t, (c, _) in zip(typed, pairs)]
+    if rejects:
+        listed = F.filter(F.array(*[F.when(x, F.lit(c)) for x, (c, _) in zip(lost, pairs)]), lambda v: v.isNotNull())
+        return df.select(*[t.alias(c) for t, (c, _) in zip(typed, pairs)], listed.alias(rejects))
+    fail = lambda c, k: F.raise_error(F.format_string(f"column {c}: '%s' is no {k}", col(c))).cast(k)
+    return df.select(*[F.when(x, fail(c, k)).otherwise(t).alias(c) for x, t, (c, k) in zip(lost, typed, pairs)])
+
+
+def _from_records(records: DataFrame, options: dict, wanted: T.StructType | None) -> DataFrame:
+    """Text columns of whole records, parsed by Spark; the header names them."""
+    parts = {k: v for k, v in options.items() if k != "encoding"}
+    head = records.filter("first").orderBy("file").limit(1).collect()
+    if not head:
+        return records.select().limit(0)
+    # The header's width is that of its own parsing.
+    count = head[0]["record"].count(options["sep"]) + 1
+    probe = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(count)])
+    one = records.sparkSession.createDataFrame([(head[0]["record"],)], "record string")
+    cells = list(one.select(F.from_csv("record", probe.simpleString()[7:-1].replace(":", " "), parts).alias("r")).first()["r"])
+    while cells and cells[-1] is None:
+        cells.pop()
+    names = [c if c else f"_c{i}" for i, c in enumerate(cells)]
+    ddl = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = records.filter("not first").select(F.from_csv("record", ddl, parts).alias("r"))
+    return parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool | None = None) -> DataFrame:

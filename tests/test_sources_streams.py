@@ -1,12 +1,14 @@
 """Readers, registry, leaderboard edges and streaming."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from rowmill.operators import board as B
 from rowmill.sources import readers, registry
+from rowmill.sources.records import ends_inside, read_records
 from rowmill.streaming.serving import alerts, event_stream, run_to_table, serving_metrics
 
 
@@ -37,6 +39,65 @@ def test_csv_quotes_breaks_and_missing_tokens(spark, tmp_path):
     assert [r["id"] for r in same.collect()] == [1, 2, None]
 
 
+def test_records_are_cut_by_many_tasks(spark, tmp_path):
+    rnd = random.Random(1)
+    cell = lambda: "".join(rnd.choice(["x", '"', ",", "\n", " ", "é"]) for _ in range(rnd.randint(0, 60)))
+    rows = [(str(i), cell(), cell()) for i in range(400)]
+    quoted = lambda v: '"' + v.replace('"', '""') + '"'
+    text = "id,a,b\n" + "".join(",".join([i, quoted(a), quoted(b)]) + "\n" for i, a, b in rows)
+    path = write(tmp_path / "t.csv", text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    # Blocks far shorter than some records.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "53")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        records = read_records(spark, path)
+        assert records.rdd.getNumPartitions() > 100
+        df = readers.read_csv(spark, path, sep=",", multi_line=True, schema="id string, a string, b string", null_values=())
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [(i, a, b) for i, a, b in rows]
+    clean = lambda r: (r[0], r[1] or "", r[2] or "")
+    assert sorted(map(clean, got)) == sorted(want)
+
+
+@pytest.mark.parametrize(
+    "line, out, inside",
+    [
+        ("a,b", False, True),
+        ('5" pipe,b', False, False),
+        ('"a', True, False),
+        ('a,"b""', True, False),
+        ('"a""b",c', False, False),
+        ('"a"x"y,c', False, False),
+        ('","', False, True),
+        ("", False, True),
+    ],
+)
+def test_state_behind_a_line(line, out, inside):
+    assert ends_inside(line, False, ",") is out and ends_inside(line, True, ",") is inside
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_stray_quotes_are_text(spark, tmp_path, multi_line):
+    path = write(tmp_path / "t.csv", 'id,size\n1,5" pipe\n2,"7"" rod"\n\n3,x\n')
+    df = readers.read_csv(spark, path, multi_line=multi_line)
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, '5" pipe'), (2, '7" rod'), (3, "x")]
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_schema_by_name_and_values_of_another_type(spark, tmp_path, multi_line):
+    path = write(tmp_path / "t.csv", "b,a\nx,1\ny,2x\nz,NA\n")
+    read = lambda **o: readers.read_csv(spark, path, schema="a int, b string", multi_line=multi_line, **o)
+    assert [tuple(r) for r in read(rejects="bad").orderBy("b").collect()] == [(1, "x", []), (None, "y", ["a"]), (None, "z", [])]
+    with pytest.raises(Exception, match="'2x' is no int"):
+        read().collect()
+    with pytest.raises(ValueError, match="columns"):
+        readers.read_csv(spark, path, schema="q int", multi_line=multi_line)
+
+
 def test_csv_types(spark, tmp_path):
     text = "i,l,d,b,day,ts,s,none\n1,1,1,true,2024-01-02,2024-01-02 03:04:05,12:30,NA\n-2,9999999999,1e3,FALSE,2024-02-03,2024-02-03,x,\n"
     df = readers.load_table(spark, write(tmp_path / "t.csv", text))
