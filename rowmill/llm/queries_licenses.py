@@ -40,9 +40,31 @@ merged as (
   select doc_id, template, label, base, size, grp, min(first_pos) as first_pos, max(last_pos) as last_pos,
     len(list_distinct(flatten(list(ats)))) / (size - 1) as coverage
   from grouped group by doc_id, template, label, base, size, grp),
+judged as (
+  select *, base or last_pos - first_pos <= {licenses.STRETCH} * size as fits
+  from (select *, case when base or size <= {licenses.SHORT} then 1.0 else {licenses.COVERAGE} end as least from merged)
+  where coverage >= least),
+close_hits as (
+  select distinct j.doc_id, j.template, j.grp, j.label, j.size, j.least, h.pos, h.tpos
+  from judged j join grouped g using (doc_id, template, grp) join hits h on h.doc_id = g.doc_id and h.template = g.template
+    and h.diagonal = g.diagonal
+  where not j.fits),
+first_met as (
+  select a.doc_id, a.template, a.grp, a.label, a.size, a.least, a.pos as first_pos, b.tpos, min(b.pos) as met
+  from (select distinct doc_id, template, grp, label, size, least, pos from close_hits) a
+    join close_hits b on b.doc_id = a.doc_id and b.template = a.template and b.grp = a.grp
+      and b.pos >= a.pos and b.pos + 2 - a.pos <= {licenses.STRETCH} * a.size
+  group by all),
+spans as (
+  select doc_id, template, grp, label, count(*) / (size - 1) as coverage, first_pos, max(met) + 2 as last_pos
+  from first_met group by doc_id, template, grp, label, size, least, first_pos having count(*) / (size - 1) >= least),
 verified as (
-  select * from merged where last_pos - first_pos <= {licenses.STRETCH} * size
-    and case when base or size <= {licenses.SHORT} then coverage = 1 else coverage >= {licenses.COVERAGE} end),
+  select doc_id, label, base, coverage, first_pos from judged where fits
+  union all
+  select doc_id, label, false, coverage, first_pos from spans s where not exists (
+    select 1 from spans o where o.doc_id = s.doc_id and o.template = s.template and o.grp = s.grp
+      and o.first_pos < s.last_pos and s.first_pos < o.last_pos
+      and (-o.coverage, o.last_pos - o.first_pos, o.first_pos, o.last_pos) < (-s.coverage, s.last_pos - s.first_pos, s.first_pos, s.last_pos))),
 told as (
   select doc_id, count(*) filter (where base) as n_base, min(first_pos) filter (where base) as first_word,
     max(first_pos) filter (where base) as last_word,

@@ -1,7 +1,13 @@
+import random
 import re
 
+import duckdb
+import pandas as pd
+
 from rowmill.llm import licenses
+from rowmill.llm.queries_licenses import SQL
 from tests.llm.brute import ASCII_LOWER
+from tests.test_oracle import rows
 
 MIT = licenses.NOTICES["mit"][0]
 
@@ -61,5 +67,20 @@ def test_notices_in_close_order(spark):
         assert got[doc]["score"] == 1.0 and {(i * n, i * n + n) for i in range(3)} <= places
 
 
+def test_sql_says_the_same_of_close_notices(spark):
+    draw = random.Random(4)
+    made = [" ".join(t.words) for t in licenses.templates()]
+    words = ["all", "rights", "reserved", "cc", "by", "nc", "sa", "x", *MIT.split()[:12]]
+    docs = [(1, "all rights reserved all rights reserved"), (2, "CC BY-NC, CC BY-SA"), (3, MIT + " " + MIT), (4, None), (5, "")]
+    docs += [(10 + i, " ".join(draw.choice(made + words * 2) for _ in range(draw.randint(2, 14)))) for i in range(120)]
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).drop("spans").toPandas()
+    documents = pd.DataFrame(docs, columns=["doc_id", "text"])
+    want = duckdb.sql(SQL).df()
+    assert len(documents) == len(want)
+    plain = lambda d: rows(d.astype(object).map(lambda v: int(v) if isinstance(v, float) and v.is_integer() else v))
+    assert plain(got) == plain(want.astype(object).where(want.notna(), None))
+    assert max(len(r["labels"].split(",")) for _, r in got.iterrows()) > 3
+
+
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
