@@ -23,7 +23,8 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
         F.max(F.abs(e)).alias("max_error"),
         F.min(F.abs(y)).alias("least"),
         F.avg(F.abs(e / F.nullif(y, F.lit(0.0)))).alias("ape"),
-        F.corr(y, p).alias("pred_actual_correlation"),
+        # NULL where the predictions or the values do not vary.
+        F.try_divide(F.covar_pop(y, p), F.stddev_pop(y) * F.stddev_pop(p)).alias("pred_actual_correlation"),
     )
     mse = F.col("mse")
     return sums.select(

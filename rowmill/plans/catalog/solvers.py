@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from rowmill.operators import learn as L
 from rowmill.operators.kmeans import fit_kmeans, numbered
+from rowmill.plans import training as T
 from rowmill.plans.catalog.base import query, r, table, tidy
+from rowmill.sources import registry
 
 _MIN_SPLIT = 50
 
@@ -171,3 +173,43 @@ def ward_nations(spark: SparkSession, sf: str) -> DataFrame:
         F.min("c_nationkey").alias("first_nation"), F.count(F.lit(1)).alias("size"), F.avg("x").alias("centre")
     )
     return tidy(found.drop("prediction"))
+
+
+_LEAVES = [1, 1500, 100000]
+
+
+@query(
+    "grid_stumps",
+    f"""with long as ({" union all ".join(f"select l_quantity as y, '{c}' as feature, {c}::double as value from lineitem" for c in ["l_discount", "l_tax", "l_linenumber"])}),
+    counts as (select feature, value, count(*) as m, sum(y) as s from long group by feature, value),
+    run as (select *, sum(m) over w as lm, sum(s) over w as ls, sum(m) over (partition by feature) as tm, sum(s) over (partition by feature) as ts
+      from counts window w as (partition by feature order by value)),
+    whole as (select count(*) as n, sum(l_quantity) as s, sum(l_quantity * l_quantity) as q from lineitem),
+    best as (
+      select leaf, max(ls * ls / lm + (ts - ls) * (ts - ls) / nullif(tm - lm, 0)) filter (where lm >= leaf and tm - lm >= leaf) as worth
+      from run, (values {", ".join(f"({v})" for v in _LEAVES)}) t(leaf) group by leaf)
+    select leaf::int as min_samples_leaf, {r("(q - coalesce(worth, s * s / n)) / n")} as mse from best, whole""",
+)
+def grid_stumps(spark: SparkSession, sf: str) -> DataFrame:
+    """A search over trees of depth 1; every trial's error."""
+    df, inputs = table(spark, sf, "lineitem"), ["l_discount", "l_tax", "l_linenumber"]
+    grid = {"max_depth": [1], "min_samples_leaf": _LEAVES}
+    found = T.grid_search(df.select("l_quantity", *inputs), "decision_tree_regressor", inputs, "l_quantity", grid, df)
+    leaf = F.get_json_object("parameters", "$.min_samples_leaf").cast("int")
+    return tidy(found.filter("metric = 'mse'").select(leaf.alias("min_samples_leaf"), F.col("value").alias("mse")))
+
+
+@query(
+    "registry_jobs",
+    """select event_id::varchar as id, c_custkey::varchar as model_id, event_type as status, c_name as model_name, c_mktsegment as algorithm
+    from events join customer on user_id = c_custkey""",
+)
+def registry_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs with the models they train; jobs of unknown models are left out."""
+    jobs = table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("model_id"), F.col("event_type").alias("status")
+    )
+    models = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("algorithm")
+    )
+    return registry.jobs_with_models(jobs, models)

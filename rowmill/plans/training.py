@@ -5,8 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,10 @@ from rowmill.sources.writers import append_results, metric_rows
 
 # Fields a training request must have; the names under which
 # metrics are reported; job stages with their progress.
+T = TypeVar("T")
+#: Trials of a search that run at the same time.
+PARALLEL = 4
+
 REQUIRED = ("algorithm", "target_column")
 METRIC_NAMES = {"f1": "f1_score"}
 STAGES = {
@@ -87,8 +95,18 @@ def detailed_analysis(model: learn.Model, scored: DataFrame) -> DataFrame:
     return distribution.numeric_distribution(scored, columns)
 
 
-def train_table(df: DataFrame, config: dict, key: str) -> Trained:
-    """Split, fit the preparation on the training rows, fit, evaluate.
+@dataclass
+class Ready:
+    """Prepared training and test rows of one request."""
+
+    train: DataFrame
+    test: DataFrame
+    features: list[str]
+    chain: Chain
+
+
+def make_ready(df: DataFrame, config: dict, key: str) -> Ready:
+    """Split, and fit the preparation on the training rows only.
 
     ``key`` identifies rows; it takes part in the split and is no feature.
     """
@@ -104,12 +122,17 @@ def train_table(df: DataFrame, config: dict, key: str) -> Trained:
     ready = settle(fitted.table)
     features = learn.feature_columns(ready, target)
     typed = ready.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in features], target)
-    model = learn.fit(typed, config["algorithm"], features, target, config.get("parameters"))
     # Steps that leave out rows are for training only.
     chain = Chain([s for s in fitted.chain.steps if s.kind not in ("drop_duplicates", "outliers")])
-    held_out = chain.transform(test.drop(key))
-    held_out = settle(align_features(held_out, features, [target]))
-    return Trained(model, evaluate(model, held_out), ready.count(), held_out.count(), chain)
+    held_out = settle(align_features(chain.transform(test.drop(key)), features, [target]))
+    return Ready(typed, held_out, features, chain)
+
+
+def train_table(df: DataFrame, config: dict, key: str) -> Trained:
+    """Split, fit the preparation on the training rows, fit, evaluate."""
+    ready = make_ready(df, config, key)
+    model = learn.fit(ready.train, config["algorithm"], ready.features, config["target_column"], config.get("parameters"))
+    return Trained(model, evaluate(model, ready.test), ready.train.count(), ready.test.count(), ready.chain)
 
 
 def score_raw(spark: SparkSession, path: str, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -186,6 +209,27 @@ def compare(models: dict[str, learn.Model], test: DataFrame, metric: str = "auto
     return rank_models(held, chosen), ranking_summary(held, chosen)
 
 
+def _trials(spark: SparkSession, grid: dict[str, list], max_trials: int) -> list[tuple[int, dict]]:
+    names = list(grid)
+    lists = spark.range(1).select(*[F.array(*[F.lit(v) for v in grid[n]]).alias(n) for n in names])
+    # At most max_trials rows.
+    return [(t["trial_number"], {n: t[n] for n in names}) for t in parameter_grid(lists, names, max_trials).collect()]
+
+
+def _run_trials(spark: SparkSession, trials: list, work: Callable[[int, dict], T], parallel: int) -> list[T]:
+    """``work`` for every trial, ``parallel`` at a time, each in a pool of its own."""
+
+    def run(trial: tuple[int, dict]) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{trial[0]}")
+        return work(*trial)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        return list(pool.map(inheritable_thread_target(run), trials))
+
+
+SCORES = "trial_number int, parameters string, metric string, value double"
+
+
 def grid_search(
     df: DataFrame,
     algorithm: str,
@@ -194,20 +238,78 @@ def grid_search(
     grid: dict[str, list],
     test: DataFrame,
     max_trials: int = 10,
+    parallel: int = PARALLEL,
 ) -> DataFrame:
-    """One fit per trial: ``(trial_number, parameters, metric, value)``."""
-    spark = df.sparkSession
-    names = list(grid)
-    lists = spark.range(1).select(*[F.array(*[F.lit(v) for v in grid[n]]).alias(n) for n in names])
-    out = None
-    for trial in parameter_grid(lists, names, max_trials).collect():  # at most max_trials rows
-        given = {n: trial[n] for n in names}
-        model = learn.fit(df, algorithm, features, target, given)
-        rows = evaluate(model, test).select(
-            F.lit(trial["trial_number"]).alias("trial_number"),
-            F.lit(json.dumps(given, sort_keys=True)).alias("parameters"),
-            "metric",
-            "value",
+    """One fit per trial over one written table: ``(trial_number, parameters,
+    metric, value)``."""
+    spark, held, held_out = df.sparkSession, settle(df), settle(test)
+
+    def work(number: int, given: dict) -> list[tuple]:
+        model = learn.fit(held, algorithm, features, target, given)
+        text = json.dumps(given, sort_keys=True)
+        return [(number, text, r["metric"], r["value"]) for r in evaluate(model, held_out).collect()]
+
+    found = _run_trials(spark, _trials(spark, grid, max_trials), work, parallel)
+    return spark.createDataFrame([row for rows in found for row in rows], SCORES)
+
+
+def search(
+    df: DataFrame, config: dict, grid: dict[str, list], key: str, root: str, max_trials: int = 10, parallel: int = PARALLEL
+) -> str:
+    """A recorded search: its id.
+
+    The table is prepared once.  Every trial is a job and a model in the
+    registry under ``root``, tagged with the search and its number; a trial that
+    fails is recorded as failed and the others go on.  The search's row
+    holds the request, the grid, the jobs and the best trial.
+    """
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    ready = make_ready(df, config, key)
+    trials = _trials(spark, grid, max_trials)
+    jobs = {number: uuid.uuid4().hex for number, _ in trials}
+    request = {
+        "id": name,
+        "base_config": json.dumps(config, default=str),
+        "param_grid": json.dumps(grid, default=str),
+        "job_ids": json.dumps([jobs[n] for n, _ in trials]),
+        "total_trials": len(trials),
+        "status": "running",
+    }
+    registry.record(spark, root, "searches", [request])
+
+    def work(number: int, given: dict) -> tuple:
+        try:
+            model = learn.fit(ready.train, config["algorithm"], ready.features, config["target_column"], {**config.get("parameters", {}), **given})
+            model.save(spark, f"{root}/saved/{jobs[number]}", {"search_id": name, "trial_number": number})
+            return number, given, {r["metric"]: r["value"] for r in evaluate(model, ready.test).collect()}, None
+        except Exception as e:  # noqa: BLE001  (recorded with the trial)
+            return number, given, {}, str(e)
+
+    found = _run_trials(spark, trials, work, parallel)
+    models, rows = [], []
+    for number, given, metrics, error in found:
+        tag = {"search_id": name, "trial_number": number}
+        status = "failed" if error else "trained"
+        models.append(
+            {
+                "id": jobs[number],
+                "name": f"trial {number}",
+                "algorithm": config["algorithm"],
+                "parameters": json.dumps(given, sort_keys=True),
+                "file_path": None if error else f"{root}/saved/{jobs[number]}",
+                "status": status,
+                "metrics": json.dumps(metrics),
+            }
         )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        log = json.dumps([tag, error] if error else [tag])
+        done = "failed" if error else "completed"
+        rows.append({"id": jobs[number], "model_id": jobs[number], "status": done, "progress": 0.0 if error else 100.0, "logs": log})
+    registry.record(spark, root, "models", models)
+    registry.record(spark, root, "jobs", rows)
+    scored = [(str(n), m, v) for n, _, metrics, _ in found for m, v in metrics.items()]
+    scores = spark.createDataFrame(scored, "model string, metric string, value double")
+    chosen = comparison_metric(learn.kind_of(config["algorithm"]), config.get("metric", "auto"))
+    best = rank_models(scores, chosen).filter("rank = 1").first()
+    done = {"id": name, "status": "completed" if best else "failed", "best_trial": int(best["model"]) if best else None}
+    registry.record(spark, root, "searches", [done], 1)
+    return name

@@ -15,6 +15,8 @@ SCHEMAS = {
     "created_at timestamp, status string",
     "models": "id string, name string, algorithm string, parameters string, dataset_id string, "
     "file_path string, created_at timestamp, status string, metrics string",
+    "searches": "id string, base_config string, param_grid string, job_ids string, total_trials int, best_trial int, "
+    "created_at timestamp, status string",
     "jobs": "id string, model_id string, status string, progress double, created_at timestamp, logs string",
 }
 EVENT_FIELDS = "event_ts timestamp, event_seq bigint"

@@ -1,5 +1,7 @@
 """Invariants of the fitted models; no agreement with other solvers is claimed."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +133,28 @@ def test_job_over_a_file(spark, blobs, tmp_path):
     assert registry.state(spark, root, "jobs").filter("status = 'failed'").count() == 1
 
 
+def test_search_records_every_trial_and_the_best(spark, blobs, tmp_path):
+    from rowmill.sources import registry
+
+    root, config = str(tmp_path), {"algorithm": "decision_tree_classifier", "target_column": "y", "preprocessing": {"scale_features": False}}
+    grid = {"max_depth": [1, 6, 40], "criterion": ["gini"]}
+    name = T.search(blobs.select("id", "y", "a", "b"), config, grid, "id", root)
+    found = registry.find(spark, root, "searches", name).first()
+    jobs = json.loads(found["job_ids"])
+    assert (found["status"], found["total_trials"], len(jobs)) == ("completed", 3, 3)
+    assert json.loads(found["base_config"]) == config and json.loads(found["param_grid"]) == grid
+    state = {r["id"]: r for r in registry.jobs_with_models(registry.state(spark, root, "jobs"), registry.state(spark, root, "models")).collect()}
+    models = {r["id"]: r for r in registry.state(spark, root, "models").collect()}
+    depth = {j: json.loads(models[j]["parameters"])["max_depth"] for j in jobs}
+    # Depth 40 is refused: that trial fails, and the others go on.
+    assert {depth[j]: state[j]["status"] for j in jobs} == {1: "completed", 6: "completed", 40: "failed"}
+    assert depth[jobs[found["best_trial"] - 1]] == 6
+    tag = json.loads(state[jobs[0]]["logs"])[0]
+    assert tag == {"search_id": name, "trial_number": 1}
+    best, meta = L.Model.load(spark, models[jobs[found["best_trial"] - 1]]["file_path"])
+    assert meta["search_id"] == name and best.score(blobs).filter("prediction = y").count() > 225
+
+
 @pytest.mark.parametrize(
     "name, options",
     [
