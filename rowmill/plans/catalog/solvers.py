@@ -57,17 +57,17 @@ _STATUS = ["F", "O", "P"]
 _GINI = "({0} * {0} + {1} * {1} + {2} * {2})::double / nullif({0} + {1} + {2}, 0)"
 
 
-@query(
-    "tree_splits_class",
-    _splits_sql(
-        "select o_orderkey as id, o_orderstatus as y, o_totalprice, o_custkey, month(o_orderdate) as o_month from orders",
-        ["o_totalprice", "o_custkey", "o_month"],
-        {f"c{i}": f"count(*) filter (where y = '{s}')" for i, s in enumerate(_STATUS)},
-        "({0} + {1} + {2})",
-        _GINI,
-        2,
-    ),
+_STATUS_SPLITS = _splits_sql(
+    "select o_orderkey as id, o_orderstatus as y, o_totalprice, o_custkey, month(o_orderdate) as o_month from orders",
+    ["o_totalprice", "o_custkey", "o_month"],
+    {f"c{i}": f"count(*) filter (where y = '{s}')" for i, s in enumerate(_STATUS)},
+    "({0} + {1} + {2})",
+    _GINI,
+    2,
 )
+
+
+@query("tree_splits_class", _STATUS_SPLITS)
 def tree_splits_class(spark: SparkSession, sf: str) -> DataFrame:
     """Both levels of a classification tree, split over the whole table."""
     df = table(spark, sf, "orders").withColumn("o_month", F.month("o_orderdate").cast("double"))
@@ -75,6 +75,32 @@ def tree_splits_class(spark: SparkSession, sf: str) -> DataFrame:
     return _splits(spark, L.fit(df, "decision_tree_classifier", ["o_totalprice", "o_custkey", "o_month"], "o_orderstatus", given))
 
 
+@query(
+    "tree_importance",
+    f"""with found as ({_STATUS_SPLITS})
+    select feature, {r("sum(gain) / (select sum(gain) from found)", 2)} as importance from found group by feature""",
+)
+def tree_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Each feature's share of the gain, of the features that split."""
+    df = table(spark, sf, "orders").withColumn("o_month", F.month("o_orderdate").cast("double"))
+    given = {"max_depth": 2, "min_samples_split": _MIN_SPLIT}
+    model = L.fit(df, "decision_tree_classifier", ["o_totalprice", "o_custkey", "o_month"], "o_orderstatus", given)
+    return tidy(model.importances(spark).filter("importance > 0"), 2)
+
+
+@query(
+    "logreg_shares",
+    f"""select o_orderstatus as class, {r("count(*) / (select count(*) from orders)", 3)} as share from orders group by o_orderstatus""",
+)
+def logreg_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """At the optimum of a logistic regression the mean probability of a class is its share."""
+    df = table(spark, sf, "orders").select((F.col("o_totalprice") / 1e5).alias("price"), "o_orderstatus")
+    model = L.fit(df, "logistic_regression", ["price"], "o_orderstatus")
+    shares = [F.avg(F.col("probability")[i]).alias(c) for i, c in enumerate(model.labels)]
+    row = model.score(df).agg(*shares)
+    return tidy(row.unpivot([], model.labels, "class", "share"), 3)
+
+
 @query(
     "tree_splits_value",
     _splits_sql(
