@@ -42,6 +42,12 @@ STAGES = {
     "saving": 90.0,
     "completed": 100.0,
 }
+STAGE_NOTES = {
+    "preprocessing": "Splitting rows and preparing columns",
+    "preparing_ml_data": "Choosing features",
+    "training": "Training model",
+    "evaluating": "Evaluating model",
+}
 
 
 @dataclass
@@ -128,11 +134,20 @@ def make_ready(df: DataFrame, config: dict, key: str) -> Ready:
     return Ready(typed, held_out, features, chain)
 
 
-def train_table(df: DataFrame, config: dict, key: str) -> Trained:
-    """Split, fit the preparation on the training rows, fit, evaluate."""
+def train_table(df: DataFrame, config: dict, key: str, told: Callable[[str], None] = lambda stage: None) -> Trained:
+    """Split, fit the preparation on the training rows, fit, evaluate; ``told``
+    hears of each stage as it begins."""
+    told("preprocessing")
     ready = make_ready(df, config, key)
+    told("preparing_ml_data")
+    # The features are known: the last check before the fit.
+    if not ready.features:
+        raise ValueError("no numeric or boolean feature is left")
+    told("training")
     model = learn.fit(ready.train, config["algorithm"], ready.features, config["target_column"], config.get("parameters"))
-    return Trained(model, evaluate(model, ready.test), ready.train.count(), ready.test.count(), ready.chain)
+    told("evaluating")
+    metrics = settle(evaluate(model, ready.test))
+    return Trained(model, metrics, ready.train.count(), ready.test.count(), ready.chain)
 
 
 def score_raw(spark: SparkSession, path: str, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -178,8 +193,7 @@ def run_job(spark: SparkSession, config: dict, root: str) -> str:
     try:
         note("loading_data", STAGES["loading_data"], ["Loading dataset"])
         df = load_table(spark, config["dataset_path"])
-        note("training", STAGES["training"], ["Training model"])
-        result = train_table(df, config, config["key_column"])
+        result = train_table(df, config, config["key_column"], lambda stage: note(stage, STAGES[stage], [STAGE_NOTES[stage]]))
         note("saving", STAGES["saving"], ["Saving trained model"])
         path = f"{root}/saved/{model_id}"
         result.model.save(spark, path, {"job_id": job, "config": config})

@@ -124,6 +124,8 @@ def test_job_over_a_file(spark, blobs, tmp_path):
     job = T.run_job(spark, config, root)
     state = registry.find(spark, root, "jobs", job).first()
     assert (state["status"], state["progress"]) == ("completed", 100.0)
+    told = registry.events(spark, root, "jobs").orderBy("event_seq").collect()
+    assert [r["status"] for r in told] == list(T.STAGES) and [r["progress"] for r in told] == list(T.STAGES.values())
     model = registry.state(spark, root, "models").first()
     assert model["status"] == "trained" and "accuracy" in model["metrics"]
     scored = T.score_raw(spark, model["file_path"], blobs.select("id", "a", "b"), ["id"])
@@ -133,6 +135,32 @@ def test_job_over_a_file(spark, blobs, tmp_path):
     assert registry.state(spark, root, "jobs").filter("status = 'failed'").count() == 1
 
 
+def test_full_reports_are_saved(spark, blobs, tmp_path):
+    from rowmill.plans.report import evaluation_report
+
+    small = {"hidden_layer_sizes": (8,), "max_depth": 4, "n_clusters": 3}
+    cases = {
+        "decision_tree_classifier": ("y", {"confusion_matrix", "per_class", "classification_report", "distributions"}),
+        "decision_tree_regressor": ("t", {"residuals", "moments", "distributions"}),
+        "kmeans": (None, {"cluster_sizes", "clusters"}),
+    }
+    for name, (target, want) in cases.items():
+        path = str(tmp_path / name)
+        parts = evaluation_report(L.fit(blobs, name, ["a", "b"], target, small), blobs, path)
+        assert set(parts) == want | {"metrics"}
+        for part, table in parts.items():
+            assert spark.read.parquet(f"{path}/{part}").count() == table.count() > 0
+        names = {r["metric"] for r in parts["metrics"].collect()}
+        assert names >= {"y": {"accuracy", "roc_auc_macro"}, "t": {"r2_score"}, None: {"silhouette_score", "davies_bouldin"}}[target]
+    two = blobs.filter("y <> 'c2'")
+    parts = evaluation_report(L.fit(two, "logistic_regression", ["a", "b"], "y"), two)
+    found = {r["metric"]: r["value"] for r in parts["metrics"].collect()}
+    assert found["roc_auc"] > 0.99 and found["pr_auc"] > 0.99
+    assert parts["roc_curve"].columns == ["score", "fpr", "tpr"] and parts["pr_curve"].count() > 2
+    brief = evaluation_report(L.fit(two, "logistic_regression", ["a", "b"], "y"), two, detailed=False)
+    assert set(brief) == {"metrics", "confusion_matrix"}
+
+
 def test_search_records_every_trial_and_the_best(spark, blobs, tmp_path):
     from rowmill.sources import registry
 
