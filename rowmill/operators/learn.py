@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from rowmill.functions.columns import col, family, number
 from rowmill.functions.storage import settle
+from rowmill.operators.components import principal
 from rowmill.operators.gradient import (
     Standardised,
     fourier,
@@ -106,6 +107,7 @@ OWN_PARAMETERS: dict[str, list[str]] = {
     "neural_network_classifier": ["dropout", "batch_size", "tol"],
     "neural_network_regressor": ["tol"],
     "kmeans": ["tol"],
+    "pca": ["svd_solver"],
 }
 AT_LEAST_ONE = ("max_depth", "n_estimators", "n_clusters", "n_components")
 POSITIVE, POSITIVE_FLOOR = ("C", "gamma", "alpha", "learning_rate"), 1e-4
@@ -120,6 +122,8 @@ FOURIER_SIZE = 200
 MICRO_CLUSTERS = 1000
 #: Trees are no deeper.
 DEEPEST = 30
+#: Above so many columns ``svd_solver="auto"`` forms no square matrix.
+WIDE = 500
 
 
 def kind_of(algorithm: str) -> str:
@@ -169,6 +173,8 @@ def refuse_unsupported(algorithm: str, given: dict | None) -> None:
         only("learning_rate", "constant")
     if algorithm == "linear_regression":
         only("normalize", False)
+    if algorithm == "pca":
+        only("svd_solver", "auto", "full", "randomized")
     if algorithm == "kmeans" and (not isinstance(asked.get("init"), (list, np.ndarray))):
         only("init", "k-means++", "random")
     if algorithm in ("decision_tree_classifier", "random_forest_classifier"):
@@ -230,6 +236,8 @@ class Model:
             return _vector(df, self.features).withColumn("prediction", leaf(vector_to_array("features"))).drop("features")
         if "weights" in self.extra:
             return df.withColumn("prediction", self._gradient_prediction(df))
+        if "loadings" in self.extra:
+            return _vector(df, self.features).withColumn("components", self._projected()).drop("features")
         if "centres" in self.extra:
             return _vector(df, self.features).withColumn("prediction", self._nearest()).drop("features")
         out = self.stages.transform(_vector(df, self.features, self.extra.get("fourier")))
@@ -256,6 +264,18 @@ class Model:
 
         return nearest(vector_to_array("features"))
 
+    def _projected(self):
+        """A row's components; NaN for a row with a missing value."""
+        mean, loadings = np.array(self.extra["mean"]), np.array(self.extra["loadings"])
+
+        @F.pandas_udf("array<double>")
+        def project(rows: pd.Series) -> pd.Series:
+            x = np.array(rows.tolist(), dtype=np.float64).reshape(len(rows), len(mean))
+            return pd.Series(list((x - mean) @ loadings))
+
+        # Arrow makes NULLs of NaN.
+        return F.transform(project(vector_to_array("features")), lambda v: F.coalesce(v, F.lit(float("nan"))))
+
     def _gradient_prediction(self, df: DataFrame):
         w, mean, std = (np.array(self.extra[k]) for k in ("weights", "mean", "std"))
         shapes, kernel = self.extra.get("shapes"), self.extra.get("fourier")
@@ -329,7 +349,7 @@ class Model:
     def load(cls, spark: SparkSession, path: str) -> tuple[Model, dict]:
         """The model and its metadata."""
         card = json.loads(spark.read.text(f"{path}/card").first()[0])
-        stages = None if card["extra"].keys() & {"weights", "trees", "centres"} else PipelineModel.load(f"{path}/stages")
+        stages = None if card["extra"].keys() & {"weights", "trees", "centres", "loadings"} else PipelineModel.load(f"{path}/stages")
         model = cls(
             card["algorithm"], card["features"], card["target"], card["parameters"], stages, card["labels"], card["extra"]
         )
@@ -517,6 +537,10 @@ def fit(
             table.unpersist()
     else:
         table = _vector(df, features)
+        solver = p.get("svd_solver", "auto")
+        if solver == "randomized" or (solver == "auto" and _width(table, features) > WIDE):
+            model.extra = _wide_components(table, p)
+            return model
         centre = StandardScaler(inputCol="features", outputCol="centred", withMean=True, withStd=False)
         project = PCA(k=p["n_components"], inputCol="centred", outputCol="projected")
         model.stages = Pipeline(stages=[centre, project]).fit(table)
@@ -532,6 +556,28 @@ def fit(
     return model
 
 
+def _width(table: DataFrame, features: list[str]) -> int:
+    """Components of the assembled vector."""
+    if len(features) > 1:
+        return len(features)
+    row = table.select(F.size(vector_to_array("features"))).first()
+    return row[0] if row else 0
+
+
+def _wide_components(table: DataFrame, p: dict) -> dict:
+    """Loadings signed like those of the narrow fit: the largest is positive."""
+    found = principal(table, "features", int(p["n_components"]), int(p.get("random_state") or SEED))
+    signs = np.array([1.0 if c[np.argmax(np.abs(c))] >= 0 else -1.0 for c in found.loadings.T])
+    spread = np.sqrt(found.variances) if p.get("whiten") else np.ones(len(signs))
+    return {
+        "mean": found.mean.tolist(),
+        "loadings": (found.loadings * signs / np.where(spread > 0, spread, 1.0)).tolist(),
+        "explained": (found.variances / (found.total or 1.0)).tolist(),
+        "residual": found.residual,
+        "steps": found.steps,
+    }
+
+
 def _fit_gradient(df: DataFrame, model: Model, p: dict, max_jobs: int | None) -> Model:
     shapes = network_shapes(len(model.features), list(p["hidden_layer_sizes"]))
     loss, start = squared_loss(shapes), initial_network(shapes, p["random_state"])

@@ -12,6 +12,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +32,7 @@ from rowmill.functions.columns import (
 )
 from rowmill.functions.quantiles import quantiles
 from rowmill.functions.stats import ratio, skew_g1
+from rowmill.operators.shards import summed
 
 # Thresholds of the quality score and of the advice rules.
 MISSING_HIGH, MISSING_HIGH_COST = 50.0, 30.0
@@ -168,54 +171,93 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     )
 
 
-def _gram(width: int, means: list[float]):
-    """Per task: pairwise sums over rows where both columns are present."""
+#: Columns of a block: a task holds the sums of one pair of blocks (3 MB).
+BLOCK = 256
+_SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+
+def _gram(left: list[float], right: list[float]):
+    """Per task: sums over rows where both columns are present, for each column
+    of a left block (means ``left``) with each of a right one.  One row per
+    left column, its sums for all right columns after each other."""
+    cut = len(left)
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((6, width, width))
+        total = np.zeros((6, cut, len(right)))
         for batch in batches:
             x = batch.to_numpy(dtype=np.float64)
             seen = ~np.isnan(x)
-            m = seen.astype(np.float64)
-            x = np.where(seen, x - means, 0.0)
-            sq = x * x
-            total += np.stack([m.T @ m, x.T @ m, m.T @ x, sq.T @ m, m.T @ sq, x.T @ x])
-        i, j = np.triu_indices(width)
-        yield pd.DataFrame(
-            {"i": i, "j": j, **{k: total[p][i, j] for p, k in enumerate(("n", "sa", "sb", "saa", "sbb", "sab"))}}
-        )
+            x = np.where(seen, x - [*left, *right], 0.0)
+            m, sq = seen.astype(np.float64), x * x
+            ma, mb, xa, xb = m[:, :cut], m[:, cut:], x[:, :cut], x[:, cut:]
+            total += np.stack([ma.T @ mb, xa.T @ mb, ma.T @ xb, sq[:, :cut].T @ mb, ma.T @ sq[:, cut:], xa.T @ xb])
+        yield pd.DataFrame({"i": range(cut), "sums": [total[:, i].ravel() for i in range(cut)]})
 
     return gram
 
 
-def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def _means(df: DataFrame, columns: list[str]) -> list[float]:
+    """The mean of each column, 0 where all is missing."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(len(columns)), np.zeros(len(columns))
+        for batch in batches:
+            x = batch.to_numpy(dtype=np.float64)
+            n += (~np.isnan(x)).sum(0)
+            total += np.nansum(x, 0)
+        yield pd.DataFrame({"sums": [np.concatenate([total, n])]})
+
+    sums = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInPandas(add, "sums array<double>")
+    total, n = np.split(summed(sums, "sums", 2 * len(columns)), 2)
+    return (total / np.maximum(n, 1)).tolist()
+
+
+def _block_pair(df: DataFrame, left: list[str], right: list[str], means: dict[str, float]) -> DataFrame:
+    """a, b and the sums of each column of ``left`` with each of ``right``."""
+    width = len(right)
+    asked = [number(df, c).alias(f"c{i}") for i, c in enumerate([*left, *right])]
+    sums = (
+        df.select(*asked)
+        .mapInPandas(_gram([means[c] for c in left], [means[c] for c in right]), "i int, sums array<double>")
+        .groupBy("i")
+        .agg(Summarizer.sum(array_to_vector("sums")).alias("s"))
+        .withColumn("s", vector_to_array("s"))
+    )
+    at = lambda p: F.col("s")[F.col("j") + p * width].alias(_SUMS[p])
+    return sums.select("i", "s", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j")).select(
+        F.array(*[F.lit(c) for c in left])[F.col("i")].alias("a"),
+        F.array(*[F.lit(c) for c in right])[F.col("j")].alias("b"),
+        "i",
+        "j",
+        *[at(p) for p in range(6)],
+    )
+
+
+def correlation(df: DataFrame, columns: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """Pearson correlation of every column pair (a <= b in table order).
 
     Pairwise complete: a row counts for a pair when both values are present.
-    One scan whatever the width; tasks hand over d*(d+1)/2 sums each.
+    Tables up to ``block`` columns take one scan.  Wider ones take one for each
+    pair of column blocks, which reads those two blocks alone; no task, row or
+    driver object holds the sums of more than one pair of blocks.  A column
+    without two different values has no correlation (NULL), and no columns give
+    no rows.
     """
     columns = columns or numeric_columns(df)
-    means = df.agg(*[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    shift = [m if m is not None else 0.0 for m in means]
-    sums = (
-        df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-        .mapInPandas(
-            _gram(len(columns), shift),
-            "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double",
-        )
-        .groupBy("i", "j")
-        .agg(*[F.sum(k).alias(k) for k in ("n", "sa", "sb", "saa", "sbb", "sab")])
-    )
+    if not columns:
+        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
+    means = dict(zip(columns, _means(df, columns)))
+    blocks = [columns[i : i + block] for i in range(0, len(columns), block)]
+    pairs = [
+        _block_pair(df, one, two, means).filter(F.col("i") <= F.col("j")) if one is two else _block_pair(df, one, two, means)
+        for x, one in enumerate(blocks)
+        for two in blocks[x:]
+    ]
     n = F.nullif(F.col("n"), F.lit(0.0))
     va = F.col("saa") - F.col("sa") * F.col("sa") / n
     vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
     cov = F.col("sab") - F.col("sa") * F.col("sb") / n
-    names = F.array(*[F.lit(c) for c in columns])
-    return sums.select(
-        names[F.col("i")].alias("a"),
-        names[F.col("j")].alias("b"),
-        F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("corr"),
-    )
+    return reduce(DataFrame.unionByName, pairs).select("a", "b", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("corr"))
 
 
 def skewness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

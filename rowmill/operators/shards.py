@@ -75,6 +75,6 @@ def summed(parts: DataFrame, column: str, size: int) -> np.ndarray:
     """The sum of an array column of ``size``; vectors are added on the executors."""
     bucket = F.pmod(F.spark_partition_id(), F.lit(BUCKETS)).alias("_b")
     near = parts.groupBy(bucket).agg(Summarizer.sum(array_to_vector(column)).alias("v"))
-    total = near.agg(Summarizer.sum(F.col("v")).alias("v")).first()["v"].toArray()
-    # No rows give an empty vector.
-    return total if len(total) else np.zeros(size)
+    # Grouped, since the summarizer refuses to sum no rows at all.
+    total = near.groupBy(F.lit(0).alias("_all")).agg(Summarizer.sum(F.col("v")).alias("v")).first()
+    return total["v"].toArray() if total else np.zeros(size)

@@ -83,6 +83,37 @@ def pca_scores(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(scored.select("l_orderkey", "l_linenumber", F.col("components")[0].alias("first")))
 
 
+#: Steps of the power iteration in SQL.
+_POWER = 600
+
+
+@query(
+    "pca_wide",
+    f"""with recursive e as (select embedding::double[] as x from embeddings where len(embedding) = 64),
+    c as (select i, j, covar_samp(x[i], x[j]) as c from e, range(1, 65) a(i), range(1, 65) b(j) group by i, j),
+    g as (select i, list(c order by j) as g from c group by i),
+    m as (select list(g order by i) as m, sum(g[i]) as total from g),
+    p(k, v) as (select 0, list_transform(range(64), lambda z: (z % 7 - 2.9)::double) union all
+      select k + 1, list_transform(w, lambda z: z / sqrt(list_dot_product(w, w)))
+      from (select k, list_transform(m, lambda z: list_dot_product(z, v)) as w from p, m where k < {_POWER})),
+    one as (select v as v1, sqrt(list_dot_product(u, u)) as l1
+      from (select v, list_transform(m, lambda z: list_dot_product(z, v)) as u from p, m where k = {_POWER})),
+    q(k, v) as (select 0, list_transform(range(64), lambda z: (z % 5 - 1.7)::double) union all
+      select k + 1, list_transform(w, lambda z: z / sqrt(list_dot_product(w, w))) from (
+        select k, list_transform(range(1, 65), lambda z: list_dot_product(m[z], v) - l1 * list_dot_product(v1, v) * v1[z]) as w
+        from q, m, one where k < {_POWER})),
+    two as (select sqrt(list_dot_product(u, u)) as l2
+      from (select list_transform(m, lambda z: list_dot_product(z, v)) as u from q, m where k = {_POWER}))
+    select 1 as component, {r("l1 / total")} as ratio, {r("l1 / total")} as cumulative from one, m
+    union all select 2, {r("l2 / total")}, {r("(l1 + l2) / total")} from one, two, m""",
+)
+def pca_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of the embeddings without a square matrix."""
+    rows = table(spark, sf, "embeddings").filter(F.size("embedding") == 64)
+    model = L.fit(rows, "pca", ["embedding"], parameters={"svd_solver": "randomized"})
+    return tidy(L.explained_variance(spark, model))
+
+
 _RECOMMEND = [("classification", "orders"), ("regression", "lineitem"), ("clustering", "customer"), ("classification", "supplier")]
 
 

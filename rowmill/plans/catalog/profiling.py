@@ -127,6 +127,22 @@ def correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+#: Components of the embeddings.
+_WIDTH = 64
+
+
+@query(
+    "correlation_blocks",
+    f"""select 'v' || i as a, 'v' || j as b, {r("corr(embedding[i + 1], embedding[j + 1])")} as corr
+    from embeddings, range({_WIDTH}) x(i), range({_WIDTH}) y(j) where i <= j and len(embedding) = {_WIDTH} group by i, j""",
+)
+def correlation_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The components of the embeddings as columns, in blocks of 20."""
+    rows = table(spark, sf, "embeddings").filter(F.size("embedding") == _WIDTH)
+    wide = rows.select(*[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(_WIDTH)])
+    return tidy(P.correlation(wide, block=20))
+
+
 @query(
     "correlation_pairwise_complete",
     f"with {GAPS} "

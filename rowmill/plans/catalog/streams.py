@@ -12,7 +12,7 @@ from rowmill.operators.missing import fit_impute
 from rowmill.operators.scale import fit_scale
 from rowmill.operators.steps import Chain
 from rowmill.plans.catalog.base import query, r, table, tidy
-from rowmill.streaming.serving import alerts, event_stream, job_status, run_to_table, serving_metrics
+from rowmill.streaming.serving import alerts, event_stream, job_status, run_to_table, serving_metrics, watch_jobs
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -88,3 +88,36 @@ def stream_job_status(spark: SparkSession, sf: str) -> DataFrame:
     )
     state = job_status(changes, "job_id", ["status", "progress"], ["ts", "event_id"])
     return tidy(run_to_table(state, ["job_id"], "update"))
+
+
+#: Days of the table that each run of the watched jobs takes.
+WATCHED_DAYS = 10
+_DAY = 86_400_000_000
+
+
+@query(
+    "stream_job_watch",
+    """with c as (select user_id as job_id, ts, event_id, case when event_type = 'error' then 'failed'
+        when event_type in ('purchase', 'signup') then 'completed' else 'running' end as status from events),
+    l as (select job_id, arg_max(status, (ts, event_id)) as status, max(ts) as t from c group by job_id)
+    select job_id, case when status = 'running' and epoch_ms(t) + 6 * 3600000 < (select epoch_ms(max(ts)) - 3600000 from events)
+      then 'stuck' else status end as status, strftime(t, '%Y-%m-%d %H:%M:%S') as last_change from l""",
+)
+def stream_job_watch(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as jobs, fed in order of time: silent for six hours is stuck,
+    watermark of one hour.  Each run of the stream goes on where the one before
+    stopped."""
+    path = f"{checkpoint_folder(spark)}/streams/{uuid.uuid4().hex}"
+    rows = table(spark, sf, "events")
+    block = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (WATCHED_DAYS * _DAY))
+    first, last = rows.agg(F.min(block), F.max(block)).first()
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "failed").when(kind.isin("purchase", "signup"), "completed").otherwise("running")
+    # The table's span in days, not its rows, sets the number of runs.
+    for b in range(first or 0, (last or 0) + 1):
+        rows.filter(block == b).write.mode("append").parquet(f"{path}/in")
+        stream = event_stream(spark, f"{path}/in", SCHEMA)
+        changes = stream.select(F.col("user_id").alias("job_id"), status.alias("status"), "ts", "event_id", "value")
+        watched = watch_jobs(changes, "job_id", "status", "ts", "event_id", ["value"], silence="6 hours", lateness="1 hour")
+        latest = run_to_table(watched, ["job_id"], "update", f"{path}/out")
+    return latest.select("job_id", "status", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last_change"))

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rowmill.functions.storage import checkpoint_folder
 
 # Fixed value: the reporting interval when none is given.
 INTERVAL = "60 seconds"
+# The states a job ends in.
+FINISHED = ("completed", "failed")
+#: Status of a job that has not reported for too long.
+STUCK = "stuck"
 
 
 def event_stream(
@@ -77,6 +84,81 @@ def job_status(changes: DataFrame, key: str, fields: list[str], order: list[str]
     return changes.groupBy(key).agg(last).select(key, *[F.col(f"s.{f}").alias(f) for f in fields])
 
 
+def _milliseconds(interval: str) -> int:
+    return int(pd.Timedelta(interval).total_seconds() * 1000)
+
+
+def watch_jobs(
+    changes: DataFrame,
+    key: str,
+    status: str,
+    time: str,
+    order: str,
+    fields: list[str],
+    finished: tuple[str, ...] = FINISHED,
+    silence: str = "1 hour",
+    lateness: str = "10 minutes",
+) -> DataFrame:
+    """Status changes of jobs as a stream, with bounded state.
+
+    Per micro-batch and job: its latest row by ``(time, order)`` as key,
+    ``status``, ``time`` and ``fields``.  A job that has not reported for
+    ``silence`` of event time is told once as ``stuck`` and leaves the state.
+    A finished job leaves it as soon as the watermark has passed its last row,
+    so no earlier row can bring it back; a job that reports again later starts
+    anew.  State is one row per job that is running or has just finished.
+
+    Rows later than ``lateness`` are dropped, as are rows without a key, time
+    or order.  A NULL status is an unfinished one.
+    """
+    wait = _milliseconds(silence)
+    if wait <= 0:
+        raise ValueError("silence must be longer than nothing")
+    kept = [key, status, time, *fields]
+    typed = {f.name: f.dataType.simpleString() for f in changes.schema.fields}
+    schema = ", ".join(f"`{c}` {typed[c]}" for c in kept)
+    # Microseconds and order decide between rows; both survive a state round trip.
+    state_schema = f"_at bigint, _order bigint, `{status}` string, " + ", ".join(f"`{f}` {typed[f]}" for f in fields)
+
+    def follow(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        def told(at: int, text: str | None, rest: tuple) -> pd.DataFrame:
+            row = [group[0], text, pd.Timestamp(at, unit="us"), *rest]
+            return pd.DataFrame([row], columns=kept)
+
+        now = state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            at, _, text, *rest = state.get
+            state.remove()
+            if text not in finished:
+                yield told(at, STUCK, tuple(rest))
+            return
+        best = state.get if state.exists else None
+        before = best
+        for frame in frames:
+            frame = frame[frame["_at"] // 1000 >= now]
+            if len(frame):
+                row = frame.sort_values(["_at", "_order"]).iloc[-1]
+                values = [None if pd.isna(row[c]) else row[c] for c in (status, *fields)]
+                new = (int(row["_at"]), int(row["_order"]), *values)
+                best = new if best is None or new[:2] >= best[:2] else best
+        if best is None:
+            return
+        state.update(tuple(best))
+        ends = best[0] // 1000 + (0 if best[2] in finished else wait)
+        state.setTimeoutTimestamp(max(ends, now + 1))
+        if best is not before:
+            yield told(best[0], best[2], tuple(best[3:]))
+
+    whole = changes.withColumn(time, F.col(time).cast("timestamp"))
+    stamped = whole.withWatermark(time, lateness).filter(F.col(key).isNotNull() & F.col(time).isNotNull() & F.col(order).isNotNull())
+    asked = stamped.select(
+        key, F.col(status).cast("string").alias(status), time, *fields, F.unix_micros(time).alias("_at"), F.col(order).cast("long").alias("_order")
+    )
+    return asked.groupBy(key).applyInPandasWithState(
+        follow, schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def run_to_table(stream: DataFrame, key: list[str] | None, mode: str = "update", path: str | None = None) -> DataFrame:
     """Drain a stream into a table of the shared folder and read it back.
 

@@ -233,3 +233,37 @@ def test_registered_fits_keep_the_defaults(monkeypatch, name):
     monkeypatch.setattr(learning, "_orders", lambda spark, sf: (None, None))
     with pytest.raises(Stop):
         base.QUERIES[name](None, "")
+
+
+def test_randomised_components_against_numpy(spark, sf, tmp_path):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").filter("size(embedding) = 64").select("vec_id", "embedding")
+    x = np.array([r["embedding"] for r in df.collect()], dtype=np.float64)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    values, vectors = values[::-1], vectors[:, ::-1]
+    asked = {"n_components": 3, "svd_solver": "randomized"}
+    model = L.fit(df, "pca", ["embedding"], parameters=asked)
+    assert model.extra["residual"] < 1e-6
+    assert np.allclose(model.extra["explained"], values[:3] / values.sum(), atol=1e-6)
+    full = L.fit(df, "pca", ["embedding"], parameters={"n_components": 3, "svd_solver": "full"})
+    a, b = (np.array([r["components"] for r in m.score(df).orderBy("vec_id").collect()]) for m in (model, full))
+    assert np.allclose(a, b, atol=1e-3)
+    model.save(spark, str(tmp_path / "pca"))
+    again = L.Model.load(spark, str(tmp_path / "pca"))[0]
+    assert np.array_equal(a, [r["components"] for r in again.score(df).orderBy("vec_id").collect()])
+    white = L.fit(df, "pca", ["embedding"], parameters={**asked, "whiten": True}).score(df)
+    assert np.allclose(np.array([r["components"] for r in white.collect()]).std(0, ddof=1), 1, atol=1e-6)
+
+
+def test_components_of_gaps_constants_and_few_columns(spark):
+    rows = [(1.0, 2.0, 5.0), (2.0, 4.0, 5.0), (3.0, 6.0, 5.0), (None, 1.0, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    model = L.fit(df, "pca", ["a", "b", "c"], parameters={"svd_solver": "randomized"})
+    assert model.extra["explained"] == pytest.approx([1, 0], abs=1e-9)
+    got = [r["components"] for r in model.score(df).orderBy("b").collect()]
+    assert np.isnan(got[0]).all() and got[1][0] == pytest.approx(-(5**0.5))
+    flat = L.fit(df.select(F.lit(1.0).alias("a"), F.lit(2.0).alias("b")), "pca", ["a", "b"], parameters={"svd_solver": "randomized"})
+    assert flat.extra["explained"] == [0, 0]
+    with pytest.raises(ValueError, match="two rows"):
+        L.fit(df.limit(0), "pca", ["a", "b", "c"], parameters={"svd_solver": "randomized"})
+    with pytest.raises(ValueError, match="svd_solver"):
+        L.fit(df, "pca", ["a", "b"], parameters={"svd_solver": "arpack"})

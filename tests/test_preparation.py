@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -188,3 +190,21 @@ def test_split_refuses_missing_keys(spark):
     df = spark.createDataFrame([(i if i % 20 else None, float(i)) for i in range(100)], "k int, x double")
     with pytest.raises(ValueError, match="5 rows"):
         with_split(df, "k")
+
+
+def test_correlation_in_blocks_equals_one_scan(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 7)) * [1, 1e3, 1, 1, 1, 1, 1] + [0, 1e6, 0, 0, 0, 0, 0]
+    x[:, 3] = x[:, 0] * 2 + rng.normal(size=60) / 10
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 5], x[:, 6] = 4.0, np.nan  # constant, all missing
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(7)]))
+    want = pd.DataFrame(x).corr()
+    for block in (3, 7, 100):
+        got = {(r["a"], r["b"]): r["corr"] for r in P.correlation(df, block=block).collect()}
+        assert len(got) == 28
+        for (a, b), c in got.items():
+            w = want.iloc[int(a[1:]), int(b[1:])]
+            assert c is None if np.isnan(w) else c == pytest.approx(w, abs=1e-9), (a, b)
+    assert P.correlation(df.limit(0), block=3).filter("corr is not null").count() == 0
+    assert P.correlation(spark.createDataFrame([("x",)], "s string")).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rowmill.operators import board as B
 from rowmill.sources import readers, registry
 from rowmill.sources.records import ends_inside, read_records
-from rowmill.streaming.serving import alerts, event_stream, run_to_table, serving_metrics
+from rowmill.streaming.serving import alerts, event_stream, run_to_table, serving_metrics, watch_jobs
 
 
 def write(path, data):
@@ -236,3 +236,40 @@ def test_batches_do_not_change_alerts(spark, tmp_path):
     assert want and run(parts, "complete") == want and run(parts, "update") == want
     with pytest.raises(ValueError, match="key"):
         run_to_table(event_stream(spark, whole, SCHEMA), None, "update")
+
+
+JOBS = "job string, status string, ts timestamp_ntz, n long, progress double, key string"
+
+
+def test_watched_jobs_finish_stick_and_leave_the_state(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    noon = dt.datetime(2024, 1, 1, 12)
+    at = lambda m: noon + dt.timedelta(minutes=m)
+    batches = [
+        [("a", "running", at(0), 1, 5.0, "x"), ("b", "running", at(1), 2, 5.0, "x"), ("c", None, at(2), 3, None, "x"), (None, "running", at(2), 4, 1.0, "x")],
+        # Rows of one time are ordered by number; b's second row is older than its first.
+        [("a", "running", at(20), 5, 50.0, "x"), ("a", "completed", at(20), 6, 100.0, "x"), ("b", "failed", at(0), 7, 0.0, "x")],
+        [("z", "running", at(200), 8, 5.0, "x")],
+        # Too late for the watermark: a stays completed, b stays stuck.
+        [("a", "running", at(3), 9, 7.0, "x"), ("z", "running", at(201), 10, 6.0, "x")],
+        # b reports again.
+        [("b", "completed", at(210), 11, 100.0, "x")],
+    ]
+
+    def drain():
+        stream = event_stream(spark, folder, JOBS)
+        return run_to_table(watch_jobs(stream, "job", "status", "ts", "n", ["progress"]), ["job"], "update", out)
+
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, JOBS).coalesce(1).write.mode("append").parquet(folder)
+        seen.append({r["job"]: (r["status"], r["progress"]) for r in drain().collect()})
+    assert seen[0] == {"a": ("running", 5.0), "b": ("running", 5.0), "c": (None, None)}
+    assert seen[1]["a"] == ("completed", 100.0) and seen[1]["b"] == ("running", 5.0)
+    assert seen[2] == {"a": ("completed", 100.0), "b": ("stuck", 5.0), "c": ("stuck", None), "z": ("running", 5.0)}
+    assert seen[3] == {**seen[2], "z": ("running", 6.0)}
+    assert seen[4]["b"] == ("completed", 100.0)
+    kept = spark.read.format("statestore").load(f"{out}/state").select("key.*").collect()
+    assert {r[0] for r in kept} == {"b", "z"}
+    with pytest.raises(ValueError, match="silence"):
+        watch_jobs(event_stream(spark, folder, JOBS), "job", "status", "ts", "n", ["progress"], silence="0 seconds")
