@@ -72,3 +72,14 @@ def test_rules_where_most_urls_are_blocked(spark):
     mined = urls.mine(spark.createDataFrame(rows, "url string, block boolean"), mining).collect()
     assert mined and all(r["confidence"] == 1.0 for r in mined)
     assert urls.mine(spark.createDataFrame(rows[:80], "url string, block boolean"), mining).count() == 0
+
+
+def test_long_shared_paths_are_mined_as_one_token(spark):
+    path = "/".join(f"{a}{b}" for a in "abcdef" for b in "vwxyz")
+    rows = [(f"http://bad.example/{path}", True)] * 40 + [(f"http://good.example/{i}x", False) for i in range(60)]
+    got = urls.mine(spark.createDataFrame(rows, LABELLED), urls.Mining(support=0.05)).collect()
+    assert {r["items"][0] for r in got} == {f"path:{x}" for x in path.split("/")} | {"host:bad"}
+    assert all((r["size"], r["confidence"], r["key"]) == (1, 1.0, r["items"][0]) for r in got)
+    # Any of the tokens is enough, as before.
+    told = verdicts(spark, [(1, "http://new.example/cx"), (2, "http://new.example/q")], rows, mining=urls.Mining(support=0.05))
+    assert told[1]["verdict"] == "block" and told[2]["verdict"] == "allow"
