@@ -22,8 +22,11 @@ from rowmill.functions.stats import ratio
 from rowmill.functions.storage import settle
 from rowmill.operators.shards import summed
 
-# Points per block of the pairwise grid: a block pair is a 2048 x 2048 matrix.
+# Points per tile of the pairwise grid: a tile pair is a 2048 x 2048 matrix.
 BLOCK_ROWS = 2048
+#: A block is as many tiles as leave this many blocks, up to the second number.
+#: Every row is shuffled once per block, and a task holds two blocks of rows.
+BLOCKS, MOST_TILES = 16, 32
 #: Points measured against all others by the estimated silhouette.
 SAMPLE_ROWS = 2000
 
@@ -100,13 +103,15 @@ def _distance(a: Column, b: Column) -> Column:
     return norm(a, b)
 
 
-def _grid(left: DataFrame, right: DataFrame, rows: int, fn, schema: str) -> DataFrame:
+def _grid(left: DataFrame, right: DataFrame, rows: int, fn, schema: str, most: int = 1) -> DataFrame:
     """Run ``fn(left block, right block)`` for every pair of hash blocks.
 
-    Blocks hold about ``BLOCK_ROWS`` rows of each side whatever the labels, and
-    only what ``fn`` reduces them to leaves the task: no pair is ever a row.
+    Blocks hold about ``BLOCK_ROWS`` rows of each side, and beyond ``BLOCKS`` of
+    them up to ``most`` times as many, whatever the labels; only what ``fn``
+    reduces them to leaves the task: no pair is ever a row.
     """
-    blocks = max(1, math.ceil(rows / BLOCK_ROWS))
+    tiles = max(1, math.ceil(rows / BLOCK_ROWS))
+    blocks = math.ceil(tiles / max(1, min(most, tiles // BLOCKS)))
     mine = F.pmod(F.xxhash64("id"), F.lit(blocks))
     every = F.expr(f"explode(sequence(0L, {blocks - 1}L))")
     a = left.select("*", mine.alias("_i")).select("*", every.alias("_j"))
@@ -133,9 +138,12 @@ def _distance_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     if a.empty or b.empty:
         return empty
     names, at = np.unique(b["cluster"].to_numpy(), return_inverse=True)
-    member = np.zeros((len(b), len(names)))
-    member[np.arange(len(b)), at] = 1.0
-    sums = _pairwise(a, b) @ member
+    x, y, sums = np.stack(a["x"]), np.stack(b["x"]), np.zeros((len(a), len(names)))
+    for j in range(0, len(b), BLOCK_ROWS):
+        member = np.zeros((len(y[j : j + BLOCK_ROWS]), len(names)))
+        member[np.arange(len(member)), at[j : j + BLOCK_ROWS]] = 1.0
+        for i in range(0, len(a), BLOCK_ROWS):
+            sums[i : i + BLOCK_ROWS] += _distances(x[i : i + BLOCK_ROWS], y[j : j + BLOCK_ROWS]) @ member
     return pd.DataFrame(
         {
             "id": np.repeat(a["id"].to_numpy(), len(names)),
@@ -157,7 +165,7 @@ def silhouette_points(points: DataFrame) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in held.schema.fields}
     schema = f"id {types['id']}, cluster {types['cluster']}, other {types['cluster']}, total double"
     sums = (
-        _grid(held, held, n, _distance_sums, schema)
+        _grid(held, held, n, _distance_sums, schema, MOST_TILES)
         .groupBy("id", "cluster", "other")
         .agg(F.sum("total").alias("total"))
     )

@@ -44,6 +44,16 @@ def test_silhouette_over_blocks(spark, monkeypatch, block):
     assert [got[i] for i in range(len(x))] == pytest.approx(brute_silhouette(x, y))
 
 
+def test_rows_of_the_pairwise_grid_are_shuffled_a_bounded_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ROWS", 2)
+    df, x, y = points(spark, n=120)
+    pairs = K._grid(df, df, 120, lambda a, b: a[:1][["id"]], "id int", K.MOST_TILES).count()
+    # 60 tiles a side, but no more than twice BLOCKS blocks.
+    assert K.BLOCKS <= pairs**0.5 <= 2 * K.BLOCKS
+    got = {r["id"]: r["silhouette"] for r in K.silhouette_points(df).collect()}
+    assert [got[i] for i in range(len(x))] == pytest.approx(brute_silhouette(x, y))
+
+
 @pytest.mark.parametrize("block", [2048, 2])
 def test_davies_bouldin_over_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(K, "BLOCK_ROWS", block)
