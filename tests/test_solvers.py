@@ -102,6 +102,41 @@ def test_support_vectors_reach_the_optimum(spark, size, C):
         assert objective(z, y, found.weights + step, C, 0.2) >= value - found.gap * C * 90 - 1e-9
 
 
+def hinge(z, y, w, C):
+    return 0.5 * w[:-1] @ w[:-1] + C * np.maximum(1 - y * (z @ w), 0).sum()
+
+
+def test_classes_by_support_vectors_reach_the_optimum_in_few_passes(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(400, 3))
+    y = (x @ [1.0, -2.0, 0.5] + draw.normal(size=400) * 0.4 > 0).astype(int) + (x[:, 0] > 0.8)
+    held, passes, sums = shards.deal(rows_of(spark, x, y), "features", F.col("y"), 150), [], support._sums
+    monkeypatch.setattr(support, "_sums", lambda *a: passes.append(1) or sums(*a))
+    lift = lambda v: np.column_stack([v, np.ones(len(v))])
+    found = support.fit_svc(held, lift, 4, 3, C=0.5)
+    held.release()
+    # The solver before took some 300 passes a class.
+    assert len(found) == 3 and len(passes) <= 60
+    for c, fit in enumerate(found):
+        sign = np.where(y == c, 1.0, -1.0)
+        value = hinge(lift(x), sign, fit.weights, 0.5)
+        assert fit.primal * 0.5 * 400 == pytest.approx(value) and fit.gap <= 1e-3 * fit.primal
+        for _ in range(200):
+            step = draw.normal(size=4) * 10 ** draw.uniform(-4, -0.5)
+            assert hinge(lift(x), sign, fit.weights + step, 0.5) >= value - fit.gap * 0.5 * 400 - 1e-9
+
+
+def test_support_vectors_need_few_passes_over_many_shards(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(90, 3))
+    y = x @ [1.0, -2.0, 0.5] + draw.normal(size=90) * 0.5
+    held = shards.deal(rows_of(spark, x, y), "features", F.col("y"), 10)
+    lift = lambda v: np.column_stack([v, np.ones(len(v))])
+    found = support.fit_svr(held, lift, 4, (0.0, 1.0), C=1.0, epsilon=0.2, rounds=40)
+    held.release()
+    assert held.count == 9 and found.gap <= 1e-3 * found.primal
+
+
 def test_support_vectors_on_a_case_solved_by_hand(spark):
     # Two points at x = -1 and 1: |w| falls until both leave the tube, so w = (1 - epsilon).
     df = spark.createDataFrame([(-1.0, -1.0), (1.0, 1.0)], "x double, y double")
