@@ -1,10 +1,13 @@
 """Decision trees and forests with exact splits.
 
 Every distinct value of a feature is a possible split; its threshold is half-way
-to the next.  Large nodes are split level by level over the whole table: tasks
-count labels per (tree, node, feature, value), running totals in value order give
-both sides of every split, and one best split per node reaches the driver.  Nodes
-whose rows fit ``LOCAL_BYTES`` are finished by one task each, in memory.
+to the next.  Large nodes are split level by level over the whole table, in two
+passes.  The first sums up quantile ranges of each feature: the splits between
+ranges are known then, and the worth of a split inside a range is bounded, since
+worth is convex in the sums of a side.  The second counts labels per (tree, node,
+feature, value) inside the ranges whose bound reaches the best known split;
+running totals in value order give both sides of each split there, and one best
+split per node reaches the driver.  Nodes whose rows fit ``LOCAL_BYTES`` are finished by one task each, in memory.
 
 A forest draws each row's weight per tree from a hash of its number (Poisson,
 as a bootstrap of a large table) and each node's features from a hash of its
@@ -25,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rowmill.functions.ordering import running_totals
 from rowmill.functions.storage import settle
@@ -34,6 +38,11 @@ LOCAL_BYTES = 32 << 20
 #: Quantile ranges of a forest's large nodes.
 FOREST_BINS = 256
 PURE = 1e-12
+#: Quantile ranges that narrow exact splits, and the most of all nodes and
+#: features: with more nodes the ranges of each grow wider.
+RANGES, MOST_RANGES = 512, 400_000
+#: Up to so many classes the worth inside a range is bounded.
+BOUND_CLASSES = 6
 
 # Share of rows drawn at most 0, 1, 2 ... times by a bootstrap.
 _DRAWN = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
@@ -182,8 +191,11 @@ def _rows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np
     return batch.column(0).to_numpy(), np.where(np.isnan(x), np.inf, x), batch.column(2).to_numpy(zero_copy_only=False)
 
 
-def _level(rows: DataFrame, growth: Growth, trees: list[Tree], large: set, edges: list) -> DataFrame:
-    """``tree, node, feature, value`` with the label sums of the large nodes."""
+def _level(
+    rows: DataFrame, growth: Growth, trees: list[Tree], large: set, edges: list, chosen: dict | None = None
+) -> DataFrame:
+    """``tree, node, feature, bin, value`` with the label sums of the large nodes;
+    values are taken by ranges, or as they are inside the ``chosen`` ranges."""
     names = [f"s{i}" for i in range(growth.sums)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,21 +210,163 @@ def _level(rows: DataFrame, growth: Growth, trees: list[Tree], large: set, edges
                     held = np.flatnonzero((at == node) & (w > 0))
                     sums = growth.stats(y[held], w[held])
                     for f in growth.candidates(t, node).tolist():
-                        v = x[held, f]
-                        if edges and len(edges[f]):
-                            v = edges[f][np.minimum(np.searchsorted(edges[f], v), len(edges[f]) - 1)]
+                        v, own = x[held, f], sums
+                        if chosen is not None:
+                            inside = np.isin(_bins(edges[f], v), chosen.get((t, node, f), []))
+                            v, own = v[inside], own[inside]
+                            if not len(v):
+                                continue
+                        elif edges and len(edges[f]):
+                            v = edges[f][np.minimum(_bins(edges[f], v), len(edges[f]) - 1)]
                         value, back = np.unique(v, return_inverse=True)
-                        parts = [np.bincount(back, sums[:, c], len(value)) for c in range(growth.sums)]
+                        parts = [np.bincount(back, own[:, c], len(value)) for c in range(growth.sums)]
                         same = [pa.array(np.full(len(value), k)) for k in (t, node, f)]
+                        bins = _bins(edges[f], value) if chosen is not None else np.zeros(len(value), np.int64)
                         yield pa.RecordBatch.from_arrays(
-                            [*same, pa.array(value), *[pa.array(p) for p in parts]], ["tree", "node", "feature", "value", *names]
+                            [*same, pa.array(bins), pa.array(value), *[pa.array(p) for p in parts]], [*keys, *names]
                         )
 
-    schema = "tree long, node long, feature long, value double, " + ", ".join(f"{c} double" for c in names)
-    keys = ["tree", "node", "feature", "value"]
+    keys = ["tree", "node", "feature", "bin", "value"]
+    schema = "tree long, node long, feature long, bin long, value double, " + ", ".join(f"{c} double" for c in names)
     return rows.mapInArrow(run, schema).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
 
 
+def _bins(edges: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The range of each value; one more than there are edges."""
+    return np.searchsorted(edges, v)
+
+
+def _ranges(rows: DataFrame, growth: Growth, trees: list[Tree], large: dict, edges: list) -> list:
+    """``tree, node, feature, bin``, the least value, the least and greatest label
+    and the label sums of each filled range of the large nodes."""
+    names = [f"s{i}" for i in range(growth.sums)]
+    places = {key: i for i, key in enumerate(large)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(e) + 1 for e in edges]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        cells = len(places) * starts[-1]
+        sums, least = np.zeros((growth.sums, cells)), np.full(cells, np.inf)
+        low, high, met = np.full(cells, np.inf), np.full(cells, -np.inf), np.zeros(cells, bool)
+        for batch in batches:
+            number, x, y = _rows(batch, growth.width)
+            held = [_bins(edges[f], x[:, f]) for f in range(growth.width)]
+            for t, tree in enumerate(trees):
+                w, at = growth.weights(number, t), tree.route(x)
+                for node in np.unique(at).tolist():
+                    if (t, node) not in large:
+                        continue
+                    mine = np.flatnonzero((at == node) & (w > 0))
+                    stats = growth.stats(y[mine], w[mine])
+                    for f in growth.candidates(t, node).tolist():
+                        first = places[(t, node)] * starts[-1] + starts[f]
+                        part, cell = slice(first, first + sizes[f]), held[f][mine]
+                        for c in range(growth.sums):
+                            sums[c, part] += np.bincount(cell, stats[:, c], sizes[f])
+                        np.minimum.at(least[part], cell, x[mine, f])
+                        met[first + cell] = True
+                        if not growth.classes:
+                            np.minimum.at(low[part], cell, y[mine])
+                            np.maximum.at(high[part], cell, y[mine])
+        filled, keys = np.flatnonzero(met), list(places)
+        if not len(filled):
+            return
+        place, rest = filled // starts[-1], filled % starts[-1]
+        f = np.searchsorted(starts, rest, side="right") - 1
+        pairs = np.array(keys, np.int64).reshape(-1, 2)[place]
+        columns = [pairs[:, 0], pairs[:, 1], f, rest - starts[f], least[filled], low[filled], high[filled], *sums[:, filled]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*keys_of, "least", "low", "high", *names])
+
+    keys_of = ["tree", "node", "feature", "bin"]
+    schema = ", ".join(f"{k} long" for k in keys_of) + ", least double, low double, high double, " + ", ".join(f"{c} double" for c in names)
+    merged = rows.mapInArrow(run, schema).groupBy(*keys_of)
+    # MOST_RANGES rows at most.
+    return merged.agg(F.min("least"), F.min("low"), F.max("high"), *[F.sum(c) for c in names]).collect()
+
+
+def _worths(growth: Growth, s: np.ndarray) -> np.ndarray:
+    """``Growth.worth``, 0 where there is nothing."""
+    return np.where(growth.size(s) > 1e-9, growth.worth(np.where(growth.size(s)[..., None] > 1e-9, s, 1.0)), 0.0)
+
+
+def bounds(growth: Growth, before: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Per range no less than the worth of any split inside it: the greatest at
+    the corners of what a part of its rows can sum up to."""
+    if growth.classes > BOUND_CLASSES:
+        return np.full(len(own), np.inf)
+    if growth.classes:
+        corners = [own * c for c in np.ndindex(*(2,) * growth.classes)]
+    else:
+        n, s, gap = own[:, 0], own[:, 1], np.where(high > low, high - low, 1.0)
+        upper = np.where(high > low, np.clip((s - n * low) / gap, 0, n), 0)
+        lower = np.where(high > low, np.clip((n * high - s) / gap, 0, n), 0)
+        parts = [(0 * n, 0 * n), (n, s), (upper, upper * high), (lower, lower * low)]
+        corners = [np.column_stack([m, t, 0 * m]) for m, t in parts]
+    return np.max([_worths(growth, before + c) + _worths(growth, total - before - c) for c in corners], axis=0)
+
+
+def narrow(growth: Growth, found: list, large: dict) -> dict:
+    """(tree, node, feature, bin) of the ranges that may hold a node's best split,
+    with the sums before them and the least value behind them."""
+    spots: dict = {}
+    for r in found:
+        spots.setdefault((r[0], r[1]), {}).setdefault(r[2], []).append(r)
+    out = {}
+    for key, features in spots.items():
+        total, best, parts = large[key], -np.inf, []
+        for f, rows in features.items():
+            rows = sorted(rows, key=lambda r: r[3])
+            own = np.array([r[7:] for r in rows], float)
+            upto = np.cumsum(own, axis=0)
+            after = total - upto
+            least = max(1, growth.min_leaf)
+            able = (growth.size(upto) >= least) & (growth.size(after) >= least)
+            able[-1] = False
+            worth = np.where(able, _worths(growth, upto) + _worths(growth, after), -np.inf)
+            best = max(best, float(worth.max()))
+            low, high = (np.array([r[i] for r in rows], float) for i in (5, 6))
+            before = upto - own
+            parts.append((f, rows, before, bounds(growth, before, own, low, high, total)))
+        # Rounding must not cost a split.
+        edge = best - 1e-9 * (1 + abs(best)) if best > -np.inf else -np.inf
+        for f, rows, before, bound in parts:
+            for i in np.flatnonzero(bound >= edge):
+                behind = rows[i + 1][4] if i + 1 < len(rows) else None
+                out[(*key, f, rows[i][3])] = (before[i], behind)
+    return out
+
+
+def _inside(rows: DataFrame, growth: Growth, trees: list[Tree], large: dict, ranges: list) -> list:
+    """One row per large node: its best exact split with the left side's sums."""
+    names = [f"s{i}" for i in range(growth.sums)]
+    wide = max(1, -(-RANGES * len(large) * growth.width // MOST_RANGES))
+    edges = [e[::-1][::wide][::-1] for e in ranges]
+    kept = narrow(growth, _ranges(rows, growth, trees, large, edges), large)
+    spark, keys = rows.sparkSession, ["tree", "node", "feature", "bin"]
+    if not kept:
+        return []
+    kinds = ", ".join(f"{k} long" for k in keys) + ", behind double, " + ", ".join(f"b{i} double, t{i} double" for i in range(growth.sums))
+    facts = [(*map(int, k), nxt, *[float(v) for pair in zip(b, large[k[:2]]) for v in pair]) for k, (b, nxt) in kept.items()]
+    known = F.broadcast(spark.createDataFrame(facts, kinds))
+    chosen: dict = {}
+    for t, node, f, b in kept:
+        chosen.setdefault((t, node, f), []).append(b)
+    found = _level(rows, growth, trees, set(large), edges, {k: np.array(sorted(v)) for k, v in chosen.items()})
+    # A range holds a bounded share of a feature's rows, so a window is no bottleneck.
+    order = Window.partitionBy(*keys).orderBy("value")
+    run = found.select(*keys, "value", F.lead("value").over(order).alias("lead"), *[F.sum(c).over(order).alias(f"r{c}") for c in names])
+    both = run.join(known, keys)
+    left = [F.col(f"rs{i}") + F.col(f"b{i}") for i in range(growth.sums)]
+    right = [F.col(f"t{i}") - a for i, a in enumerate(left)]
+    sizes = [sum(side[1:], side[0]) if growth.classes else side[0] for side in (left, right)]
+    high = F.coalesce("lead", "behind")
+    able = both.filter((sizes[0] >= max(1, growth.min_leaf)) & (sizes[1] >= max(1, growth.min_leaf)) & high.isNotNull())
+    worth = (_worth(growth, left) + _worth(growth, right)).alias("worth")
+    pick = F.struct(worth, (-F.col("feature")).alias("f"), (-F.col("value")).alias("v"), F.array(*left).alias("left"), high.alias("high"))
+    best = able.groupBy("tree", "node").agg(F.max(pick).alias("b"))
+    return best.select("tree", "node", (-F.col("b.f")).alias("feature"), (-F.col("b.v")).alias("low"), "b.worth", "b.left", "b.high").collect()
+
+
 def _worth(growth: Growth, parts: list[Column]) -> Column:
     """``Growth.worth`` as a column."""
     if not growth.classes:
@@ -266,6 +420,7 @@ def fit_trees(rows: DataFrame, growth: Growth, edges: list | None = None) -> lis
     for r in counted.groupBy("tree").agg(*[F.sum(c).alias(c) for c in names]).collect():  # one row per tree
         open_[(r["tree"], 1)] = np.array([r[c] for c in names])
     small: dict = {}
+    ranges = None
     spark = rows.sparkSession
     kinds = "tree long, node long, " + ", ".join(f"t{i} double" for i in range(growth.sums))
     while open_:
@@ -280,11 +435,15 @@ def fit_trees(rows: DataFrame, growth: Growth, edges: list | None = None) -> lis
         open_ = {}
         if not large:
             break
-        totals = spark.createDataFrame([(t, n, *map(float, s)) for (t, n), s in large.items()], kinds)
-        found = _level(rows, growth, trees, set(large), edges if growth.bins else [])
+        if growth.bins:
+            totals = spark.createDataFrame([(t, n, *map(float, s)) for (t, n), s in large.items()], kinds)
+            splits = _best(_level(rows, growth, trees, set(large), edges).drop("bin"), growth, totals)
+        else:
+            ranges = quantile_edges(rows, growth.width, RANGES) if ranges is None else ranges
+            splits = _inside(rows, growth, trees, large, ranges)
         for (t, node), total in large.items():
             trees[t].feature[node], trees[t].sums[node], trees[t].gain[node] = -1, total, 0.0
-        for r in _best(found, growth, totals):
+        for r in splits:
             t, node, total, left = r["tree"], r["node"], large[(r["tree"], r["node"])], np.array(r["left"])
             # Ranges are split at their upper end, values half-way to the next.
             threshold = r["low"] if growth.bins else _between(r["low"], r["high"])

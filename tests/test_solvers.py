@@ -214,6 +214,20 @@ def test_splits_equal_trying_every_threshold(spark, classes, criterion, least):
             assert memory.feature[node] == -1
 
 
+@pytest.mark.parametrize("classes,criterion", [(3, "gini"), (3, "entropy"), (0, "gini")])
+def test_exact_splits_count_the_values_of_few_ranges(spark, monkeypatch, classes, criterion):
+    draw = np.random.default_rng(7)
+    x = draw.normal(size=(4000, 3))
+    y = (x[:, 0] > 0.3).astype(int) + (x[:, 1] > 1) if classes else x[:, 0] + draw.normal(size=4000) / 4
+    counted, level = [], trees._level
+    monkeypatch.setattr(trees, "_level", lambda *a: counted.append(level(*a).count()) or level(*a))
+    monkeypatch.setattr(trees, "RANGES", 64)
+    tables, memory = (fitted(spark, x, y, growth(classes, criterion=criterion, max_depth=2, local_bytes=b))[0] for b in (0, 1 << 20))
+    assert tables.feature == memory.feature and tables.threshold == pytest.approx(memory.threshold)
+    # Every value of every feature was counted before: 12,000 a level.
+    assert len(counted) == 2 and max(counted) < 4000
+
+
 def test_min_samples_split_is_that_of_the_node(spark):
     x, y = grid()
     for least in (2, 40, 150):
