@@ -57,6 +57,19 @@ def test_training_is_the_same_on_every_run_and_over_shards(spark):
         held.release()
 
 
+def test_a_large_table_trains_on_few_long_shards(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(600, 2))
+    df = rows_of(spark, x, (x[:, 0] + x[:, 1] > 0).astype(int)).select(F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), "y")
+    seen, fit = [], networks.fit_network
+    monkeypatch.setattr(L, "fit_network", lambda held, *a: seen.append((held.count, held.n)) or fit(held, *a))
+    given = {"hidden_layer_sizes": (8,), "batch_size": 4, "learning_rate": 0.02}
+    model = L.fit(df, "neural_network_classifier", ["a", "b"], "y", given, max_jobs=6, shard_rows=5)
+    assert seen == [(shards.FEW_SHARDS, 600)]
+    right = model.score(df).filter(F.col("prediction").cast("double") == F.col("y")).count()
+    assert right > 540 and all(np.isfinite(model.extra["losses"]))
+
+
 def test_patience_counts_epochs_without_a_gain():
     patience = networks.Patience(tol=0.1)
     assert not any(patience.over(v) for v in [5.0, 4.0] + [4.0 - 0.01 * i for i in range(10)])
