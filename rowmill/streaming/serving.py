@@ -122,8 +122,7 @@ def watch_jobs(
 
     def follow(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         def told(at: int, text: str | None, rest: tuple) -> pd.DataFrame:
-            row = [group[0], text, pd.Timestamp(at, unit="us"), *rest]
-            return pd.DataFrame([row], columns=kept)
+            return pd.DataFrame(dict(zip(kept, ([v] for v in (group[0], text, pd.Timestamp(at, unit="us"), *rest)))))
 
         now = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
@@ -135,11 +134,12 @@ def watch_jobs(
         best = state.get if state.exists else None
         before = best
         for frame in frames:
-            frame = frame[frame["_at"] // 1000 >= now]
-            if len(frame):
-                row = frame.sort_values(["_at", "_order"]).iloc[-1]
-                values = [None if pd.isna(row[c]) else row[c] for c in (status, *fields)]
-                new = (int(row["_at"]), int(row["_order"]), *values)
+            # Most calls hold a few rows, where a sort by pandas costs more than all else.
+            ats, orders = frame["_at"].tolist(), frame["_order"].tolist()
+            last = max(range(len(ats)), key=lambda i: (ats[i], orders[i], i), default=None)
+            if last is not None and ats[last] // 1000 >= now:
+                cells = [frame[c].tolist()[last] for c in (status, *fields)]
+                new = (ats[last], orders[last], *[None if pd.isna(v) else v for v in cells])
                 best = new if best is None or new[:2] >= best[:2] else best
         if best is None:
             return

@@ -273,3 +273,14 @@ def test_watched_jobs_finish_stick_and_leave_the_state(spark, tmp_path):
     assert {r[0] for r in kept} == {"b", "z"}
     with pytest.raises(ValueError, match="silence"):
         watch_jobs(event_stream(spark, folder, JOBS), "job", "status", "ts", "n", ["progress"], silence="0 seconds")
+
+
+def test_a_job_is_told_by_its_last_row_of_a_batch(spark, tmp_path):
+    folder, noon = str(tmp_path / "in"), dt.datetime(2024, 1, 1, 12)
+    schema = "job long, status string, ts timestamp_ntz, n long, step long"
+    draw = [(j, f"s{k}", noon + dt.timedelta(seconds=k * j % 7), k * 5 % 11, k) for j in (1, 2, 3) for k in range(11)]
+    spark.createDataFrame(draw, schema).coalesce(1).write.parquet(folder)
+    stream = watch_jobs(event_stream(spark, folder, schema), "job", "status", "ts", "n", ["step"])
+    got = {r["job"]: (r["status"], r["ts"], r["step"]) for r in run_to_table(stream, ["job"], "update").collect()}
+    last = {j: max((r for r in draw if r[0] == j), key=lambda r: (r[2], r[3])) for j in (1, 2, 3)}
+    assert got == {j: (r[1], r[2], r[4]) for j, r in last.items()}
