@@ -9,6 +9,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
@@ -122,6 +123,8 @@ FOURIER_SIZE = 200
 MICRO_CLUSTERS = 1000
 #: Trees are no deeper.
 DEEPEST = 30
+#: Rows of a forest's task, where there are more tasks than twice the cores.
+SPREAD_ROWS = 20_000
 #: Above so many columns ``svd_solver="auto"`` forms no square matrix.
 WIDE = 500
 
@@ -706,7 +709,14 @@ def _fit_trees(table: DataFrame, model: Model, p: dict, target: Any, classes: in
         local_bytes=int(p.get("local_bytes", LOCAL_BYTES)),
     )
     edges = quantile_edges(rows, width, growth.bins) if growth.bins and 8 * n * (width + 2) > growth.local_bytes else []
-    model.extra["trees"] = packed(fit_trees(rows, growth, edges), growth)
+    if forest:
+        # Every tree draws and routes all rows, so they are spread evenly over the cores.
+        tasks = min(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-n // SPREAD_ROWS))
+        rows = rows.repartition(max(1, tasks), "row").sortWithinPartitions("row").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model.extra["trees"] = packed(fit_trees(rows, growth, edges), growth)
+    finally:
+        rows.unpersist()
     return model
 
 

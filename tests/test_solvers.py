@@ -290,6 +290,58 @@ def test_forest_over_tables_and_in_memory(spark, name, target):
     assert drawn.mean() == pytest.approx(1, abs=0.03) and (drawn == 0).mean() == pytest.approx(np.exp(-1), abs=0.02)
 
 
+@pytest.mark.parametrize("classes", [3, 0])
+def test_forest_shuffles_sums_and_packed_rows(spark, classes):
+    x, y = grid(3000, classes=classes)
+    rows = [(i, [float(v) for v in a], float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "row long, x array<double>, y double").repartition(2).persist()
+    made = trees.Growth(classes, 3, 5, trees=4, bootstrap=True, bins=8, local_bytes=0)
+    edges = trees.quantile_edges(df, 3, 8)
+    root = {(t, 1): None for t in range(4)}
+    grown = [trees.Tree() for _ in range(4)]
+    # A record per task, tree and node, not one per batch, range and row.
+    assert trees._sums(df, made, grown, list(root), edges).count() == 8
+    packed = trees._packed_rows(df, made, grown, set(root)).collect()
+    assert len(packed) == 8
+    drawn = [made.weights(np.arange(3000), t) for t in range(4)]
+    assert [sum(len(r["w"]) for r in packed if r["tree"] == t) for t in range(4)] == [(w > 0).sum() for w in drawn]
+    # The root's split is the best end of a range.
+    for r in trees._binned(df, made, grown, {k: made.stats(y, drawn[k[0]]).sum(0) for k in root}, edges):
+        sums, best = made.stats(y, drawn[r["tree"]]), (-np.inf,)
+        for f in range(3):
+            for end in edges[f][:-1]:
+                left = x[:, f] <= end
+                worth = made.worth(sums[left].sum(0)) + made.worth(sums[~left].sum(0))
+                best = max(best, (worth, -f, -end))
+        assert (r["worth"], r["feature"], r["low"]) == pytest.approx((best[0], -best[1], -best[2]))
+    df.unpersist()
+
+
+@pytest.mark.parametrize("classes,criterion", [(3, "gini"), (3, "entropy"), (0, "gini")])
+def test_nodes_in_memory_sort_few_rows(monkeypatch, classes, criterion):
+    draw = np.random.default_rng(11)
+    x = np.column_stack([draw.normal(size=6000), draw.normal(size=6000), draw.integers(0, 9, 6000)])
+    y = (x[:, 0] > 0.3).astype(int) + (x[:, 1] > 1) if classes else x[:, 0] + draw.normal(size=6000) / 4
+    w = draw.integers(1, 4, 6000)
+    made = growth(classes, criterion=criterion, max_depth=4, min_leaf=5)
+    sorted_ = []
+    splits = trees._Part.splits
+
+    def counted(part, growth, f, total, rows=None, before=None):
+        sorted_.append(len(part.y) if rows is None else len(rows))
+        return splits(part, growth, f, total, rows, before)
+
+    monkeypatch.setattr(trees._Part, "splits", counted)
+    plain = {n[0]: n for n in trees.grow(made, 0, 1, x, y, w)}
+    every = sum(sorted_)
+    sorted_.clear()
+    monkeypatch.setattr(trees, "NARROW_ROWS", 100)
+    quick = {n[0]: n for n in trees.grow(made, 0, 1, x, y, w)}
+    assert quick.keys() == plain.keys() and sum(sorted_) < every / 2
+    for n, found in quick.items():
+        assert found[1:3] == plain[n][1:3] and found[3] == pytest.approx(plain[n][3])
+
+
 def test_one_class_one_row_and_no_rows(spark):
     one = spark.createDataFrame([(1.0, "a")], "x double, y string")
     assert L.fit(one, "decision_tree_classifier", ["x"], "y").score(one).first()["prediction"] == "a"
