@@ -13,7 +13,8 @@ A forest draws each row's weight per tree from a hash of its number (Poisson,
 as a bootstrap of a large table) and each node's features from a hash of its
 place.  With ``bins`` the large nodes of a forest take the values of a feature by
 so many quantile ranges: a task adds up all its rows' sums per range before they
-are shuffled, and the rows of smaller nodes are shuffled once, packed by node.
+are shuffled, and the rows of smaller nodes are shuffled once, packed by node, a
+few trees at a time, so the disk they take does not grow with the trees.
 
 Defined results: of equal splits the first feature, then the lowest threshold;
 missing values go right; a node splits while it is impure, has
@@ -32,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rowmill.functions.storage import drop_shuffles
+
 #: A node of this size is finished by one task.
 LOCAL_BYTES = 32 << 20
 #: Quantile ranges of a forest's large nodes.
@@ -49,6 +52,9 @@ CHUNK_ROWS, PACK_ROWS, MOST_SUMS = 1 << 14, 1 << 16, 4_000_000
 NARROW_ROWS = 1 << 15
 #: Bytes of packed rows per task that finishes small nodes, at most and at least.
 FINISH_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
+#: Small nodes are finished in turns of so many bytes of packed rows, or of so many
+#: trees where those are more; the shuffle of a turn goes before the next.
+TURN_BYTES, TURN_TREES = 1 << 30, 4
 
 # Share of rows drawn at most 0, 1, 2 ... times by a bootstrap.
 _DRAWN = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
@@ -641,6 +647,8 @@ def fit_trees(rows: DataFrame, growth: Growth, edges: list | None = None) -> lis
             trees[t].feature[node], trees[t].threshold[node] = r["feature"], threshold
             trees[t].gain[node] = max(0.0, r["worth"] - float(growth.worth(total)))
             open_[(t, 2 * node)], open_[(t, 2 * node + 1)] = left, total - left
+        if growth.bins:
+            drop_shuffles(rows.sparkSession)
     if small:
         _finish(rows, growth, trees, small, fits if whole else np.inf)
     return trees
@@ -692,6 +700,22 @@ def _label_type(growth: Growth) -> type:
     return np.uint8 if 0 < growth.classes <= 256 else np.float64
 
 
+def _turns(growth: Growth, small: dict) -> list[list]:
+    """The small nodes by tree, cut where their packed rows would be more than a turn's."""
+    sizes = {key: float(growth.size(total)) * (8 * growth.width + 9) for key, total in sorted(small.items())}
+    by_tree: dict = {}
+    for (t, _), size in sizes.items():
+        by_tree[t] = by_tree.get(t, 0.0) + size
+    most, turns, held = max(TURN_BYTES, TURN_TREES * max(by_tree.values())), [[]], 0.0
+    for key, size in sizes.items():
+        if turns[-1] and held + size > most:
+            turns.append([])
+            held = 0.0
+        turns[-1].append(key)
+        held += size
+    return turns
+
+
 def _finish(rows: DataFrame, growth: Growth, trees: list[Tree], small: dict, halved: float) -> None:
     """Grow the subtrees of the small nodes, each in one task."""
 
@@ -705,19 +729,25 @@ def _finish(rows: DataFrame, growth: Growth, trees: list[Tree], small: dict, hal
         arrays = [[t] * len(made), nodes, feature, threshold, gain, [s.tolist() for s in sums]]
         return pa.table(dict(zip(["tree", "node", "feature", "threshold", "gain", "sums"], arrays)))
 
-    size = sum(float(growth.size(s)) for s in small.values()) * (8 * growth.width + 9)
+    def turn(keys: list) -> list[dict]:
+        size = sum(float(growth.size(small[k])) for k in keys) * (8 * growth.width + 9)
+        tasks = max(size // FINISH_BYTES, min(4 * cores, size // LEAST_BYTES)) + 1
+        dealt = _packed_rows(rows, growth, trees, set(keys)).repartition(int(min(len(keys), tasks)), "tree", "node")
+        done = dealt.groupBy("tree", "node").applyInArrow(
+            finish, "tree long, node long, feature long, threshold double, gain double, sums array<double>"
+        )
+        # The model itself: as many rows as the trees have nodes.
+        return done.toArrow().to_pylist()
+
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    tasks = max(size // FINISH_BYTES, min(4 * cores, size // LEAST_BYTES)) + 1
-    dealt = _packed_rows(rows, growth, trees, set(small)).repartition(int(min(len(small), tasks)), "tree", "node")
-    done = dealt.groupBy("tree", "node").applyInArrow(
-        finish, "tree long, node long, feature long, threshold double, gain double, sums array<double>"
-    )
-    # The model itself: as many rows as the trees have nodes.
-    for r in done.toArrow().to_pylist():
-        tree, node = trees[r["tree"]], r["node"]
-        tree.feature[node], tree.gain[node], tree.sums[node] = r["feature"], r["gain"], np.array(r["sums"])
-        if r["feature"] >= 0:
-            tree.threshold[node] = r["threshold"]
+    for i, keys in enumerate(_turns(growth, small)):
+        if i:
+            drop_shuffles(rows.sparkSession)
+        for r in turn(keys):
+            tree, node = trees[r["tree"]], r["node"]
+            tree.feature[node], tree.gain[node], tree.sums[node] = r["feature"], r["gain"], np.array(r["sums"])
+            if r["feature"] >= 0:
+                tree.threshold[node] = r["threshold"]
 
 
 def quantile_edges(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:

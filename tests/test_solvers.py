@@ -317,6 +317,33 @@ def test_forest_shuffles_sums_and_packed_rows(spark, classes):
     df.unpersist()
 
 
+@pytest.mark.parametrize("classes", [3, 0])
+def test_forest_finishes_a_few_trees_at_a_time(spark, monkeypatch, classes):
+    x, y = grid(2000, classes=classes)
+    rows = [(i, [float(v) for v in a], float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "row long, x array<double>, y double").repartition(2).persist()
+    made = trees.Growth(classes, 3, 5, trees=6, bootstrap=True, bins=8, local_bytes=60_000)
+    edges = trees.quantile_edges(df, 3, 8)
+    plain = trees.packed(trees.fit_trees(df, made, edges), made)
+    turns, pack = [], trees._packed_rows
+
+    def counted(rows, growth, grown, small):
+        turns.append(small)
+        return pack(rows, growth, grown, small)
+
+    monkeypatch.setattr(trees, "_packed_rows", counted)
+    # A turn of two trees, and one of less than a tree.
+    for count in (2, 0):
+        monkeypatch.setattr(trees, "TURN_BYTES", 1)
+        monkeypatch.setattr(trees, "TURN_TREES", count)
+        turns.clear()
+        assert trees.packed(trees.fit_trees(df, made, edges), made) == plain
+        nodes = [key for turn in turns for key in turn]
+        assert len(nodes) == len(set(nodes)) and {t for t, _ in nodes} == set(range(6))
+        assert len(turns) >= 3 if count else all(len(turn) == 1 for turn in turns)
+    df.unpersist()
+
+
 @pytest.mark.parametrize("classes,criterion", [(3, "gini"), (3, "entropy"), (0, "gini")])
 def test_nodes_in_memory_sort_few_rows(monkeypatch, classes, criterion):
     draw = np.random.default_rng(11)
