@@ -70,6 +70,64 @@ def test_a_large_table_trains_on_few_long_shards(spark, monkeypatch):
     assert right > 540 and all(np.isfinite(model.extra["losses"]))
 
 
+@pytest.mark.parametrize("shapes", [SHAPES, ((3, 3),)])
+def test_steps_in_place_equal_plain_ones(shapes):
+    draw = np.random.default_rng(1)
+    x, y = draw.normal(size=(47, 3)).astype(np.float32), draw.integers(0, 3, 47)
+    net = networks.Net(shapes, alpha=0.3, batch=20)
+    state = [networks.initial_network(list(shapes), 3), *np.zeros((2, sum(a * b + b for a, b in shapes))), 0.0]
+    quick = networks.Steps(state, net)
+    total = quick.run(x, y, [1, 0, 0, 0])
+    order = np.random.Generator(np.random.SFC64([1, 0, 0, 0])).permutation(47)
+    want = 0.0
+    for rows in (order[:20], order[20:40], order[40:]):
+        loss, grad = networks.batch_loss(x[rows].astype(float), y[rows], state[0], net)
+        want += loss * len(rows)
+        state[3] += 1
+        state[1], state[2] = 0.9 * state[1] + 0.1 * grad, 0.999 * state[2] + 0.001 * grad * grad
+        rate = 1e-3 * np.sqrt(1 - 0.999 ** state[3]) / (1 - 0.9 ** state[3])
+        state[0] = state[0] - rate * state[1] / (np.sqrt(state[2]) + 1e-8)
+    assert total == pytest.approx(want, rel=1e-5) and quick.number == 3
+    assert np.allclose(quick.w, state[0], atol=1e-5) and np.allclose(quick.first, state[1], atol=1e-5)
+    # Left-out outputs, and those below 0, have neither part in the result nor in the gradient.
+    if len(shapes) > 1:
+        quick = networks.Steps(state, networks.Net(shapes, dropout=(0.25,) * (len(shapes) - 1), batch=4000))
+        wide = np.vstack([draw.normal(size=(3, 4000)).astype(np.float32), np.ones(4000, np.float32)])
+        quick.gradient(wide, draw.integers(0, 3, 4000), np.random.SFC64(2))
+        assert quick.drawn[0].mean() == pytest.approx(0.75, abs=0.02)
+        assert set(np.unique(quick.mask[0])) <= {np.float32(0), np.float32(4 / 3)} and not quick.out[0][:-1][quick.mask[0] == 0].any()
+
+
+def test_lanes_take_every_row_in_long_runs_of_steps(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(600, 2))
+    y = (x[:, 0] + x[:, 1] > 0).astype(int)
+    monkeypatch.setattr(shards, "PACK_BYTES", 40)
+    held = shards.deal(rows_of(spark, x, y), "features", F.col("y"), 5, few=True)
+    assert (held.count, held.lanes) == (shards.FEW_SHARDS, 8) and held.rows.rdd.getNumPartitions() == 8
+    # Every row once, five to a record, and a shard's records in one lane and in order.
+    lanes = held.rows.withColumn("lane", F.spark_partition_id()).collect()
+    assert all(r["shard"] % 8 == r["lane"] and len(r["y"]) <= 20 for r in lanes)
+    for lane in range(8):
+        places = [(r["shard"], r["at"]) for r in lanes if r["lane"] == lane]
+        assert places == sorted(set(places))
+    got = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, 2) for r in lanes])
+    want = ((x - x.mean(0)) / x.std(0, ddof=1)).astype(np.float32)
+    assert np.allclose(np.sort(got, axis=0), np.sort(want, axis=0), atol=1e-5)
+    assert sum(np.frombuffer(r["y"], np.float32).sum() for r in lanes) == y.sum()
+    net = networks.Net(((2, 8), (8, 2)), dropout=(0.1,), batch=5, rate=1e-2)
+    (one, trace), (two, again) = (networks.fit_network(held, net, 12) for _ in range(2))
+    assert np.allclose(one, two) and trace == pytest.approx(again)
+    # A lane's state goes from record to record: an epoch takes as many steps as a lane has records.
+    state = [one, 0 * one, 0 * one, 0.0]
+    for r in networks._lanes(held, net, state, 0).collect():
+        rows, steps = r["v"][0], r["v"][2] / r["v"][0]
+        assert rows > 50 and steps >= rows / 5
+    right = networks.probabilities((x - held.mean) / held.std, one, net.shapes).argmax(1) == y
+    assert right.mean() > 0.93
+    held.release()
+
+
 def test_patience_counts_epochs_without_a_gain():
     patience = networks.Patience(tol=0.1)
     assert not any(patience.over(v) for v in [5.0, 4.0] + [4.0 - 0.01 * i for i in range(10)])
